@@ -5,16 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .pii import find_pii
+from .quality_crf import score_documents
+from .secrets import find_secrets
 from .simhash_dedup import near_components
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The documents' source is the owner; a source's documents in one language are a repository.
+    return find_secrets(table(spark, sf_dir, "documents"), repo_col=F.concat_ws("/", "source", "lang"))
+
+
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op6_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("n_cp")
 
