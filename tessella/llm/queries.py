@@ -16,6 +16,7 @@ from .quality_crf import score_documents
 from .revisits import resolve
 from .secrets import find_secrets
 from .simhash_dedup import near_components
+from .suffix_dedup import remove_repeats
 from .url_filter import filter_captures, host
 
 
@@ -114,6 +115,10 @@ def op9_revisit_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(capture_log(table(spark, sf_dir, "pages")))
 
 
+def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

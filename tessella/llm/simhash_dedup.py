@@ -38,7 +38,7 @@ def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[i
         return [digest(line, seed)]
     lens = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lens + 1) - 1
-    starts = (ends - lens)[: 1 - size].tolist()
+    starts = (ends - lens)[: len(words) - size + 1].tolist()
     return [digest(line[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
 
 
