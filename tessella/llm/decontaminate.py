@@ -21,51 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .simhash_dedup import majority
+from .wordhash import Words, majority
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
 
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _MIX
-    return h ^ (h >> np.uint64(29))
-
-
-class Words:
-    """Words (runs of letters and digits, lower-cased) of several texts, hashed together."""
-
-    def __init__(self, texts: list[bytes]) -> None:
-        self.buffer = b"\n".join([*texts, b""])
-        x = np.frombuffer(self.buffer, np.uint8)
-        word = np.concatenate([[False], _WORD[x], [False]])
-        edge = np.flatnonzero(word[1:] != word[:-1])
-        self.begin, self.end = edge[::2], edge[1::2]
-        size = self.end - self.begin
-        n = int(size.sum())
-        off = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
-        power = np.cumprod(np.full(int(size.max(initial=0)) + 1, _MUL))
-        values = (x[_WORD[x]].astype(np.uint64) + np.uint64(1)) * power[off]
-        self.hash = _mix(np.add.reduceat(values, np.cumsum(size) - size)) if n else np.zeros(0, np.uint64)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        self.upto = np.searchsorted(self.begin, ends)  # words before the end of each text
-        self.first = np.concatenate([[0], self.upto[:-1]]).astype(np.int64)
-
-    def shingles(self, k: int) -> np.ndarray:
-        """Hash of the k words from each word on; the last k - 1 run into the next text."""
-        n = max(0, len(self.hash) - k + 1)
-        h = np.zeros(n, np.uint64)
-        for j in range(k):
-            h = _mix(h * _MUL + self.hash[j : j + n])
-        return h
-
-    def text(self, i: int, n: int) -> str:
-        return " ".join(self.buffer[a:b].decode(errors="replace") for a, b in zip(self.begin[i : i + n].tolist(), self.end[i : i + n].tolist(), strict=True))
-
-
 def _lower(text: str | None) -> bytes:
     return (text or "").lower().encode()
 

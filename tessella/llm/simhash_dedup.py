@@ -21,11 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, star_components
+from .wordhash import majority
 
 SEED, SHINGLE = 42, 3
-#: byte -> eight 8-bit lanes, one for each bit of the byte
-_LANES = sum((((np.arange(256) >> i) & 1).astype(np.uint64) << np.uint64(8 * i)) for i in range(8))
-_ONE = np.uint64(1)
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -42,23 +40,6 @@ def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[i
     return [digest(line[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
 
 
-def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Fingerprints of consecutive runs of `sizes` hashes: a bit is 1 if set in over half of a run."""
-    out = np.zeros(len(sizes), np.uint64)
-    live = np.flatnonzero(sizes)
-    if not len(live):
-        return out
-    sizes, begin = sizes[live], np.cumsum(sizes[live]) - sizes[live]
-    per = -(-sizes // 255)  # lanes hold sums up to 255
-    first = np.cumsum(per) - per
-    cuts = np.repeat(begin, per) + 255 * (np.arange(per.sum()) - np.repeat(first, per))
-    lanes = np.add.reduceat(_LANES[hashes.view(np.uint8).reshape(-1, 8)], cuts, axis=0)
-    counts = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 64).astype(np.int64), first, axis=0)
-    bits = (2 * counts > sizes[:, None]).astype(np.uint8)
-    out[live] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
-
-
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints, hashes, sizes, held = [], [], [], 0
