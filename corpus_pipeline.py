@@ -17,7 +17,7 @@ from tessella.llm.decontaminate import contamination
 from tessella.llm.exact_dedup import exact_groups
 from tessella.llm.quality_crf import add_scores, train
 from tessella.llm.queries import mixed
-from tessella.llm.simhash_dedup import near_components
+from tessella.llm.simhash_near import near_groups
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate group."""
-    kept = near_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """The document of smallest id of each near-duplicate group (five-word shingles, similarity 0.8 or more)."""
+    gone = near_groups(docs).where("id <> component_id").select(F.col("id").alias("__id")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
