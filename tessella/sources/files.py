@@ -61,7 +61,7 @@ def document_text(files: DataFrame, parsers: dict[str, Callable[[bytes], str]] |
         for b in batches:
             yield pd.DataFrame({"path": b["path"], "text": [known[e](bytes(c)) if e in known else None for e, c in zip(b["ext"], b["content"], strict=True)]})
 
-    plain = F.decode("content", F.lit("UTF-8"))
+    plain = F.decode("content", "UTF-8")
     simple = files.where(F.col("ext").isin([*TEXT_TYPES, "html", "htm"])).select("path", F.when(F.col("ext").isin("html", "htm"), strip_html(plain)).otherwise(plain).alias("text"))
     packed = files.where(~F.col("ext").isin([*TEXT_TYPES, "html", "htm"])).select("path", "ext", "content").mapInPandas(read, "path string, text string")
     return simple.unionByName(packed)
