@@ -3,11 +3,12 @@
 At that similarity fingerprints differ in ten bits or so, too many for equal slices to bring a
 pair together. Shards are therefore made of what such a pair must share: in any fixed order of
 all shingles, two texts of similarity s have a common shingle among the first n - ceil(s n) + 1 of
-each. The order here puts shingles that many documents hold last, then goes by hash. Documents
-that meet, directly or through others, form a shard; in it each fingerprint searches a BK-tree
-following only edges within the radius, and what it finds is compared by exact shingle sets
-unless both are already in one group. Shards over `shard_cap` documents are dealt out as pairs of
-pieces, so a task holds two pieces at most and every pair still meets.
+each. The order here puts shingles that many documents hold last, then goes by hash. Among the
+documents of a shingle each fingerprint searches a BK-tree, following only edges within the
+radius; what is connected by such links is a shard. In a shard the same search finds pairs,
+which are compared by exact shingle sets unless both are already in one group. Shards over
+`shard_cap` documents are dealt out as pairs of pieces, so a task holds two pieces at most and
+every pair still meets.
 """
 
 from __future__ import annotations
@@ -20,10 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, star_components
-from .simhash_dedup import BKTree
 from .wordhash import NOT_SPACE, Words, majority
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 26
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
 #: Size in bits of the fixed table that marks common shingles, and how many are looked at.
 COMMON_BITS, COMMON_MAX = 24, 100_000
 
@@ -35,7 +35,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     out = []
     for first, end in zip(words.first.tolist(), words.upto.tolist(), strict=True):
         k = min(SHINGLE, end - first)
-        if k and k not in by_size:
+        if k not in by_size and k:
             by_size[k] = words.shingles(k)
         out.append(np.unique(by_size[k][first : end - k + 1]) if k else np.zeros(0, np.uint64))
     return out
@@ -59,7 +59,10 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(common: np.ndarray, similarity: float):
-    """(key, id, low): a key row for a part's first document with the key, links for its others."""
+    """(key, id, fp, n, low): a row for each document and prefix shingle, with its fingerprint and set size.
+
+    A common shingle gives one row of a part, with n = -1, and links of its other documents to that one (low).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
@@ -67,82 +70,148 @@ def _keys(common: np.ndarray, similarity: float):
             order = np.argsort(ids, kind="stable")
             texts = _encoded(part.column(1))
             sets = shingle_sets([texts[i] for i in order])
-            ids, keys, owner = ids[order], [], []
-            for i, s in enumerate(sets):
-                n = len(s)
-                if n:
-                    late = common[(s >> np.uint64(64 - COMMON_BITS)).astype(np.int64)]
-                    keys.append(np.concatenate([s[~late], s[late]])[: n - int(np.ceil(similarity * n - 1e-9)) + 1])
-                    owner.append(np.full(len(keys[-1]), i))
-            keys = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
-            owner = np.concatenate([*owner, np.zeros(0, np.int64)]).astype(np.int64)
-            values, first, back = np.unique(keys, return_index=True, return_inverse=True)
-            again = np.ones(len(keys), bool)
-            again[first] = False
-            a, b = ids[owner[again]], ids[owner[first][back[again]]]
-            links = np.unique(np.stack([a, b]), axis=1)
+            ids, sizes = ids[order], np.array([len(s) for s in sets], np.int64)
+            prints = majority(np.concatenate([*sets, np.zeros(0, np.uint64)]), sizes).view(np.int64)
+            keys, hot = [], []
+            for s in sets:
+                late = common[(s >> np.uint64(64 - COMMON_BITS)).astype(np.int64)]
+                most = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
+                keys.append(np.concatenate([s[~late], s[late]])[:most])
+                hot.append(np.arange(len(keys[-1])) >= len(s) - late.sum())
+            owner = np.repeat(np.arange(len(sets)), [len(k) for k in keys])
+            key = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+            hot = np.concatenate([*hot, np.zeros(0, bool)]).astype(bool)
+            _, first, back = np.unique(key, return_index=True, return_inverse=True)
+            again = hot & (first[back] != np.arange(len(key)))
+            links = np.unique(np.stack([ids[owner[again]], ids[owner[first[back[again]]]]]), axis=1)
             links = links[:, links[0] != links[1]]
-            low = pa.array(np.concatenate([np.zeros(len(values), np.int64), links[1]]), mask=np.arange(len(values) + links.shape[1]) < len(values))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([values, links[0]])), pa.array(np.concatenate([ids[owner[first]], links[0]])), low], names=["key", "id", "low"])
+            row, k = ~again, links.shape[1]
+            none = np.zeros(k, np.int64)
+            low = pa.array(np.concatenate([np.zeros(row.sum(), np.int64), links[1]]), mask=np.arange(row.sum() + k) < row.sum())
+            n = np.where(hot, -1, sizes[owner])[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([key[row], links[0]])), pa.array(np.concatenate([ids[owner[row]], links[0]])), pa.array(np.concatenate([prints[owner[row]], none])), pa.array(np.concatenate([n, none]).astype(np.int32)), low],
+                names=["key", "id", "fp", "n", "low"],
+            )
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and id -> links of each document to the first with its key."""
-    key, first = None, None
-    for batch in batches:
-        keys, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        low = batch.column(2)
-        made = np.asarray(low.is_valid())
-        src, dst = [ids[made]], [np.asarray(low.drop_null())]
-        k, i = keys[~made], ids[~made]
-        if len(k):
-            new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
-            head = i[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-            if not new[0]:
-                head[: int(np.argmax(new)) if new.any() else len(k)] = first
-            src.append(i[~new])
-            dst.append(head[~new])
-            key, first = k[-1], head[-1]
-        a, b = np.concatenate(src), np.concatenate(dst)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
+def bk_visit(prints: np.ndarray, radius: int, visit) -> None:
+    """Search a BK-tree of `prints` for all of them at once.
 
+    A node keeps the rest of its branch in children keyed by Hamming distance to it; the
+    fingerprints searched for go down together, each only along edges within `radius` of its own
+    distance. visit(node, positions) gets every node with all positions within the radius.
+    """
+    todo = [(np.arange(len(prints)), np.arange(len(prints)))] if len(prints) else []
+    while todo:
+        branch, asked = todo.pop()
+        node, rest = branch[0], branch[1:]
+        d = np.bitwise_count(prints[asked] ^ prints[node]).astype(np.int64)
+        visit(int(node), asked[d <= radius])
+        if len(rest):
+            edge = np.bitwise_count(prints[rest] ^ prints[node])
+            order = np.argsort(edge, kind="stable")
+            cuts = np.flatnonzero(np.diff(edge[order])) + 1
+            for child in np.split(rest[order], cuts):
+                e = int(np.bitwise_count(prints[child[0]] ^ prints[node]))
+                down = asked[np.abs(d - e) <= radius]
+                if len(down):
+                    todo.append((child, down))
+
+
+def _similar_size(a: np.ndarray, b: int, similarity: float) -> np.ndarray:
+    return np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+
+
+def near_labels(prints: np.ndarray, sizes: np.ndarray, radius: int, similarity: float, check=None) -> np.ndarray:
+    """Smallest position connected to each position by links within the radius, of fitting sizes and, if given, check(i, j)."""
+    label = np.arange(len(prints))
+
+    def merge(found: np.ndarray) -> None:
+        names = np.unique(label[found])
+        if len(names) > 1:
+            label[np.isin(label, names[1:])] = names[0]
+
+    def visit(i: int, found: np.ndarray) -> None:
+        found = found[(label[found] != label[i]) & _similar_size(sizes[found], sizes[i], similarity)]
+        if check is None:
+            merge(np.append(found, i))
+        else:
+            for j in found.tolist():
+                if label[i] != label[j] and check(i, j):
+                    merge(np.array([i, j]))
+
+    bk_visit(prints, radius, visit)
+    return label
 
-def verified_links(ids: list[int], sets: list[np.ndarray], similarity: float, radius: int) -> list[tuple[int, int]]:
-    """(id, smallest id of its group) within one shard: all pairs at the similarity are connected.
 
-    Equal fingerprints are one node of the tree; its members are compared one by one.
+def _meet(similarity: float, radius: int, cap: int):
+    """Rows sorted by key and id -> links that connect what is near among the documents of a key.
+
+    A key with common rows or over `cap` documents links all of them to the first: more than
+    needed, so nothing is lost, and the exact comparison comes later.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64)]
+        empty = [h.copy() for h in held]
+
+        def links(rows: list[np.ndarray]) -> tuple[list, list]:
+            key, ids, prints, sizes = rows
+            src, dst = [], []
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            length = np.diff(np.append(begin, len(key)))
+            two = begin[length == 2]
+            plain = (sizes[two] < 0) | (sizes[two + 1] < 0)
+            near = (np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius) & (np.minimum(sizes[two], sizes[two + 1]) >= similarity * np.maximum(sizes[two], sizes[two + 1]) - 1e-9)
+            two = two[plain | near]
+            src.append(ids[two + 1])
+            dst.append(ids[two])
+            for b, n in zip(begin[length > 2].tolist(), length[length > 2].tolist(), strict=True):
+                at = slice(b, b + n)
+                label = np.zeros(n, np.int64) if n > cap or sizes[at].min() < 0 else near_labels(prints[at], sizes[at], radius, similarity)
+                src.append(ids[at][label != np.arange(n)])
+                dst.append(ids[at][label[label != np.arange(n)]])
+            return src, dst
+
+        def batch_of(src: list, dst: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]), pa.int64()) for x in (src, dst)], names=["src", "dst"])
+
+        for batch in batches:
+            made = np.asarray(batch.column(4).is_valid())
+            cols = [np.asarray(batch.column(i)) for i in range(4)]
+            rows = [np.concatenate([h, c[~made].astype(h.dtype) if i != 2 else c[~made].view(np.uint64)]) for i, (h, c) in enumerate(zip(held, cols, strict=True))]
+            last = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0
+            src, dst = links([r[:last] for r in rows])
+            held = [r[last:] for r in rows]
+            if len(held[0]) > cap:
+                src.append(held[1][1:])
+                dst.append(np.full(len(held[1]) - 1, held[1][0]))
+                held = [h[:1].copy() for h in held]
+                held[3][:] = -1
+            src.append(cols[1][made])
+            dst.append(np.asarray(batch.column(4).drop_null()))
+            yield batch_of(src, dst)
+        yield batch_of(*links(held if len(held[0]) else empty))
+
+    return run
+
+
+def verified_links(ids: list[int], sets: list[np.ndarray], similarity: float, radius: int) -> list[tuple[int, int]]:
+    """(id, smallest id of its group) within one shard: all pairs at the similarity are connected, by exact shingle sets."""
     order = sorted(range(len(ids)), key=lambda i: ids[i])
-    prints = majority(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.array([len(s) for s in sets], np.int64)).tolist()
-    parent = list(range(len(order)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    tree, at_print, members = BKTree(), {}, []
-    for i, o in enumerate(order):
-        mine = sets[o]
-        for node in tree.near(prints[o], radius):
-            for j in members[node]:
-                a, b = root(i), root(j)
-                other = sets[order[j]]
-                small, large = sorted((len(mine), len(other)))
-                if a != b and small >= similarity * large - 1e-9:
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    if both >= similarity * (small + large - both) - 1e-9:
-                        parent[max(a, b)] = min(a, b)
-        if (node := at_print.get(prints[o])) is None:
-            at_print[prints[o]] = len(members)
-            members.append([i])
-            tree.add(prints[o])
-        else:
-            members[node].append(i)
-    return [(ids[o], ids[order[root(i)]]) for i, o in enumerate(order) if root(i) != i]
+    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    prints = majority(np.concatenate([*sets, np.zeros(0, np.uint64)]), sizes)
+
+    def same(i: int, j: int) -> bool:
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9
+
+    label = near_labels(prints, sizes, radius, similarity, same)
+    return [(ids[i], ids[k]) for i, k in enumerate(label.tolist()) if k != i and ids[i] != ids[k]]
 
 
 def _verify(similarity: float, radius: int):
@@ -159,8 +228,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Words are split at ASCII white space with A-Z lower-cased; similarity is the Jaccard of
     distinct five-word shingles (a shorter text: one shingle of all words). Links at
-    `similarity` or more are followed to their ends. The radius of 26 of 64 bits lies over five
-    standard deviations above the mean at similarity 0.8. Blank and null texts and rows
+    `similarity` or more are followed to their ends. The radius of 20 of 64 bits lies almost four
+    standard deviations above the mean distance at similarity 0.8. Blank and null texts and rows
     without an id are in no group; rows that repeat an id count as one document by any of
     their texts. No groups give no rows.
     """
@@ -174,7 +243,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _keys(np.unpackbits(shared.value).astype(bool), similarity)(batches)
 
-    met = rows.mapInArrow(keys, "key long, id long, low long").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meet, "src long, dst long")
+    met = rows.mapInArrow(keys, "key long, id long, fp long, n int, low long").repartition("key").sortWithinPartitions("key", "id")
+    met = met.mapInArrow(_meet(similarity, radius, shard_cap), "src long, dst long")
     shards = checkpointed(star_components(met))
     sizes = shards.groupBy("root").agg(F.ceil(F.count("*") / shard_cap).cast("int").alias("pieces"))
     placed = shards.join(sizes, "root").withColumn("piece", F.pmod(F.xxhash64("node"), "pieces").cast("int"))

@@ -36,7 +36,7 @@ class Words:
         self.hash = _mix(np.add.reduceat(values, np.cumsum(size) - size)) if n else np.zeros(0, np.uint64)
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.upto = np.searchsorted(self.begin, ends)  # words before the end of each text
-        self.first = np.concatenate([[0], self.upto[:-1]]).astype(np.int64)
+        self.first = np.concatenate([[0], self.upto]).astype(np.int64)[:-1]
 
     def shingles(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; the last k - 1 run into the next text."""
