@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -73,18 +73,23 @@ def op6_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
-#: Documents name no domain: a source belongs to one of four, by its number. Languages have these target weights.
-DOMAIN = F.concat(F.lit("d"), F.pmod(F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("long"), F.lit(0)), F.lit(4)).cast("string"))
+def domain() -> Column:
+    """Documents name no domain: a source belongs to one of four, by its number."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("long")
+    return F.concat(F.lit("d"), F.pmod(F.coalesce(number, F.lit(0)), F.lit(4)).cast("string"))
+
+
+#: Target weights of the domains and languages.
 WEIGHTS = {"domain": {"d0": 4.0, "d1": 2.0, "d2": 1.0, "d3": 1.0}, "language": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}}
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    return mix(docs, DOMAIN, F.col("lang"), F.col("source"), weights=WEIGHTS)
+    return mix(docs, domain(), F.col("lang"), F.col("source"), weights=WEIGHTS)
 
 
 def op7_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = mixed(table(spark, sf_dir, "documents"))
-    return chosen.select("doc_id", DOMAIN.alias("domain"), F.col("lang").alias("language"), F.col("source").alias("origin"), "mix_epoch")
+    return chosen.select("doc_id", domain().alias("domain"), F.col("lang").alias("language"), F.col("source").alias("origin"), "mix_epoch")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
