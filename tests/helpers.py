@@ -1,0 +1,6 @@
+"""Shared by the tests."""
+
+
+def rows(df, *columns):
+    """Rows as a sorted list of tuples."""
+    return sorted((tuple(r[c] for c in columns or df.columns) for r in df.collect()), key=repr)
