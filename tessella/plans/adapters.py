@@ -88,8 +88,8 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("node_type"), F.col("c_nationkey").cast("long").alias("community_id"), F.col("c_name").alias("label"))
     nodes = nodes.unionByName(s.select((-F.col("s_suppkey") - 1).alias("id"), F.lit("SUPPLIER").alias("node_type"), F.col("s_nationkey").cast("long").alias("community_id"), F.col("s_name").alias("label")))
     o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    sold = line.where("l_linenumber = 1").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    edges = sold.where("o_orderkey % 5 = 0").select(
+    sold = line.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = sold.select(
         F.col("o_custkey").alias("source_id"), (-F.col("l_suppkey") - 1).alias("target_id"), F.when(F.col("o_orderkey") % 2 == 0, "source_overlap").otherwise("direct_link").alias("edge_type"), F.col("l_quantity").alias("weight")
     )
     return nodes, edges
@@ -102,7 +102,7 @@ nodes AS (
 edges AS (
   SELECT o_custkey AS source_id, -l_suppkey - 1 AS target_id,
          CASE WHEN o_orderkey % 2 = 0 THEN 'source_overlap' ELSE 'direct_link' END AS edge_type, l_quantity AS weight
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderkey % 5 = 0),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 near AS (
   SELECT DISTINCT u, v FROM (SELECT source_id AS u, target_id AS v FROM edges UNION ALL SELECT target_id, source_id FROM edges)
   WHERE u <> v AND u IN (SELECT id FROM nodes) AND v IN (SELECT id FROM nodes))

@@ -156,10 +156,10 @@ def list_entries_total(spark, sf):
     return listing.page(rows, [F.asc("id")])[0]
 
 
-@query(f"""WITH {a.ENTRIES}, {a.RECORDS}
+@query(f"""WITH {a.ENTRIES}
 (SELECT 'entries' AS scope, id, title FROM entries WHERE strip_accents(title) ILIKE '%c 9%' ORDER BY created_at, id LIMIT 20) UNION ALL
 (SELECT 'parts', p_partkey, p_name FROM part WHERE strip_accents(p_name) ILIKE '%re%' ORDER BY p_partkey LIMIT 20) UNION ALL
-(SELECT 'customers', c_custkey, c_name FROM customer WHERE strip_accents(c_name) ILIKE '%00%' ORDER BY c_custkey LIMIT 20)""".replace(f", {a.RECORDS}", ""))
+(SELECT 'customers', c_custkey, c_name FROM customer WHERE strip_accents(c_name) ILIKE '%00%' ORDER BY c_custkey LIMIT 20)""")
 def unified_search(spark, sf):
     p, c = a.table(spark, sf, "part").withColumn("id", F.col("p_partkey")), a.table(spark, sf, "customer").withColumn("id", F.col("c_custkey"))
     one = lambda df, title, kw, order: listing.federated({df[0]: (df[1], title, order)}, kw)
@@ -290,11 +290,11 @@ def project_backfill(spark, sf):
     return repair.backfilled_project(a.entries(spark, sf), docs, two)
 
 
-@query("SELECT p_partkey AS id, min(n_nationkey)::BIGINT AS project_id FROM (SELECT p_partkey, n_name || '_' || p_name AS title FROM part JOIN nation ON p_partkey % 40 = n_nationkey) JOIN nation ON starts_with(title, n_name || '_') GROUP BY 1")
+@query("SELECT p_partkey AS id, min(n_nationkey)::BIGINT AS project_id FROM (SELECT p_partkey, n_name || '_' || p_name AS title FROM part JOIN nation ON p_partkey % 25 = n_nationkey) JOIN nation ON starts_with(title, n_name || '_') GROUP BY 1")
 def title_prefix_backfill(spark, sf):
     n = a.table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("project_id"))
     p = a.table(spark, sf, "part")
-    docs = p.join(n, F.col("p_partkey") % 40 == F.col("project_id")).select(F.col("p_partkey").alias("id"), F.concat_ws("_", "name", "p_name").alias("title"))
+    docs = p.join(n, F.col("p_partkey") % 25 == F.col("project_id")).select(F.col("p_partkey").alias("id"), F.concat_ws("_", "name", "p_name").alias("title"))
     return repair.project_by_title(docs, n)
 
 
@@ -381,13 +381,13 @@ def event_payload(spark, sf):
     return log.select("job_id", "event_type", F.get_json_object("payload_json", "$.k").cast("long").alias("k"))
 
 
-@query(f"""WITH {a.PARTS}, p AS (SELECT * FROM parts WHERE id <= 400),
+@query(f"""WITH {a.PARTS}, p AS (SELECT * FROM parts),
   w AS (SELECT id, unnest(string_split(keywords, ', ')) AS word FROM p),
   s AS (SELECT x.id AS source, y.id AS target, 4 AS score FROM p x JOIN p y ON x.document_id = y.document_id AND x.id <> y.id
         UNION ALL SELECT x.id, y.id, 2 FROM p x JOIN p y ON lower(trim(x.source_name)) = lower(trim(y.source_name)) AND x.id <> y.id
         UNION ALL SELECT x.id, y.id, 1 FROM w x JOIN w y ON x.word = y.word AND x.id <> y.id),
   t AS (SELECT source, target, sum(score)::BIGINT AS score FROM s GROUP BY 1, 2)
-  SELECT * FROM (SELECT source, target, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, 'part ' || target, target) AS position FROM t) WHERE position <= 12""".replace("WHERE id <= 400", ""))
+  SELECT * FROM (SELECT source, target, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, 'part ' || target, target) AS position FROM t) WHERE position <= 12""")
 def target_candidates(spark, sf):
     return repair.candidate_targets(a.parts(spark, sf)).select("source", "target", "score", F.col("position").cast("long").alias("position"))
 
@@ -416,7 +416,7 @@ def source_overlap_edges(spark, sf):
     return graph.source_edges(a.parts(spark, sf))
 
 
-@query(f"WITH {a.PARTS}, m AS (SELECT id, CASE WHEN document_id IS NOT NULL THEN 'document:' || document_id ELSE 'source:' || lower(source_name) END AS key, source_name FROM parts) SELECT id, key, arg_min(source_name, id) OVER (PARTITION BY key) AS label FROM m".replace("arg_min(source_name, id) OVER (PARTITION BY key)", "first_value(source_name) OVER (PARTITION BY key ORDER BY id)"))
+@query(f"WITH {a.PARTS}, m AS (SELECT id, CASE WHEN document_id IS NOT NULL THEN 'document:' || document_id ELSE 'source:' || lower(source_name) END AS key, source_name FROM parts) SELECT id, key, first_value(source_name) OVER (PARTITION BY key ORDER BY id) AS label FROM m")
 def source_contains_edges(spark, sf):
     return graph.source_members(a.parts(spark, sf))
 
