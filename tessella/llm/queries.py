@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .oracles import SQL
 from .pii import find_pii
 from .quality_crf import score_documents
 from .revisits import resolve
@@ -58,7 +59,8 @@ def op3_url_temporal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages have no fetch time: a page is taken as fetched (page_id mod 365) days into 2024."""
     pages = table(spark, sf_dir, "pages")
     captures = pages.select(F.col("page_id").alias("capture_id"), "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int")).alias("fetched_at"))
-    return filter_captures(captures, list_history(pages)).withColumnRenamed("capture_id", "page_id")
+    found = filter_captures(captures, list_history(pages)).withColumnRenamed("capture_id", "page_id")
+    return found.withColumn("fetched_at", F.col("fetched_at").cast("string"))
 
 
 def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,20 +131,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
-
-
-OP8_SQL = r"""
-WITH n AS (
-  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n_cp,
-         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
-  FROM documents
-)
-SELECT doc_id,
-       first_value(doc_id) OVER w AS keep_id,
-       count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = first_value(doc_id) OVER w AS kept,
-       text_sha256
-FROM n
-WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id)
-"""
+    return dict(SQL)
