@@ -44,7 +44,8 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, key: str) -> Streami
 def task_states(events: DataFrame) -> DataFrame:
     """task_id, status, progress, updated_at: the latest event of each task; a finished task stays finished."""
     done = F.col("status").isin(*FINISHED)
-    order = F.struct(done.cast("int"), F.when(done, -F.unix_micros("ts")).otherwise(F.unix_micros("ts")))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    order = F.struct(done.cast("int"), F.when(done, -at).otherwise(at))
     return events.groupBy("task_id").agg(F.max_by("status", order).alias("status"), F.max("progress").alias("progress"), F.max("ts").alias("updated_at"))
 
 
