@@ -23,6 +23,21 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
+    """`df` with its position (from 1) in the order, without a single-task window.
+
+    Rows are sorted by range partitions; a row's position is its place in its partition plus
+    the sizes of the partitions before. `order` must be total.
+    """
+    # Checkpointed, so that both uses see the same partitions.
+    parts = _checkpointed(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.withColumn("__place", place).join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__place")).cast("long")).drop("__part", "__place", "__before")
+
+
 # ---- edges ---------------------------------------------------------------------------------
 
 
@@ -203,7 +218,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 20, least_gain: fl
 def ranked_groups(groups: DataFrame, key: str) -> DataFrame:
     """key, n, first_member, rank (from 0): groups by size, then by first member, ids compared as text. groups: id, key."""
     sized = groups.groupBy(key).agg(F.count("*").alias("n"), F.min(F.col("id").cast("string")).alias("first_member"))
-    return sized.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first_member")) - 1)
+    return numbered(sized, [F.desc("n"), F.asc("first_member")], "rank").withColumn("rank", F.col("rank") - 1)
 
 
 def cohesion(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -246,12 +261,12 @@ def algorithm(name: str):  # noqa: ANN201
 def build_graph(entries: DataFrame) -> dict[str, DataFrame]:
     """The whole build: nodes (with source nodes) and the four edge families. entries: id, title, content, keywords, document_id, source_name, entry_type.
 
-    Source nodes take ids after the largest entry id, in order of their key.
+    A source node's id is negative and made from its key, so no global count is needed.
     """
     text = entries.where("entry_type <> 'image' and entry_type <> 'table'")
     members = source_members(text)
-    top = text.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    sources = members.select("key", "label").distinct().withColumn("n", F.row_number().over(Window.orderBy("key"))).crossJoin(F.broadcast(top)).select("key", "label", (F.col("top") + F.col("n")).alias("source_id"))
+    own_id = -F.xxhash64("key").bitwiseAND(F.lit((1 << 62) - 1)) - 1
+    sources = members.select("key", "label").distinct().withColumn("source_id", own_id)
     contains = members.select(F.col("id").alias("target_id"), "key").join(sources, "key").select("source_id", "target_id")
     nodes = text.select("id", F.col("title").alias("label"), F.col("entry_type").alias("node_type")).unionByName(sources.select(F.col("source_id").alias("id"), "label", F.lit("source").alias("node_type")))
     edges = all_edges(keyword_overlap=keyword_edges(text), direct_link=link_edges(text), source_overlap=source_edges(text), source_contains=contains)
@@ -263,6 +278,6 @@ def first_nodes(df: DataFrame) -> DataFrame:
     return first_by(df, "id", [F.asc("ord")])
 
 
-def fallback_community(order: Column) -> Column:
-    """Community of a node when none was computed: its position modulo three."""
-    return (F.row_number().over(Window.orderBy(order)) - 1) % 3
+def fallback_community(nodes: DataFrame, order: list[Column]) -> DataFrame:
+    """Nodes with `community_id` when none was computed: the position modulo three."""
+    return numbered(nodes, order, "__n").withColumn("community_id", (F.col("__n") - 1) % 3).drop("__n")
