@@ -75,22 +75,19 @@ def star_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             )
         return out.where("src <> dst").distinct()
 
-    def state(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
-        return r["n"], r["h"]
+    def settled(e: DataFrame) -> bool:
+        """Whether every node either points to one root or is a root itself."""
+        ends = e.select(F.col("src").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+        ends = ends.unionByName(e.select(F.col("dst").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        roles = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        return roles.where("out > 1 or (out > 0 and into > 0)").isEmpty()
 
     work = checkpointed(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    nodes, before = work, state(work)
     for _ in range(max_rounds):
-        if not before[0]:
+        if settled(work):
             break
         work = checkpointed(star(star(work, True), False))
-        after = state(work)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return work.select(F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(
-        work.select(F.col("dst").alias("node"), F.col("dst").alias("root"))
-    ).distinct()
+    roots = work.select("dst").distinct().select(F.col("dst").alias("node"), F.col("dst").alias("root"))
+    return work.select(F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(roots)

@@ -7,8 +7,9 @@ each. The order here puts shingles that many documents hold last, then goes by h
 documents of a shingle each fingerprint searches a BK-tree, following only edges within the
 radius; what is connected by such links is a shard. In a shard the same search finds pairs,
 which are compared by exact shingle sets unless both are already in one group. Shards over
-`shard_cap` documents are dealt out as pairs of pieces, so a task holds two pieces at most and
-every pair still meets.
+`shard_cap` documents are dealt out at random in pieces of that size, twice, which joins a large
+group of near copies in linear work. What is not in a shard's largest group by then is dealt out
+once more, to meet every piece of the shard: every pair that is not connected yet is compared.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, star_components
+from .common import checkpointed, shared_table, star_components
 from .wordhash import NOT_SPACE, Words, majority
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
@@ -125,9 +126,15 @@ def _similar_size(a: np.ndarray, b: int, similarity: float) -> np.ndarray:
     return np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
 
 
-def near_labels(prints: np.ndarray, sizes: np.ndarray, radius: int, similarity: float, check=None) -> np.ndarray:
-    """Smallest position connected to each position by links within the radius, of fitting sizes and, if given, check(i, j)."""
+def near_labels(prints: np.ndarray, sizes: np.ndarray, radius: int, similarity: float, check=None, known: np.ndarray | None = None) -> np.ndarray:
+    """Smallest position connected to each position by links within the radius, of fitting sizes and, if given, check(i, positions).
+
+    known: positions of equal values are connected already.
+    """
     label = np.arange(len(prints))
+    if known is not None and len(known):
+        _, first, back = np.unique(known, return_index=True, return_inverse=True)
+        label = first[back]
 
     def merge(found: np.ndarray) -> None:
         names = np.unique(label[found])
@@ -136,12 +143,9 @@ def near_labels(prints: np.ndarray, sizes: np.ndarray, radius: int, similarity:
 
     def visit(i: int, found: np.ndarray) -> None:
         found = found[(label[found] != label[i]) & _similar_size(sizes[found], sizes[i], similarity)]
-        if check is None:
-            merge(np.append(found, i))
-        else:
-            for j in found.tolist():
-                if label[i] != label[j] and check(i, j):
-                    merge(np.array([i, j]))
+        if check is not None and len(found):
+            found = found[check(i, found)]
+        merge(np.append(found, i))
 
     bk_visit(prints, radius, visit)
     return label
@@ -199,25 +203,38 @@ def _meet(similarity: float, radius: int, cap: int):
     return run
 
 
-def verified_links(ids: list[int], sets: list[np.ndarray], similarity: float, radius: int) -> list[tuple[int, int]]:
-    """(id, smallest id of its group) within one shard: all pairs at the similarity are connected, by exact shingle sets."""
+def verified_links(ids: list[int], sets: list[np.ndarray], similarity: float, radius: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """(id, smallest id of its group) within one piece: all pairs at the similarity are connected, by exact shingle sets.
+
+    known: documents of equal values are in one group already and are not compared.
+    """
     order = sorted(range(len(ids)), key=lambda i: ids[i])
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
     sizes = np.array([len(s) for s in sets], np.int64)
     prints = majority(np.concatenate([*sets, np.zeros(0, np.uint64)]), sizes)
 
-    def same(i: int, j: int) -> bool:
-        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        return both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9
-
-    label = near_labels(prints, sizes, radius, similarity, same)
+    # Postings of the piece: one document's overlaps with all others are counted at once.
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, term = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    begin = np.cumsum(np.bincount(term)) - np.bincount(term)
+    posted, first = owner[np.argsort(term, kind="stable")], np.cumsum(sizes) - sizes
+    held = np.bincount(term)
+
+    def same(i: int, found: np.ndarray) -> np.ndarray:
+        terms = term[first[i] : first[i] + sizes[i]]
+        n = held[terms]
+        at = np.repeat(begin[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(posted[at], minlength=len(sets))[found]
+        return both >= similarity * (sizes[i] + sizes[found] - both) - 1e-9
+
+    label = near_labels(prints, sizes, radius, similarity, same, None if known is None else np.array([known[i] for i in order]))
     return [(ids[i], ids[k]) for i, k in enumerate(label.tolist()) if k != i and ids[i] != ids[k]]
 
 
 def _verify(similarity: float, radius: int):
     def run(table: pa.Table) -> pa.Table:
         sets = shingle_sets(_encoded(table.column("text").combine_chunks()))
-        found = verified_links(table.column("id").to_pylist(), sets, similarity, radius)
+        found = verified_links(table.column("id").to_pylist(), sets, similarity, radius, table.column("known").to_pylist())
         return pa.table({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
 
     return run
@@ -245,13 +262,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     met = rows.mapInArrow(keys, "key long, id long, fp long, n int, low long").repartition("key").sortWithinPartitions("key", "id")
     met = met.mapInArrow(_meet(similarity, radius, shard_cap), "src long, dst long")
-    shards = checkpointed(star_components(met))
+    shards = star_components(met)
     sizes = shards.groupBy("root").agg(F.ceil(F.count("*") / shard_cap).cast("int").alias("pieces"))
-    placed = shards.join(sizes, "root").withColumn("piece", F.pmod(F.xxhash64("node"), "pieces").cast("int"))
-    pairs = F.when(F.col("pieces") == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda i: F.struct(F.least(i, F.col("piece")).alias("a"), F.greatest(i, F.col("piece")).alias("b")))
-    )
-    texts = rows.join(placed.select(F.col("node").alias("id"), "root", pairs.alias("pairs")), "id")
-    dealt = texts.select("id", "text", "root", F.inline("pairs"))
-    links = dealt.groupBy("root", "a", "b").applyInArrow(_verify(similarity, radius), "src long, dst long")
+    shards = checkpointed(shards.join(sizes, "root").select(F.col("node").alias("id"), "root", "pieces", F.col("node").alias("known")))
+    texts = shared_table(rows.join(shards.select("id").distinct(), "id", "left_semi"), "near-texts")
+
+    def compared(pieces: DataFrame) -> DataFrame:
+        """Links found within the pieces (id, root, known, a, b)."""
+        dealt = texts.join(pieces, "id").select("id", "text", "root", "known", "a", "b")
+        return dealt.groupBy("root", "a", "b").applyInArrow(_verify(similarity, radius), "src long, dst long")
+
+    def piece(of: str, seed: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), "id"), of).cast("int")
+
+    links = compared(shards.select("id", "root", "known", piece("pieces", 1).alias("a"), F.lit(0).alias("b")))
+    large = shards.where("pieces > 1")
+    if not large.isEmpty():
+        links = checkpointed(links.unionByName(compared(large.select("id", "root", "known", piece("pieces", 2).alias("a"), F.lit(1).alias("b")))))
+        # What two random deals joined is settled; the largest group of a shard need not meet itself again.
+        groups = star_components(links).withColumnsRenamed({"node": "id", "root": "group"})
+        large = large.join(groups, "id", "left").withColumn("known", F.coalesce("group", "id")).drop("group")
+        held = large.groupBy("root", "known").agg(F.count("*").alias("n"))
+        most = held.groupBy("root").agg(F.max_by("known", F.struct("n", "known")).alias("most"), (F.sum("n") - F.max("n")).alias("others"))
+        large = checkpointed(large.join(most, "root").where("others > 0").withColumn("rest", F.ceil(F.col("others") / shard_cap).cast("int")))
+        minor = F.col("known") != F.col("most")
+        mine = large.where(minor).select("id", "root", "known", piece("rest", 3).alias("a"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("b"))
+        all_ = large.select("id", "root", "known", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("a"), piece("pieces", 4).alias("b"), minor.alias("minor"), piece("rest", 3).alias("own"))
+        all_ = all_.where("not (minor and a = own)").select("id", "root", "known", "a", "b")
+        links = links.unionByName(compared(mine.unionByName(all_)))
     return star_components(links).select(F.col("node").alias("id"), F.col("root").alias("component_id"))

@@ -293,7 +293,12 @@ def _cover(bits: int, ranges: int):
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of phases whose results are already written."""
+    """Let Spark drop the shuffle files of a phase whose result is already written.
+
+    They go when the driver's last reference is collected; the scheduler keeps one to its latest
+    job, so a job of one row comes first.
+    """
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
 
@@ -316,6 +321,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     each = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "lens", "shas")).alias("at", "d")).select("chunk", "at", F.col("d.ids").alias("id"), F.col("d.lens").alias("n"), F.col("d.shas").alias("sha"))
     lowest = each.groupBy("sha").agg(F.min("id").alias("low"), F.count("*").alias("uses")).where("uses > 1")
+    lowest = shared_table(lowest, "suffix-leaders")  # written, so that a join on a hot digest can be split
     copies = each.join(lowest, "sha").where("id > low").groupBy("chunk").agg(F.collect_list("at").alias("copies"))
     copies = shared_table(copies, "suffix-copies")
     total = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_table
+
 #: Deepest host suffix and deepest path prefix that a list pattern may have.
 MAX_LABELS, MAX_SEGMENTS = 6, 3
 
@@ -66,6 +68,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     met = keys.select("host", "path", "fetched_at", F.explode(patterns(F.col("host"), F.col("path"))).alias("pattern")).join(validity(entries), "pattern")
     active = met.where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
     verdict = active.groupBy("host", "path", "fetched_at").agg(F.count("*").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+    verdict = shared_table(verdict, "url-verdicts")  # written, so that a join on a hot page can be split
     return rows.join(verdict, ["host", "path", "fetched_at"], "left").select(
         "capture_id", "host", "fetched_at", F.col("n_entries").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"), F.coalesce("categories", F.lit("")).alias("categories")
     )
