@@ -48,14 +48,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def star_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def star_components(edges: DataFrame, max_rounds: int = 40, edges_per_file: int = 500_000) -> DataFrame:
     """Connected components of undirected `edges` (src, dst: long) -> (node, root).
 
     root is the smallest node of the component. Alternating large-star and small-star rounds:
     each rewires every node to the smallest neighbour it knows, so rounds grow with the
     logarithm of the longest path. A node of very high degree is one aggregated row per map
-    task and a join that adaptive execution splits. Self links and repeated links are allowed;
-    no edges give no rows. Raises RuntimeError when max_rounds were not enough.
+    task and a join that adaptive execution splits. A round writes one file for each
+    `edges_per_file` edges, not one for each shuffle partition. Self links and repeated links
+    are allowed; no edges give no rows. Raises RuntimeError when max_rounds were not enough.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -83,10 +84,11 @@ def star_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         return roles.where("out > 1 or (out > 0 and into > 0)").isEmpty()
 
     work = checkpointed(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    files = 1 + work.count() // edges_per_file  # no round has more edges than it began with
     for _ in range(max_rounds):
         if settled(work):
             break
-        work = checkpointed(star(star(work, True), False))
+        work = checkpointed(star(star(work, True), False).coalesce(files))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = work.select("dst").distinct().select(F.col("dst").alias("node"), F.col("dst").alias("root"))
