@@ -71,18 +71,16 @@ def keyword_hits(entries: DataFrame, question: str, tokens: list[str]) -> DataFr
     return entries.select("id", points.alias("score")).where("score > 0")
 
 
-def _ranks(hits: DataFrame, most: int | None, name: str) -> DataFrame:
-    rows = hits.orderBy(F.desc("score"), "id").limit(most) if most else hits
-    return rows.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias(name))
-
-
-def fused(keyword: DataFrame, vector: DataFrame, k: int, constant: float = 60.0, pool: int = 1000) -> DataFrame:
+def fused(keyword: DataFrame, vector: DataFrame, k: int, constant: float = 60.0) -> DataFrame:
     """id, rrf: sum of 1 / (constant + rank) over both rankings, the best k, ties by id.
 
-    Ranks past `pool + k` in one ranking can no longer reach the best k through it alone or with the
-    other: they are ranked in the cut only, which keeps the ranking out of a single large task.
+    Ranks are those among all hits: a hit of one ranking can reach the best k by any rank in the
+    other. Rankings are numbered by range partitions, so neither is sorted in one task.
     """
-    a, b = _ranks(keyword, pool + k, "a"), _ranks(vector, pool + k, "b")
+    from .graph import numbered
+
+    ranks = lambda hits, name: numbered(hits.select("id", "score"), [F.desc("score"), F.asc("id")], name).select("id", name)
+    a, b = ranks(keyword, "a"), ranks(vector, "b")
     part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(constant) + F.col(c)), F.lit(0.0))
     return a.join(b, "id", "full").select("id", (part("a") + part("b")).alias("rrf")).orderBy(F.desc("rrf"), "id").limit(k)
 
