@@ -4,8 +4,9 @@ Windows of an item's number of words slide over every document one word at a tim
 reach the similarity only if enough of its shingles are shingles of items of that size; windows
 that cannot are skipped, which loses no match. The others get a SimHash fingerprint. Cut into
 radius + 1 blocks, two fingerprints within the radius agree on one block at least, so an equality
-join on (size, block, value) finds all of them; candidates within the radius are then compared
-by their exact weighted shingles. A benchmark over `slice_shingles` is taken in slices of that
+join on (size, block, value) finds all of them. An item that shares enough shingles with a window
+although its fingerprint lies beyond the radius is named by the task that reads the window, so
+the radius loses no match. Candidates are then compared by their exact weighted shingles. A benchmark over `slice_shingles` is taken in slices of that
 size, one pass each, so what a pass broadcasts is bounded.
 """
 
@@ -44,15 +45,22 @@ class Items:
         ids = [i for i, _ in rows]
         words = Words([_lower(t) for _, t in rows])
         sizes = words.upto - words.first
-        self.rows, by = [], {}
+        self.rows, by, rows = [], {}, {}
         for i, (size, first) in enumerate(zip(sizes.tolist(), words.first.tolist(), strict=True)):
             if size:
                 k = min(SHINGLE, size)
                 one = words.shingles(k)[first : first + size - k + 1]
                 fp = int(majority(one, np.array([len(one)]))[0])
                 self.rows.append((ids[i], size, fp, words.text(first, size)))
-                by.setdefault((k, size), []).append(one)
+                by.setdefault((k, size), []).append(np.unique(one))
+                rows.setdefault((k, size), []).append(np.full(len(by[k, size][-1]), len(self.rows) - 1))
         self.classes = {key: np.unique(np.concatenate(v)) for key, v in by.items()}
+        # For each class the rows of the items that hold each of its shingles, and where a shingle's rows begin.
+        self.holders = {}
+        for key, v in by.items():
+            every = np.concatenate(v)
+            self.holders[key] = np.concatenate(rows[key])[np.argsort(every, kind="stable")], np.searchsorted(np.sort(every), self.classes[key])
+        self.prints = np.array([fp for _, _, fp, _ in self.rows], np.uint64)
         self.shingles = {k: np.unique(np.concatenate([v for (kk, _), v in self.classes.items() if kk == k])) for k in {k for k, _ in self.classes}}
 
 
@@ -61,15 +69,27 @@ def _member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == values
 
 
-def _windows(items: Items, threshold: float):
+def _windows(items: Items, threshold: float, radius: int):
     bits = np.uint64(44)
     seen = {}
     for k, values in items.shingles.items():
         seen[k] = np.zeros(1 << 20, bool)
         seen[k][values >> bits] = True
 
-    def of(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, str]]:
-        """(text, start, item size, fingerprint, words) of every window that may reach the similarity."""
+    def beyond(key: tuple[int, int], sh: np.ndarray, at: np.ndarray, first: int, m: int, least: int, prints: dict[int, int]) -> Iterator[tuple[int, int]]:
+        """(start, item row): items with `least` shingles or more in a window, their fingerprint beyond the radius."""
+        members, (holders, begin) = items.classes[key], items.holders[key]
+        end = np.append(begin[1:], len(holders))
+        for s, fp in prints.items():  # one window at a time bounds the memory
+            inside = at[np.searchsorted(at, first + s) : np.searchsorted(at, first + s + m)]
+            which = np.searchsorted(members, sh[inside])
+            n = end[which] - begin[which]
+            rows, shared = np.unique(holders[np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())], return_counts=True)
+            rows = rows[shared >= least]
+            yield from ((s, i) for i in rows[np.bitwise_count(items.prints[rows] ^ np.uint64(fp)) > radius].tolist())
+
+    def of(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, str, int | None]]:
+        """(text, start, item size, fingerprint, words, None) of every window that may reach the similarity; the same with an item's row where that lies beyond the radius."""
         words = Words(texts)
         for k, values in items.shingles.items():
             sh = words.shingles(k)
@@ -87,26 +107,30 @@ def _windows(items: Items, threshold: float):
                     least = math.ceil(threshold * (m + m_item) / (1 + threshold) - 1e-9)
                     if least > m or len(mine) < least:
                         continue
+                    at = mine[_member(sh[mine], members)]
                     flags = np.zeros(n - k + 2, np.int64)
-                    flags[mine[_member(sh[mine], members)] - first + 1] = 1
+                    flags[at - first + 1] = 1
                     total = np.cumsum(flags)
                     starts = np.flatnonzero(total[m:] - total[: len(total) - m] >= least)
                     if len(starts):
                         runs = np.concatenate([sh[first + s : first + s + m] for s in starts.tolist()])
                         prints = majority(runs, np.full(len(starts), m))
-                        for s, fp in zip(starts.tolist(), prints.tolist(), strict=True):
-                            yield d, s, size, fp, words.text(first + s, min(size, n))
+                        fps = dict(zip(starts.tolist(), prints.tolist(), strict=True))
+                        for s, fp in fps.items():
+                            yield d, s, size, fp, words.text(first + s, min(size, n)), None
+                        for s, i in beyond((kk, size), sh, at, first, m, least, fps):
+                            yield d, s, size, fps[s], words.text(first + s, min(size, n)), i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 ids = part.column(0).to_pylist()
                 found = list(of([_lower(t) for t in part.column(1).to_pylist()]))
-                cols = list(zip(*found, strict=True)) if found else [[]] * 5
+                cols = list(zip(*found, strict=True)) if found else [[]] * 6
                 fps = np.array(cols[3], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d in cols[0]], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(fps), pa.array(cols[4], pa.string())],
-                    names=["doc_id", "start", "size", "fp", "words"],
+                    [pa.array([ids[d] for d in cols[0]], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(fps), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.int64())],
+                    names=["doc_id", "start", "size", "fp", "words", "item"],
                 )
 
     return run
@@ -140,14 +164,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if not items.rows:
             continue
         signed = lambda v: v - (1 << 64) if v >> 63 else v
-        known = spark.createDataFrame([(i, n, signed(fp), t) for i, n, fp, t in items.rows], "item_id long, size int, item_fp long, item_words string")
-        known = known.select("*", F.posexplode(blocks("item_fp")).alias("block", "value"))
-        windows = source.mapInArrow(_windows(items, threshold), "doc_id long, start long, size int, fp long, words string")
-        keyed = windows.select("*", F.posexplode(blocks("fp")).alias("block", "value"))
+        known = spark.createDataFrame([(i, n, signed(fp), t, row) for row, (i, n, fp, t) in enumerate(items.rows)], "item_id long, size int, item_fp long, item_words string, row long")
+        # One block more than the fingerprint has: the item's row, for windows that name it.
+        known = known.select("*", F.posexplode(F.concat(blocks("item_fp"), F.array("row"))).alias("block", "value"))
+        windows = source.mapInArrow(_windows(items, threshold, radius), "doc_id long, start long, size int, fp long, words string, item long")
+        named = F.concat(F.array_repeat(F.lit(None).cast("long"), radius + 1), F.array("item"))
+        keyed = windows.select("*", F.posexplode(F.when(F.col("item").isNull(), blocks("fp")).otherwise(named)).alias("block", "value"))
         near = keyed.join(F.broadcast(known), ["size", "block", "value"])
         differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
         first_equal = F.array_position(blocks(differ), F.lit(0).cast("long")) == F.col("block") + 1
-        near = near.where(first_equal & (F.bit_count(differ) <= radius))
+        near = near.where((F.col("block") > radius) | (first_equal & (F.bit_count(differ) <= radius)))
         part = near.select("doc_id", "item_id", "start", similarity("words", "item_words").alias("similarity")).where(F.col("similarity") >= threshold)
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -143,6 +143,31 @@ def test_contamination(spark):
         assert [(r[0], r[1], round(r[2], 9), r[3], r[4]) for r in sorted(found.collect(), key=lambda r: (r[0], r[1]))] == brute_contamination(docs, items)
 
 
+def test_contamination_of_passages_at_the_threshold(spark):
+    rng = random.Random(11)
+    items, docs = [], []
+    for i in range(3000):
+        size = rng.choice([13, 30, 49, 50, 52])
+        w = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+        items.append((i, " ".join(w)))
+        if size < 40:
+            w[-1] = "changed"
+        else:
+            w[rng.randrange(5, size - 5)] = "changed"
+        docs.append((i, " ".join(["before", *w, "after"])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in contamination(documents(spark, docs).repartition(4), bench).collect()}
+    wanted = {}
+    for (i, t), (_, d) in zip(items, docs, strict=True):
+        x, w = t.split(), d.split()
+        grams = {tuple(x[j : j + 5]) for j in range(len(x) - 4)}
+        of = lambda s: {tuple(w[s : s + len(x)][j : j + 5]) for j in range(len(x) - 4)}  # noqa: E731, B023
+        best = max(((len(of(s) & grams) / len(of(s) | grams)), -s) for s in range(3))
+        if best[0] >= 0.8:
+            wanted[i, i] = best[0], -best[1]
+    assert len(wanted) > 2500 and found == wanted
+
+
 def test_contamination_of_edge_cases(spark):
     bench = spark.createDataFrame([(1, "b a"), (None, "x y z"), (3, LONGEST)], "item_id long, text string")
     found = contamination(documents(spark, [(i, t) for i, t in EDGE if i not in (6, 7)]), bench)
