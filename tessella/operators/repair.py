@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_set, related_set
+from ..functions.text import keyword_set, related_set, trim_controls
 
 
 def first_by(df: DataFrame, key: str | Column, order: list[Column]) -> DataFrame:
@@ -127,12 +127,33 @@ def candidate_targets(entries: DataFrame, top: int = 12) -> DataFrame:
     return titled.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top).drop("title")
 
 
+#: Lengths of the character runs by which tags meet texts: a tag has one of the longest that fits it.
+GRAMS = (2, 4, 8)
+
+
+def _grams(c: Column, size: int) -> Column:
+    """Distinct runs of `size` characters of a text."""
+    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    runs = F.transform(chars, lambda _, i: F.array_join(F.slice(chars, i + 1, size), ""))
+    return F.array_distinct(F.slice(runs, 1, F.greatest(F.size(chars) - (size - 1), F.lit(0))))
+
+
 def missing_tags(entries: DataFrame, charts: DataFrame) -> DataFrame:
-    """chart_id, tags: keywords (two characters or more) and titles of entries that a chart's words hold and its keyword string does not.
+    """chart_id, tags: keywords and titles (two characters or more) of entries that a chart's title or content contains and its keyword string does not.
 
-    Tags meet charts by their words, so only single words and titles that equal a word run are looked at by equality.
+    entries and charts are those of one project. Keywords are split at commas only; case counts;
+    a chart table may have no title. A tag in a text has all its character runs in it, so tags
+    meet texts by the run that the fewest tags hold, and contains() decides.
     """
-    tags = entries.select(F.explode(F.array_distinct(F.concat(keyword_set(F.col("keywords")), F.array("title")))).alias("tag")).where("length(tag) >= 2").distinct()
-    words = charts.select(F.col("id").alias("chart_id"), F.explode(keyword_set(F.col("content"))).alias("tag")).distinct()
-    hits = words.join(tags, "tag").join(charts.select(F.col("id").alias("chart_id"), F.coalesce("keywords", F.lit("")).alias("have")), "chart_id")
-    return hits.where(~F.contains(F.col("have"), F.col("tag"))).groupBy("chart_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    keywords = F.transform(F.split(F.coalesce("keywords", F.lit("")), ","), trim_controls)
+    tags = entries.select(F.explode(F.concat(keywords, F.array("title"))).alias("tag")).where("length(tag) >= 2").distinct()
+    size = lambda n: F.when(F.length("tag") >= n, _grams(F.col("tag"), n))
+    runs = tags.select("tag", F.explode(F.coalesce(*[size(n) for n in reversed(GRAMS)])).alias("gram"))
+    held = runs.groupBy("gram").agg(F.count("*").alias("n"))
+    keyed = runs.join(held, "gram").groupBy("tag").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    title = F.col("title") if "title" in charts.columns else F.lit(None).cast("string")
+    text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
+    rows = charts.select(F.col("id").alias("chart_id"), text.alias("text"), F.coalesce("keywords", F.lit("")).alias("have"))
+    found = rows.select("chart_id", F.explode(F.concat(*[_grams(F.col("text"), n) for n in GRAMS])).alias("gram")).join(keyed, "gram").select("chart_id", "tag").distinct()
+    hits = found.join(rows, "chart_id").where(F.contains("text", "tag") & ~F.contains("have", "tag"))
+    return hits.groupBy("chart_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
