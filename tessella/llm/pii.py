@@ -45,17 +45,32 @@ DIGITS = {
     "9": "nine neun nueve neuf",
 }
 AT_WORDS, DOT_WORDS = "at|arroba|ät|arobase", "dot|punkt|punto|point"
-TLDS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|co|example|test|invalid"
+# Country domains; other top-level domains have three letters or more, so a two-letter word like "on" is none.
+COUNTRIES = (
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
+    "de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp "
+    "ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz "
+    "om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz "
+    "ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+)
+TLD = rf"(?:[A-Za-z]{{3,}}|xn--[A-Za-z0-9-]+|{COUNTRIES.replace(' ', '|')})"
 
 DIGIT_OF = {w: d for d, words in DIGITS.items() for w in words.split()}
-_BREAKS = str.maketrans(",.-", "   ")
 _NUMBER = "|".join(sorted(DIGIT_OF, key=len, reverse=True))
 _OPEN, _CLOSE = r"\x20*[\(\[\{<]\x20*", r"\x20*[\)\]\}>]\x20*"
 _BRACKET = re.compile(rf"{_OPEN}(?:(?P<at>{AT_WORDS}|@)|(?:{DOT_WORDS}|\.)){_CLOSE}", re.I)
 _HINT = re.compile(rf"[\(\[\{{<]\x20*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\x20*[\)\]\}}>]", re.I)
-_PLAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20(?P<at>{AT_WORDS})\x20[A-Za-z0-9-]+(?:(?:\x20(?:{DOT_WORDS})\x20|\.)[A-Za-z0-9-]+)*\x20(?:{DOT_WORDS})\x20(?:{TLDS})(?![A-Za-z0-9])", re.I)
-_PLAIN_DOT = re.compile(rf"\x20(?:{DOT_WORDS})\x20", re.I)
-_SAID = re.compile(rf"(?<!\w)(?:plus[\x20-]+)?(?:(?:{_NUMBER}|[0-9])[\x20,-]*(?:(?:{DOT_WORDS})\x20+)?){{6,}}(?:{_NUMBER}|[0-9])(?!\w)", re.I)
+_DOT = rf"\x20(?:{DOT_WORDS})\x20"
+_LOCAL, _LABEL = r"[A-Za-z0-9._%+-]++", r"[A-Za-z0-9-]+"
+_PLAIN_AT = rf"\x20(?P<at>{AT_WORDS})\x20{_LABEL}(?:(?:{_DOT}|\.){_LABEL})*(?:{_DOT}|\.){TLD}(?![A-Za-z0-9])"
+_NOT_AFTER_DOT = "".join(rf"(?<!\x20{w}\x20)" for w in DOT_WORDS.split("|"))  # a chain of dot words is tried from its first word only
+_PLAIN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NOT_AFTER_DOT}{_LOCAL}(?:{_DOT}{_LOCAL})*{_PLAIN_AT}", re.I)
+_PLAIN_HINT = re.compile(_PLAIN_AT, re.I)
+_PLAIN_DOT = re.compile(_DOT, re.I)
+_DIGIT = rf"(?:{_NUMBER}|[0-9])"
+_GROUP = rf"{_DIGIT}(?:[\x20,-]*{_DIGIT})*"
+# Seven digits or more, or four groups of digits or more between dot words.
+_SAID = re.compile(rf"(?<!\w)(?:(?:plus[\x20-]+)?(?:{_DIGIT}[\x20,-]*(?:(?:{DOT_WORDS})\x20+)?){{6,}}{_DIGIT}|{_GROUP}(?:[\x20,-]*(?:{DOT_WORDS})\x20+{_GROUP}){{3,}})(?!\w)", re.I)
 _SAID_PART = re.compile(rf"(?P<plus>plus)|(?P<num>{_NUMBER}|[0-9])|(?P<dot>{DOT_WORDS})", re.I)
 
 
@@ -116,22 +131,23 @@ def fold(text: str) -> tuple[str, list[int] | None]:
     return "".join(c for _, c in kept), [i for i, _ in kept]
 
 
-def rewrite(text: str, said: bool) -> tuple[str, list[tuple[int, int]] | None]:
+def rewrite(text: str) -> tuple[str, list[tuple[int, int]] | None]:
     """Disguise transducer: rewritten text and the interval of `text` behind each character (None: unchanged)."""
     edits: list[tuple[int, int, str]] = []
     if _HINT.search(text):
         edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKET.finditer(text)]
-    low = text.lower()
-    if any(f" {w} " in low for w in DOT_WORDS.split("|")):
+    if _PLAIN_HINT.search(text):
         for m in _PLAIN.finditer(text):
             edits.append((m.start("at") - 1, m.end("at") + 1, "@"))
-            edits += [(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(text, m.end("at") + 1, m.end())]
-    if said:
-        for m in _SAID.finditer(text):
-            parts = list(_SAID_PART.finditer(text, m.start(), m.end()))
-            for p, following in zip(parts, [*parts[1:], None], strict=True):
-                new = "+" if p["plus"] else "." if p["dot"] else DIGIT_OF.get(p[0].lower(), p[0])
-                edits.append((p.start(), following.start() if following else p.end(), new))
+            for begin, end in ((m.start(), m.start("at") - 1), (m.end("at") + 1, m.end())):
+                edits += [(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(text, begin, end)]
+    for m in _SAID.finditer(text):
+        parts = list(_SAID_PART.finditer(text, m.start(), m.end()))
+        if all(p["num"] and p[0].isdigit() for p in parts):  # no word: nothing is disguised
+            continue
+        for p, following in zip(parts, [*parts[1:], None], strict=True):
+            new = "+" if p["plus"] else "." if p["dot"] else DIGIT_OF.get(p[0].lower(), p[0])
+            edits.append((p.start(), following.start() if following else p.end(), new))
     if not edits:
         return text, None
     chars, origin, at = [], [], 0
@@ -150,8 +166,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     """Base spans and all spans, each sorted by start then kind."""
     base = sorted(detect(text))
     folded, source = (text, None) if text.isascii() else fold(text)
-    said = sum(map(DIGIT_OF.__contains__, folded.lower().translate(_BREAKS).split())) >= 5
-    plain, origin = rewrite(folded, said)
+    plain, origin = rewrite(folded)
     if source is None and origin is None:
         return base, base
     spans = set(base)
