@@ -2,7 +2,7 @@
 
 Dated list entries (a pattern put on or taken off a list) become validity intervals. A capture
 meets the intervals of every pattern its URL can match - the host, its parent domains and the
-host with each leading path - by equality, and of those the ones in force when it was fetched.
+host with each leading path, of the depths that the lists have - by equality, and of those the ones in force when it was fetched.
 Captures are first reduced to distinct (host and path, time) keys, so a hot host is joined once
 for each distinct key; the join back is plain and adaptive execution can split it.
 """
@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from .common import shared_table
 
-#: Deepest host suffix and deepest path prefix that a list pattern may have.
-MAX_LABELS, MAX_SEGMENTS = 6, 3
-
 
 def host(url: Column) -> Column:
     """Lower-case host of an absolute URL without user, port and final dot; '' if there is none."""
@@ -43,16 +40,24 @@ def validity(entries: DataFrame) -> DataFrame:
     return spans.where("action = 'add'").select("pattern", "category", F.col("at").alias("valid_from"), "valid_to")
 
 
-def patterns(host_col: Column, path_col: Column) -> Column:
-    """Every pattern that matches: host suffixes of two labels or more, and host with leading path segments ('h/a/b')."""
+def depths(entries: DataFrame) -> DataFrame:
+    """One row: label_depths and segment_depths, the distinct numbers of labels of host patterns and of segments of path patterns."""
+    parts = F.size(F.split("pattern", "/")) - 1
+    return entries.agg(
+        F.collect_set(F.when(parts == 0, F.size(F.split("pattern", r"\.")))).alias("label_depths"),
+        F.collect_set(F.when(parts > 0, parts)).alias("segment_depths"),
+    )
+
+
+def patterns(host_col: Column, path_col: Column, label_depths: Column, segment_depths: Column) -> Column:
+    """Every pattern of the depths that matches: the host and its suffixes of two labels or more, and host with leading path segments ('h/a/b')."""
     labels = F.split(host_col, r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.array_join(F.slice(labels, i + 1, n), "."))
-    suffixes = F.slice(F.reverse(suffixes), 1, MAX_LABELS - 1)
+    fits = F.filter(label_depths, lambda k: (k == n) | ((k >= 2) & (k < n)))
+    suffixes = F.transform(fits, lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
     segments = F.filter(F.split(path_col, "/"), lambda s: s != "")
-    depth = F.least(F.size(segments), F.lit(MAX_SEGMENTS))
-    prefixes = F.when(depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda k: F.concat_ws("/", host_col, F.array_join(F.slice(segments, 1, k), "/")))).otherwise(F.array().cast("array<string>"))
-    return F.when(host_col == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, F.array(host_col), prefixes)))
+    prefixes = F.transform(F.filter(segment_depths, lambda k: k <= F.size(segments)), lambda k: F.concat_ws("/", host_col, F.array_join(F.slice(segments, 1, k), "/")))
+    return F.when(host_col == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, prefixes)))
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -65,7 +70,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     rows = captures.select("capture_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "fetched_at")
     keys = rows.where("host <> '' and fetched_at is not null").select("host", "path", "fetched_at").distinct()
-    met = keys.select("host", "path", "fetched_at", F.explode(patterns(F.col("host"), F.col("path"))).alias("pattern")).join(validity(entries), "pattern")
+    keys = keys.crossJoin(F.broadcast(depths(entries)))  # one row
+    met = keys.select("host", "path", "fetched_at", F.explode(patterns(F.col("host"), F.col("path"), F.col("label_depths"), F.col("segment_depths"))).alias("pattern")).join(validity(entries), "pattern")
     active = met.where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
     verdict = active.groupBy("host", "path", "fetched_at").agg(F.count("*").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
     verdict = shared_table(verdict, "url-verdicts")  # written, so that a join on a hot page can be split
