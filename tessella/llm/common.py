@@ -48,13 +48,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def joined_by_key(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """`rows` joined with `per_key` (one row for each value of `key`, which `n` rows have) without a hot task.
+
+    Keys of more than a 20,000th of `total` rows (and of 256 or more) are fewer than 20,000: they
+    are broadcast. All other keys are joined by a shuffle in which no key is large.
+    """
+    most = max(256, total // 20_000)
+    heavy, light = F.broadcast(per_key.where(F.col(n) > most)), per_key.where(F.col(n) <= most)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
 def star_components(edges: DataFrame, max_rounds: int = 40, edges_per_file: int = 500_000) -> DataFrame:
     """Connected components of undirected `edges` (src, dst: long) -> (node, root).
 
     root is the smallest node of the component. Alternating large-star and small-star rounds:
     each rewires every node to the smallest neighbour it knows, so rounds grow with the
     logarithm of the longest path. A node of very high degree is one aggregated row per map
-    task and a join that adaptive execution splits. A round writes one file for each
+    task and meets its links by broadcast (joined_by_key). A round writes one file for each
     `edges_per_file` edges, not one for each shuffle partition. Self links and repeated links
     are allowed; no edges give no rows. Raises RuntimeError when max_rounds were not enough.
     """
@@ -65,9 +76,9 @@ def star_components(edges: DataFrame, max_rounds: int = 40, edges_per_file: int
             both = both.unionByName(e.select(F.col("dst").alias("u"), F.col("src").alias("v")))
         else:
             both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
         # A node whose neighbours are all above it is hooked by them, not by a link of its own.
-        out = both.join(low, "u")
+        out = joined_by_key(both, low, "u", "degree", total)
         if large:
             out = out.where("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
         else:
@@ -84,11 +95,14 @@ def star_components(edges: DataFrame, max_rounds: int = 40, edges_per_file: int
         return roles.where("out > 1 or (out > 0 and into > 0)").isEmpty()
 
     work = checkpointed(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    files = 1 + work.count() // edges_per_file  # no round has more edges than it began with
+    total = work.count()
+    files = 1 + total // edges_per_file  # no round has more edges than it began with
     for _ in range(max_rounds):
         if settled(work):
             break
-        work = checkpointed(star(star(work, True), False).coalesce(files))
+        # Two steps of a round, each written, so that no plan is read twice through the other.
+        work = checkpointed(star(work, True).coalesce(files))
+        work = checkpointed(star(work, False).coalesce(files))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = work.select("dst").distinct().select(F.col("dst").alias("node"), F.col("dst").alias("root"))

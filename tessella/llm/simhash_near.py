@@ -3,11 +3,12 @@
 At that similarity fingerprints differ in ten bits or so, too many for equal slices to bring a
 pair together. Shards are therefore made of what such a pair must share: in any fixed order of
 all shingles, two texts of similarity s have a common shingle among the first n - ceil(s n) + 1 of
-each. The order here puts shingles that many documents hold last, then goes by hash. Among the
-documents of a shingle each fingerprint searches a BK-tree, following only edges within the
-radius; what is connected by such links is a shard. In a shard the same search finds pairs,
-which are compared by exact shingle sets unless both are already in one group. Shards over
-`shard_cap` documents are dealt out at random in pieces of that size, twice, which joins a large
+each. The order here goes by how common a shingle is (the rarest first), then by hash, so a line
+that many documents hold joins only documents that consist of such lines. Among the documents of
+a shingle each fingerprint searches a BK-tree, following only edges within the radius; what is
+connected by such links is a shard. In a shard the same search finds pairs, which are compared by
+exact shingle sets unless both are already in one group. Shards over `shard_cap` documents or
+`shard_bytes` of text are dealt out at random in pieces of that size, twice, which joins a large
 group of near copies in linear work. What is not in a shard's largest group by then is dealt out
 once more, to meet every piece of the shard: every pair that is not connected yet is compared.
 """
@@ -21,64 +22,67 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_table, star_components
-from .wordhash import NOT_SPACE, Words, majority
+from .common import checkpointed, joined_by_key, shared_table, star_components
+from .wordhash import NOT_SPACE, Words, batches_of, majority
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
-#: Size in bits of the fixed table that marks common shingles, and how many are looked at.
+#: Size in bits of the fixed table of common shingles, and how many are looked at.
 COMMON_BITS, COMMON_MAX = 24, 100_000
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles; a shorter text has one, of all its words."""
-    words = Words([t.lower() for t in texts], NOT_SPACE)
-    by_size: dict[int, np.ndarray] = {}
     out = []
-    for first, end in zip(words.first.tolist(), words.upto.tolist(), strict=True):
-        k = min(SHINGLE, end - first)
-        if k not in by_size and k:
-            by_size[k] = words.shingles(k)
-        out.append(np.unique(by_size[k][first : end - k + 1]) if k else np.zeros(0, np.uint64))
+    for part in batches_of(texts):
+        words = Words([t.lower() for t in texts[part]], NOT_SPACE)
+        by_size: dict[int, np.ndarray] = {}
+        for first, end in zip(words.first.tolist(), words.upto.tolist(), strict=True):
+            k = min(SHINGLE, end - first)
+            if k not in by_size and k:
+                by_size[k] = words.shingles(k)
+            out.append(np.unique(by_size[k][first : end - k + 1]) if k else np.zeros(0, np.uint64))
     return out
 
 
 def _encoded(column: pa.Array) -> list[bytes]:
-    return [(x or "").encode() for x in column.to_pylist()]
+    return [(x.as_py() or "").encode() for x in column]
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(ids, texts) of at most 1,000 rows and, but for a single longer text, 1 MB."""
     for batch in batches:
-        yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+        ids, texts = np.asarray(batch.column(0)).astype(np.int64), _encoded(batch.column(1))
+        yield from ((ids[part], texts[part]) for part in batches_of(texts))
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that stand out within a part: held by 3 and by one in 200 of its documents or more."""
-    for part in _parts(batches):
-        values, counts = np.unique(np.concatenate([*shingle_sets(_encoded(part.column(1))), np.zeros(0, np.uint64)]), return_counts=True)
-        keep = counts >= max(3, part.num_rows // 200)
+    for _, texts in _parts(batches):
+        values, counts = np.unique(np.concatenate([*shingle_sets(texts), np.zeros(0, np.uint64)]), return_counts=True)
+        keep = counts >= max(3, len(texts) // 200)
         yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["h", "n"])
 
 
-def _keys(common: np.ndarray, similarity: float):
+def _keys(level: np.ndarray, similarity: float):
     """(key, id, fp, n, low): a row for each document and prefix shingle, with its fingerprint and set size.
 
-    A common shingle gives one row of a part, with n = -1, and links of its other documents to that one (low).
+    level: by the leading bits of a shingle, 0 or how common it is. A common shingle gives one
+    row of a part, with n = -1, and links of its other documents to that one (low).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            ids = np.array(part.column(0).to_pylist(), np.int64)
+        for ids, texts in _parts(batches):
             order = np.argsort(ids, kind="stable")
-            texts = _encoded(part.column(1))
             sets = shingle_sets([texts[i] for i in order])
             ids, sizes = ids[order], np.array([len(s) for s in sets], np.int64)
             prints = majority(np.concatenate([*sets, np.zeros(0, np.uint64)]), sizes).view(np.int64)
             keys, hot = [], []
             for s in sets:
-                late = common[(s >> np.uint64(64 - COMMON_BITS)).astype(np.int64)]
+                late = level[(s >> np.uint64(64 - COMMON_BITS)).astype(np.int64)]
+                first = np.argsort(late, kind="stable")  # the rarest first, then by hash
                 most = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
-                keys.append(np.concatenate([s[~late], s[late]])[:most])
-                hot.append(np.arange(len(keys[-1])) >= len(s) - late.sum())
+                keys.append(s[first[:most]])
+                hot.append(late[first[:most]] > 0)
             owner = np.repeat(np.arange(len(sets)), [len(k) for k in keys])
             key = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
             hot = np.concatenate([*hot, np.zeros(0, bool)]).astype(bool)
@@ -240,7 +244,9 @@ def _verify(similarity: float, radius: int):
     return run
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, shard_cap: int = 2000) -> DataFrame:
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, shard_cap: int = 2000, shard_bytes: int = 2_000_000
+) -> DataFrame:
     """id, component_id of every document that has a near copy; component_id is the smallest id of its group.
 
     Words are split at ASCII white space with A-Z lower-cased; similarity is the Jaccard of
@@ -248,28 +254,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     `similarity` or more are followed to their ends. The radius of 20 of 64 bits lies almost four
     standard deviations above the mean distance at similarity 0.8. Blank and null texts and rows
     without an id are in no group; rows that repeat an id count as one document by any of
-    their texts. No groups give no rows.
+    their texts. Equal texts are in one group, and ties need no order: the smallest id names a
+    group. Texts are read whole; a piece of a shard holds about `shard_bytes` of text or one
+    longer text. Only the two named columns are read. No groups give no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     often = rows.mapInArrow(_common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON_MAX)
-    common = np.zeros(1 << COMMON_BITS, bool)
-    top = np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64)  # COMMON_MAX at most
-    common[(top >> np.uint64(64 - COMMON_BITS)).astype(np.int64)] = True
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(common))
+    top = often.collect()  # COMMON_MAX at most
+    at = (np.array([r["h"] for r in top], np.int64).view(np.uint64) >> np.uint64(64 - COMMON_BITS)).astype(np.int32)
+    how = np.array([r["n"].bit_length() for r in top], np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast((at, how))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _keys(np.unpackbits(shared.value).astype(bool), similarity)(batches)
+        level = np.zeros(1 << COMMON_BITS, np.uint8)
+        np.maximum.at(level, *shared.value)
+        return _keys(level, similarity)(batches)
 
     met = rows.mapInArrow(keys, "key long, id long, fp long, n int, low long").repartition("key").sortWithinPartitions("key", "id")
     met = met.mapInArrow(_meet(similarity, radius, shard_cap), "src long, dst long")
-    shards = star_components(met)
-    sizes = shards.groupBy("root").agg(F.ceil(F.count("*") / shard_cap).cast("int").alias("pieces"))
-    shards = checkpointed(shards.join(sizes, "root").select(F.col("node").alias("id"), "root", "pieces", F.col("node").alias("known")))
-    texts = shared_table(rows.join(shards.select("id").distinct(), "id", "left_semi"), "near-texts")
-
-    def compared(pieces: DataFrame) -> DataFrame:
+    roots = star_components(met).withColumnRenamed("node", "id")
+    texts = shared_table(rows.join(roots, "id").withColumn("size", F.octet_length("text").cast("long")), "near-texts")
+    pieces = F.ceil(F.greatest(F.count("*") / shard_cap, F.sum("size") / shard_bytes)).cast("int")
+    sizes = texts.groupBy("root").agg(F.count("*").alias("held"), pieces.alias("pieces"))
+    total = texts.count()
+    shards = checkpointed(joined_by_key(roots, sizes, "root", "held", total).select("id", "root", "held", "pieces", F.col("id").alias("known")))
+    texts = texts.select("id", "text")
+
+    def compared(dealt: DataFrame) -> DataFrame:
         """Links found within the pieces (id, root, known, a, b)."""
-        dealt = texts.join(pieces, "id").select("id", "text", "root", "known", "a", "b")
+        dealt = texts.join(dealt, "id").select("id", "text", "root", "known", "a", "b")
         return dealt.groupBy("root", "a", "b").applyInArrow(_verify(similarity, radius), "src long, dst long")
 
     def piece(of: str, seed: int) -> Column:
@@ -281,10 +294,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = checkpointed(links.unionByName(compared(large.select("id", "root", "known", piece("pieces", 2).alias("a"), F.lit(1).alias("b")))))
         # What two random deals joined is settled; the largest group of a shard need not meet itself again.
         groups = star_components(links).withColumnsRenamed({"node": "id", "root": "group"})
-        large = large.join(groups, "id", "left").withColumn("known", F.coalesce("group", "id")).drop("group")
+        large = checkpointed(large.join(groups, "id", "left").withColumn("known", F.coalesce("group", "id")).drop("group"))
         held = large.groupBy("root", "known").agg(F.count("*").alias("n"))
-        most = held.groupBy("root").agg(F.max_by("known", F.struct("n", "known")).alias("most"), (F.sum("n") - F.max("n")).alias("others"))
-        large = checkpointed(large.join(most, "root").where("others > 0").withColumn("rest", F.ceil(F.col("others") / shard_cap).cast("int")))
+        most = held.groupBy("root").agg(F.max_by("known", F.struct("n", "known")).alias("most"), F.sum("n").alias("whole"), (F.sum("n") - F.max("n")).alias("others"))
+        large = joined_by_key(large, most, "root", "whole", total).where("others > 0")
+        large = checkpointed(large.withColumn("rest", F.ceil(F.col("others") * F.col("pieces") / F.col("whole")).cast("int")))
         minor = F.col("known") != F.col("most")
         mine = large.where(minor).select("id", "root", "known", piece("rest", 3).alias("a"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("b"))
         all_ = large.select("id", "root", "known", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("a"), piece("pieces", 4).alias("b"), minor.alias("minor"), piece("rest", 3).alias("own"))
