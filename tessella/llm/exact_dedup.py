@@ -130,22 +130,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is an empty one, and all blank texts form one group. The row with the most code points
     stays, then the one with the smallest id. One row per input row: rows that repeat an id
     and text are members of one group and, if that id stays, are all marked kept. A null id
-    loses ties against any other. An empty table gives no rows; other columns are ignored.
+    loses ties against any other. An empty table gives no rows; other columns are ignored. Texts
+    are compared whole, however long. The directory, which is broadcast, has 2**max_depth slots
+    (12 MB) at most; a larger corpus gets larger buckets instead.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     entries = shared_table(source.mapInArrow(_entries, ENTRY), "exact-index")
     reps = entries.where("cnt > 0")
 
     total = reps.count()
+    capacity = max(capacity, total >> (max_depth - 2))
     depth = int(min(max_depth, max(4, np.ceil(np.log2(max(1, total / capacity))) + 3)))
     slot = F.shiftrightunsigned("key", 64 - depth).cast("int")
     counts = np.zeros(1 << depth, np.int64)
     for r in reps.groupBy(slot.alias("slot")).count().toLocalIterator():  # at most 2**max_depth rows
         counts[r["slot"]] = r["count"]
     bucket, pages = directory(counts, capacity)
-    index = docs.sparkSession.createDataFrame(
-        [(int(i), int(bucket[i]), int(pages[i])) for i in np.flatnonzero(counts)], "slot int, bucket int, pages int"
-    )
+    held = np.flatnonzero(counts)
+    index = docs.sparkSession.createDataFrame(pa.table({"slot": held, "bucket": bucket[held], "pages": pages[held]})).selectExpr("int(slot) slot", "int(bucket) bucket", "int(pages) pages")
 
     placed = reps.withColumn("slot", slot).join(F.broadcast(index), "slot").withColumn("page", F.pmod("uid", "pages"))
     first = _owned(placed, "bucket", "page")

@@ -204,7 +204,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Counts and base_sha256 cover the raw text; spans also has the disguised identifiers, in
     source code points, where no base span of the kind overlaps. A null text is empty and has
-    no spans. Repeated rows are reported each; an empty table gives no rows.
+    no spans. Spans that start together go in the order of KINDS. Texts are scanned whole,
+    however long. Repeated rows are reported each, also with equal or null ids; other columns
+    are not read and may have any name. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scan_batches, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .wordhash import batches_of
+
 # Byte classes: a byte of a longer UTF-8 sequence counts as a letter.
 _CLASS = np.full(256, 7, np.uint8)
 _CLASS[[*range(97, 123)]] = 0
@@ -82,6 +84,11 @@ def with_neighbours(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([own, before, after, flags], axis=1)
 
 
+def _times(rows: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """rows @ m for two columns, summed alike for any number of rows."""
+    return rows[:, :1] * m[0] + rows[:, 1:] * m[1]
+
+
 @dataclass
 class LineCRF:
     """Two labels; `weights` scores label good over bad, `moves[a, b]` scores label b after a."""
@@ -105,18 +112,18 @@ class LineCRF:
         live = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
         for t, n in enumerate(live):
             at = begin[:n] + t
-            a = e[at] if t == 0 else (ahead[at - 1] @ m) * e[at]
-            scale[at] = a.sum(1)
+            a = e[at] if t == 0 else _times(ahead[at - 1], m) * e[at]
+            scale[at] = a[:, 0] + a[:, 1]
             ahead[at] = a / scale[at, None]
         pairs = np.zeros((2, 2))
         for t in range(len(live) - 1, 0, -1):
             at = begin[: live[t]] + t
             right = e[at] * back[at] / scale[at, None]
             pairs += m * (ahead[at - 1].T @ right)
-            back[at - 1] = right @ m.T
+            back[at - 1] = _times(right, m.T)
         both = ahead * back
         logz = np.log(scale).sum() + top.sum() + self.moves.max() * (counts - 1).sum()
-        return both[:, 1] / both.sum(1), pairs, float(logz)
+        return both[:, 1] / (both[:, 0] + both[:, 1]), pairs, float(logz)
 
 
 def fit(own: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> LineCRF:
@@ -145,9 +152,12 @@ def fit(own: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 1
 
 
 def score_texts(crf: LineCRF, texts: list[bytes]) -> np.ndarray:
-    """Length-weighted mean P(good) of the lines of each text (a line counts one more than its bytes)."""
+    """Length-weighted mean P(good) of the lines of each text (a line counts one more than its bytes).
+
+    Sums run over one line or one text at a time, so a text's score does not depend on its batch.
+    """
     own, counts, size = line_features(texts)
-    p, _, _ = crf.marginals(with_neighbours(own, counts) @ crf.weights, counts)
+    p, _, _ = crf.marginals((with_neighbours(own, counts) * crf.weights).sum(axis=1), counts)
     begin = np.cumsum(counts) - counts
     return np.add.reduceat(p * (size + 1), begin) / np.add.reduceat(size + 1, begin)
 
@@ -160,15 +170,18 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 1500) -> LineCRF:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 1500, max_lines: int = 2000, max_bytes: int = 200_000) -> LineCRF:
     """Fit on at most `max_docs` labelled documents outside the held-out third.
 
-    The sample is the documents of smallest id hash: the same for any partitioning, and the only
-    bound in this operator. Features of whole texts, not texts, travel to the driver.
+    The sample is the documents of smallest id hash, of those with at most `max_lines` lines and
+    `max_bytes` bytes: the same for any partitioning, and the only bound in this operator.
+    Features of whole texts, not texts, travel to the driver.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     picked = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.where((F.octet_length("text") <= max_bytes) & (F.octet_length("text") - F.octet_length(F.translate("text", "\n", "")) < max_lines))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 packed = [x.astype(np.float32).tobytes() for x in np.split(own, cuts)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(b.column(2)), pa.array(packed, pa.binary())], names=["doc_id", "quality", "packed"])
 
-    sample = rows.select("doc_id", "text", "quality").mapInArrow(features, "doc_id long, quality int, packed binary").collect()
+    found = rows.select("doc_id", "text", "quality").mapInArrow(features, "doc_id long, quality int, packed binary")
+    sample = found.orderBy(F.xxhash64("doc_id"), "doc_id", "packed").limit(max_docs).collect()  # ids may repeat
     sample.sort(key=lambda r: (r["doc_id"], r["packed"]))
     chains = [np.frombuffer(r["packed"], np.float32).reshape(-1, N_FEATURES).astype(float) for r in sample]
     counts = np.array([len(c) for c in chains], np.int64)
@@ -192,8 +206,9 @@ def add_scores(docs: DataFrame, crf: LineCRF, text_col: str = "text", score_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score_texts(crf, _texts(part.column(at))))], names=[*part.schema.names, score_col])
+            texts = _texts(b.column(at))
+            scores = np.concatenate([*(score_texts(crf, texts[part]) for part in batches_of(texts, most=512)), np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], names=[*b.schema.names, score_col])
 
     return docs.mapInArrow(run, schema)
 
@@ -202,8 +217,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """doc_id, held_out, score, predicted; one row per input row.
 
     A null text is an empty one: a single empty line, scored as such. A null id is not held out.
-    Repeated rows get the same score. Without usable labels every score is 0.5. An empty table
-    gives no rows. Labels, language, source and id are never inputs of a score.
+    Equal texts get equal scores, whatever rows share their batch; so ties and repeated rows do.
+    A very long text is scored whole, alone in its batch. Without usable labels every score is
+    0.5. An empty table gives no rows. Only the two named columns are read; labels, language,
+    source and id are never inputs of a score.
     """
     crf = train(docs, labels, id_col, text_col, max_docs)
     rows = add_scores(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), crf)

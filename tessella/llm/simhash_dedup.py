@@ -3,10 +3,11 @@
 Two fingerprints within `radius` bits agree on at least blocks - radius of `blocks` equal
 slices, so every linked pair meets in a shard keyed by one choice of slices. A shard's distinct
 fingerprints form a BK-tree (children keyed by the integer Hamming distance to their parent) and
-each fingerprint follows only the edges within the radius. A broadcast of every shard tree would
-grow with the corpus, so trees travel to their queries by the shard key instead, in shards of at
-most `shard_cap` fingerprints. Larger shards (big groups of near copies) are linked exactly
-without a tree: fingerprints within two bits share a value that is at most one bit from both.
+each fingerprint follows only the edges within the radius. A shard of more than `shard_cap`
+fingerprints (a big group of near copies) is cut again: the bits that its members do not share
+yet are sliced in turn, until eight bits or fewer are left and 256 values fill a shard. So every
+link is found by a tree, and no tree is larger than that. A broadcast of all shard trees would
+grow with the corpus; they travel to their queries by the shard key instead.
 """
 
 from __future__ import annotations
@@ -138,39 +139,40 @@ def _tree_links(radius: int):
     return run
 
 
-def _slices(blocks: int) -> list[int]:
-    """Bit masks that cut 64 bits into `blocks` slices."""
-    cut = [round(64 * i / blocks) for i in range(blocks + 1)]
-    return [(1 << b) - (1 << a) for a, b in zip(cut, cut[1:], strict=False)]
+def _choices(fixed: int, radius: int, blocks: int) -> list[int]:
+    """Bit masks that hold the `fixed` bits and one choice of blocks - radius equal slices of the others."""
+    free = [b for b in range(64) if not fixed >> b & 1]
+    cut = [round(len(free) * i / blocks) for i in range(blocks + 1)]
+    slices = [sum(1 << b for b in free[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+    return [fixed | sum(c) for c in combinations(slices, blocks - radius)]
 
 
 def links(prints: DataFrame, radius: int = 2, blocks: int = 4, shard_cap: int = 256) -> DataFrame:
-    """src, dst: links among distinct fingerprints (`prints`: fp) that join exactly those connected within `radius`.
-
-    The large-shard path links by shared values one bit away, so it needs radius <= 2.
-    """
-    if not 0 <= radius <= 2 or blocks <= radius:
-        raise ValueError("radius is 0 to 2 and less than blocks")
-    choices = [sum(c) for c in combinations(_slices(blocks), blocks - radius)]
+    """src, dst: links among distinct fingerprints (`prints`: fp) that join exactly those connected within `radius`."""
+    if not 0 <= radius < blocks:
+        raise ValueError("radius is less than blocks and not below 0")
     long = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
-    shards = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(long(m)).alias("slice")) for i, m in enumerate(choices)])
-    keyed = prints.select("fp", F.inline(shards))
-    sizes = keyed.groupBy("choice", "slice").agg(F.count("*").alias("n")).where("n > 1")
-    met = checkpointed(keyed.join(sizes, ["choice", "slice"]))
-    small = met.where(F.col("n") <= shard_cap).select("choice", "slice", "fp")
-    small = small.repartition("choice", "slice").sortWithinPartitions("choice", "slice", F.col("fp") < 0, "fp")
-    trees = small.mapInArrow(_tree_links(radius), "src long, dst long")
-    crowd = met.where(F.col("n") > shard_cap).select("fp").distinct()
-    values = [F.col("fp")] + ([F.col("fp").bitwiseXOR(long(1 << i)) for i in range(64)] if radius > 1 else [])
-    if radius == 1:  # one bit apart: one of the two is the other with a bit flipped
-        values = [F.col("fp")] + [F.col("fp").bitwiseXOR(long(1 << i)) for i in range(64)]
-    near = crowd.select("fp", F.explode(F.array(*values)).alias("value"))
-    if radius == 1:
-        direct = near.join(crowd.select(F.col("fp").alias("value")), "value").select(F.col("fp").alias("src"), F.col("value").alias("dst"))
-    else:
-        lows = near.groupBy("value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
-        direct = lows.select(F.explode("fps").alias("src"), F.array_min("fps").alias("dst"))
-    return trees.unionByName(direct).where("src <> dst").distinct()
+    rows, masks, found, last = prints.select("fp", F.lit(0).alias("choice")), [0], None, False
+    while not last:
+        per = len(_choices(0, radius, blocks))
+        masks = [m for fixed in masks for m in _choices(fixed, radius, blocks)]
+        last = max(64 - m.bit_count() for m in masks) <= 8 or radius == 0
+        mask = F.get(F.array(*[long(m) for m in masks]), F.col("choice"))
+        keyed = rows.select("fp", F.explode(F.sequence(F.col("choice") * per, F.col("choice") * per + per - 1)).alias("choice"))
+        keyed = keyed.withColumn("slice", F.col("fp").bitwiseAND(mask))
+        if last:
+            met = small = keyed
+        else:
+            sizes = keyed.groupBy("choice", "slice").agg(F.count("*").alias("n")).where("n > 1")
+            met = checkpointed(keyed.join(sizes, ["choice", "slice"]))
+            small = met.where(F.col("n") <= shard_cap)
+        small = small.select("choice", "slice", "fp").repartition("choice", "slice").sortWithinPartitions("choice", "slice", F.col("fp") < 0, "fp")
+        trees = small.mapInArrow(_tree_links(radius), "src long, dst long")
+        found = trees if found is None else found.unionByName(trees)
+        if not last:
+            rows = met.where(F.col("n") > shard_cap).select("fp", "choice")
+            last = rows.isEmpty()
+    return found.where("src <> dst").distinct()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int = 4, shard_cap: int = 256) -> DataFrame:
@@ -179,7 +181,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows link when their fingerprints differ in at most `radius` bits; component_id is the
     smallest id reachable. Null, empty and blank texts have fingerprint zero and link like any
     other. Repeated rows share a component; a null id gets the component of its fingerprint
-    and never names one unless all ids there are null. An empty table gives no rows.
+    and never names one unless all ids there are null. A bit set in exactly half the shingles is
+    0. Texts are read whole, however long. Only the two named columns are read, so others may
+    have any name. An empty table gives no rows.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))

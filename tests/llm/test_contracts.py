@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from llm_cases import EDGE, documents, rows
+from pyspark.sql import functions as F
 
 from tessella.llm import exact_dedup, pii, secrets, simhash_dedup, simhash_near, suffix_dedup
 from tessella.llm.exact_dedup import directory, exact_groups
@@ -58,7 +59,7 @@ def brute_exact(data):
 
 @pytest.mark.parametrize("capacity", [4096, 2])
 def test_exact(spark, data, capacity):
-    found = exact_groups(documents(spark, data).repartition(3), capacity=capacity, max_depth=5)
+    found = exact_groups(documents(spark, data).repartition(3), capacity=capacity, max_depth=9)
     assert rows(found, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute_exact(data)
 
 
@@ -119,7 +120,16 @@ def test_bk_tree_finds_all_within_the_radius():
 
 @pytest.mark.parametrize(("radius", "cap"), [(2, 256), (2, 1), (1, 1), (0, 4)])
 def test_links_join_exactly_the_components(spark, radius, cap):
-    values = linked_values()
+    check_links(spark, linked_values(), radius, cap)
+
+
+def test_links_of_a_dense_group(spark):
+    """Values in one byte and far between: shards over the cap are cut until eight free bits are left."""
+    values = sorted({(1 << 40) + v for v in range(0, 256, 3)} | {(1 << 40) ^ (1 << b) for b in range(64)} | {7 << 50, 1 << 63})
+    check_links(spark, values, 2, 8)
+
+
+def check_links(spark, values, radius, cap):
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     frame = spark.createDataFrame([(v,) for v in signed], "fp long")
     found = [(a % (1 << 64), b % (1 << 64)) for a, b in rows(simhash_dedup.links(frame, radius, 4, cap))]
@@ -220,6 +230,39 @@ def test_secrets(spark, data):
     assert rows(find_secrets(documents(spark, data)), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(wanted, key=repr)
 
 
+OPAQUE = re.compile("[A-Za-z0-9+/_=-]{20,}")
+
+
+def test_opaque_spans_follow_ownership(spark):
+    """All spans and counts by brute force; a repository that two owners hold counts once."""
+    rng = np.random.default_rng(8)
+    pool = ["".join(rng.choice(list("abcXYZ0189_"), 24)) for _ in range(60)] + ["AKIA" + "Q7" * 9, "0123456789abcdef01", "x" * 30]
+    data = [(i, " ".join([*rng.choice(pool, 3), "token=" + rng.choice(pool)])) for i in range(40)]
+    docs = documents(spark, data).withColumn("repo", F.concat(F.lit("r"), F.col("doc_id") % 5)).withColumn("who", F.concat(F.lit("o"), F.col("doc_id") % 4))
+    every, held = {}, defaultdict(lambda: (set(), set()))
+    for i, t in data:
+        base = [(a, k, b, t[a:b] if k else ASSIGN.match(t, a)[2]) for a, k, b in brute_secrets(t)]
+        wide = [(m.start(), 3, m.end(), m[0]) for m in OPAQUE.finditer(t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        every[i] = sorted(base + [o for o in wide if not any(b[0] < o[2] and o[0] < b[2] for b in base)])
+        for *_, v in every[i]:
+            held[v][0].add(i % 5)
+            held[v][1].add(i % 4)
+    live = {v for v, (repos, owners) in held.items() if len(repos) <= 3 and len(owners) <= 2}
+    wanted = [(i, ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, v in e if k < 3 or v in live), sum(v in live for *_, v in e), sum(v not in live for *_, v in e)) for i, e in every.items()]
+    found = find_secrets(docs, repo_col=F.col("repo"), owner_col=F.col("who"), max_owners=2, max_repos=3)
+    assert any(k == 3 and v in live for e in every.values() for _, k, _, v in e) and any(v not in live for v in held)
+    assert rows(found, "doc_id", "spans", "n_live", "n_copied") == sorted(wanted, key=repr)
+
+
+def test_secrets_of_a_long_text(spark):
+    part = "token=short x=1 password: aaaabbbbcccc1 dead beef 0123456789abcdef0123 AKIA short "
+    text = part * 12_000  # about 1 MB, 48,000 matches
+    found = find_secrets(documents(spark, [(1, text)])).collect()[0]
+    spans = brute_secrets(text)
+    assert (found.n_assign, found.n_hex) == (12_000, 12_000)
+    assert found.base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
 def test_ownership_separates_copied_values(spark):
     found = {r.doc_id: r for r in find_secrets(documents(spark, SECRETS)).collect()}
     assert "opaque" in found[4].spans and "opaque" in found[5].spans  # held by two owners

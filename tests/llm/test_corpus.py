@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import pytest
@@ -63,6 +64,44 @@ def test_scores_of_edge_cases(spark, data):
     assert {r.score for r in none.collect()} <= {0.5}
 
 
+def test_a_score_does_not_depend_on_its_batch():
+    rng = np.random.default_rng(4)
+    crf = LineCRF(rng.normal(size=54), rng.normal(size=(2, 2)))
+    texts = ["a\tb", "", "One line.\nanother line\n\n| x | y |", "word " * 300 + "\nend"] + ["\n".join("w" * int(n) for n in rng.integers(0, 40, 9)) for _ in range(30)]
+    alone = [score_texts(crf, [t.encode()])[0] for t in texts]
+    for _ in range(100):
+        picked = rng.integers(0, len(texts), int(rng.integers(1, 60)))
+        assert score_texts(crf, [texts[i].encode() for i in picked]).tolist() == [alone[i] for i in picked]
+
+
+def test_scores_match_enumeration():
+    """Whole texts: features by plain Python, all labellings of the lines summed, lines weighted by length."""
+    rng = np.random.default_rng(5)
+    crf = LineCRF(rng.normal(size=54), rng.normal(size=(2, 2)))
+
+    def features(lines, i):
+        x = lines[i]
+        kind = lambda c: 0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 if c in b"\t\x0b\x0c\r " else 4 if c in b".,;:'\"?()-" else 5 if c == 33 else 6 if c == 124 else 8 if c >= 128 else 7
+        share = [sum(kind(c) == k for c in x) / max(1, len(x)) for k in range(9)]
+        w = x.split()
+        rest = [np.log1p(len(x)) / 8, np.log1p(len(w)) / 6, len(x) / max(1, len(w)) / 10, len(set(w)) / len(w) if w else 1.0, min(len(w) / max(1, len(set(w))), 10) / 5]
+        rest += [float(x in lines[:i]), float(x[-1:] in (b".", b"!", b"?", b":") and x != b""), float(bool(x) and (65 <= x[0] <= 90 or x[0] >= 192))]
+        return share + rest
+
+    for text in ("", "Eins zwei!\nEins zwei!\n| a | b |\nünï 12", "x\n\nA line: yes"):
+        lines = text.encode().split(b"\n")
+        own, none = [features(lines, i) for i in range(len(lines))], [0.0] * 17
+        emit = [sum(w * v for w, v in zip(crf.weights, own[i] + (own[i - 1] if i else none) + (own[i + 1] if i + 1 < len(lines) else none) + [float(i == 0), float(i + 1 == len(lines)), 1.0])) for i in range(len(lines))]
+        good, z = [0.0] * len(lines), 0.0
+        for labels in product((0, 1), repeat=len(lines)):
+            p = np.exp(sum(e for e, y in zip(emit, labels) if y) + sum(crf.moves[a, b] for a, b in zip(labels, labels[1:])))
+            z += p
+            good = [g + p * y for g, y in zip(good, labels)]
+        weight = [len(x) + 1 for x in lines]
+        wanted = sum(g / z * w for g, w in zip(good, weight)) / sum(weight)
+        assert np.isclose(score_texts(crf, [text.encode()])[0], wanted)
+
+
 def test_scoring_keeps_clashing_columns(spark):
     docs = documents(spark, EDGE)
     scored = add_scores(docs, LineCRF(np.zeros(54), np.zeros((2, 2))), score_col="__score")
