@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,5 +22,18 @@ def l2_norm(v: Column) -> Column:
 def l2_normalised(v: Column) -> Column:
     """Unit vector; vectors shorter than 1e-10 stay as they are."""
     doubles = v.cast("array<double>")
-    norm = l2_norm(doubles)
-    return F.when(norm < 1e-10, doubles).otherwise(F.transform(doubles, lambda x: x / norm))
+    # The norm is an array of its own: inside the lambda it would be computed for each element.
+    norms = F.array_repeat(l2_norm(doubles), F.size(doubles))
+    return F.zip_with(doubles, norms, lambda x, n: F.when(n < 1e-10, x).otherwise(x / n))
+
+
+def cosine(v: Column, unit: list[float]) -> Column:
+    """Dot product of a unit vector, given as values, and the unit vector of `v`: one pass for each of product and norm."""
+    norm = l2_norm(v)
+    return dot(v, F.lit(unit)) / F.when(norm < 1e-10, 1.0).otherwise(norm)
+
+
+def unit(values: list[float]) -> list[float]:
+    """A query's values scaled to length one; shorter than 1e-10 they stay as they are."""
+    norm = math.sqrt(sum(x * x for x in values))
+    return [float(x) / norm if norm >= 1e-10 else float(x) for x in values]

@@ -12,7 +12,7 @@ from ..functions.text import keyword_set, trim_controls, wikilinks
 from .repair import first_by
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that all executors share (spark.checkpoint.dir)."""
     spark: SparkSession = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -29,8 +29,8 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     Rows are sorted by range partitions; a row's position is its place in its partition plus
     the sizes of the partitions before. `order` must be total.
     """
-    # Checkpointed, so that both uses see the same partitions.
-    parts = _checkpointed(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    # Written before it is sampled for its ranges, and after, so that both uses see the same partitions.
+    parts = checkpointed(checkpointed(df).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
@@ -112,10 +112,10 @@ def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).unionByName(e.select(F.col("target_id").alias("u"), F.col("source_id").alias("v"))).distinct()
 
 
-def link_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, links: edge ends at each known node, repeats counted."""
-    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    return nodes.select("id").distinct().join(ends, "id", "left").select("id", F.coalesce("links", F.lit(0)).alias("links"))
+def link_counts(nodes: DataFrame, edges: DataFrame, unknown: bool = False) -> DataFrame:
+    """id, links: edge ends at each known node, repeats counted; with `unknown`, also at ids that edges name and no node has."""
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).where("id is not null").groupBy("id").agg(F.count("*").alias("links"))
+    return nodes.select("id").distinct().join(ends, "id", "full" if unknown else "left").select("id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -135,34 +135,37 @@ def degree_share(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85) -> DataFrame:
     """id, score: PageRank on the undirected graph without weights; nodes without neighbours spread theirs evenly."""
-    ids = _checkpointed(nodes.select("id").distinct())
+    ids = checkpointed(nodes.select("id").distinct())
     n = ids.count()
     if not n:
         return ids.withColumn("score", F.lit(0.0))
-    near = neighbours(nodes, edges)
+    near = checkpointed(neighbours(nodes, edges))
     degree = near.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("d"))
-    near = _checkpointed(near.join(degree.withColumnRenamed("id", "u"), "u"))
-    base = _checkpointed(ids.join(degree, "id", "left"))
-    rank = base.withColumn("score", F.lit(1.0 / n))
+    base = checkpointed(ids.join(degree, "id", "left"))
+    # Nodes without neighbours get nothing but the common share, so all have one score: their mass is a number.
+    alone = base.where("d is null").count()
+    rank, loose = base.withColumn("score", F.lit(1.0 / n)), alone / n
     for i in range(iterations):
-        got = near.join(rank.select(F.col("id").alias("u"), "score"), "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("score") / F.col("d")).alias("got"))
-        loose = rank.agg(F.coalesce(F.sum(F.when(F.col("d").isNull(), F.col("score"))), F.lit(0.0)).alias("loose"))
-        rank = base.join(got, "id", "left").crossJoin(F.broadcast(loose))  # one row
-        rank = rank.select("id", "d", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("score"))
-        if i % 5 == 4:
-            rank = _checkpointed(rank)
+        share = rank.where("d is not null").select(F.col("id").alias("u"), (F.col("score") / F.col("d")).alias("share"))
+        # One row for each node is hashed, so the links are not sorted in every round.
+        got = near.join(share.hint("shuffle_hash"), "u").groupBy(F.col("v").alias("id")).agg(F.sum("share").alias("got"))
+        common = (1 - damping) / n + damping * loose / n
+        rank = base.join(got, "id", "left").select("id", "d", (F.lit(common) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        loose = alone * common
+        if i % 5 == 4:  # a round reads the one before once, so plans only grow in length
+            rank = checkpointed(rank)
     return rank.select("id", "score")
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """id, component (smallest id in it). Labels sink along edges and are looked up at their own label, until none changes."""
-    near = _checkpointed(neighbours(nodes, edges))
-    labels = _checkpointed(nodes.select("id").distinct().withColumn("component", F.col("id")))
+    near = checkpointed(neighbours(nodes, edges))
+    labels = checkpointed(nodes.select("id").distinct().withColumn("component", F.col("id")))
     for _ in range(max_rounds):
         lowest = near.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("low"))
         sunk = labels.join(lowest, "id", "left").select("id", "component", F.least("component", F.coalesce("low", "component")).alias("next"))
         jump = sunk.select(F.col("id").alias("next"), F.col("next").alias("beyond"))
-        moved = _checkpointed(sunk.join(jump, "next").select("id", "component", F.least("next", "beyond").alias("new")))
+        moved = checkpointed(sunk.join(jump, "next").select("id", "component", F.least("next", "beyond").alias("new")))
         labels = moved.select("id", F.col("new").alias("component"))
         if moved.where("component <> new").isEmpty():
             return labels
@@ -181,8 +184,8 @@ def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 20, least_gain: fl
     ids = nodes.select("id").distinct()
     e = valid_edges(nodes, edges).select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), "weight")
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
-    near = _checkpointed(both.groupBy("u", "v").agg(F.sum("weight").alias("w")).where("w > 0"))
-    degree = _checkpointed(ids.join(near.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d")))
+    near = checkpointed(both.groupBy("u", "v").agg(F.sum("weight").alias("w")).where("w > 0"))
+    degree = checkpointed(ids.join(near.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d")))
     twice = degree.agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0]
     where = degree.select("id", "d", F.col("id").alias("c"))
     if twice > 0:
@@ -204,7 +207,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 20, least_gain: fl
             choice = offers.groupBy("id").agg(F.max(F.struct("gain", (-F.xxhash64("c")).alias("tie"), F.col("c").alias("to"))).alias("top"), stay.alias("stay"))
             turn = F.pmod(F.xxhash64("id", F.lit(k // 2)), F.lit(2)) == k % 2
             moves = choice.where(turn & (F.col("top.gain") > F.col("stay") + least_gain)).select("id", F.col("top.to").alias("to"))
-            after = _checkpointed(where.join(moves, "id", "left").select("id", "d", F.coalesce("to", "c").alias("c")))
+            after = checkpointed(where.join(moves, "id", "left").select("id", "d", F.coalesce("to", "c").alias("c")))
             value = modularity(after)
             still = 0 if value > best + least_gain else still + 1
             if value > best:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_score, query_phrase
-from ..functions.vectors import dot, l2_normalised
+from ..functions.vectors import cosine, unit
 
 # How well entry types go together; any other pair has OTHER_AFFINITY.
 TYPE_AFFINITY = {
@@ -26,9 +26,8 @@ OTHER_AFFINITY = 0.5
 
 def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
     """Rows with `score`: dot product of the unit query and the unit vector; other dimensions than the query's are left out."""
-    q = F.lit([float(x) for x in query])
     rows = vectors.where(F.size("embedding") == len(query))
-    return rows.withColumn("score", dot(l2_normalised(F.col("embedding")), l2_normalised(q)))
+    return rows.withColumn("score", cosine(F.col("embedding"), unit(query)))
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, threshold: float | None = None) -> DataFrame:
@@ -109,7 +108,9 @@ def relevance(entries: DataFrame, seeds: DataFrame) -> DataFrame:
     neighbour (degree of 2 at least), plus the affinity of the types. Pairs with affinity alone
     stay under any useful threshold and are not made.
     """
-    edge = links(entries)
+    from .graph import checkpointed
+
+    edge = checkpointed(links(entries))  # ids only: texts are read once
     both = edge.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(edge.select(F.col("dst").alias("u"), F.col("src").alias("v")))
     degree = both.groupBy("u").agg(F.count("*").alias("d"))
     near = both.distinct()
@@ -130,7 +131,7 @@ def relevance(entries: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def expanded(entries: DataFrame, hits: DataFrame, per_seed: int = 3, least: float = 2.0, most: int = 5) -> DataFrame:
     """id, score: entries to add to ranked hits (id, place): each seed's best, without hits, at the first seed's score, the best `most`."""
-    best = relevance(entries, hits).withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id"))).where(F.col("n") <= per_seed)
+    best = relevance(entries, hits.select("id")).withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id"))).where(F.col("n") <= per_seed)
     ranked = best.where(F.col("score") >= least).join(hits.select(F.col("id").alias("seed"), "place"), "seed").join(hits.select("id"), "id", "left_anti")
     first = ranked.groupBy("id").agg(F.min_by("score", F.struct("place", "n")).alias("score"))
     return first.orderBy(F.desc("score"), "id").limit(most)
@@ -138,9 +139,11 @@ def expanded(entries: DataFrame, hits: DataFrame, per_seed: int = 3, least: floa
 
 def hybrid(entries: DataFrame, vectors: DataFrame, question: str, tokens: list[str], query: list[float], k: int) -> DataFrame:
     """place, id, score, origin: fused keyword and vector hits, then expansions along the graph."""
+    from .graph import checkpointed
+
     known = entries.where(F.col("status").isin("approved", "pending"))
     near = top_k(vectors, query, 2 * k).join(entries.select("id"), "id", "left_semi")
-    top = fused(keyword_hits(known, question, tokens), near.select("id", "score"), k)
+    top = checkpointed(fused(keyword_hits(known, question, tokens), near.select("id", "score"), k))  # k rows, used several times
     hits = top.select(F.row_number().over(Window.orderBy(F.desc("rrf"), "id")).alias("place"), "id", F.col("rrf").alias("score"))
     more = expanded(known, hits)
     added = more.select((F.lit(k) + F.row_number().over(Window.orderBy(F.desc("score"), "id"))).alias("place"), "id", "score")

@@ -19,7 +19,15 @@ TYPES = ["concept", "entity", "source", "image", "table"]
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return _entries(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries without their status, so that reading a text needs no join."""
+    return _entries(table(spark, sf_dir, "documents").withColumn("quality", F.lit(None).cast("int"))).drop("status")
+
+
+def _entries(d: DataFrame) -> DataFrame:
     i = F.col("doc_id")
     return d.select(
         i.alias("id"),

@@ -90,8 +90,8 @@ points AS (SELECT id, 50.0::DOUBLE * contains(t, 'the and')::INT + 20 * least((l
 
 @query(f"WITH {KEYWORD} SELECT id, score FROM points WHERE score > 0")
 def keyword_score(spark, sf):
-    e = a.entries(spark, sf).where(F.col("status").isin("approved", "pending"))
-    return retrieval.keyword_hits(e, QUESTION, TOKENS)
+    known = a.entries(spark, sf).where(F.col("status").isin("approved", "pending")).select("id")
+    return retrieval.keyword_hits(a.texts(spark, sf), QUESTION, TOKENS).join(known, "id", "left_semi")
 
 
 @query(f"""WITH {KEYWORD}, {a.VECTORS},
@@ -100,9 +100,10 @@ def keyword_score(spark, sf):
   SELECT coalesce(kr.id, vr.id) AS id, floor((coalesce(1.0::DOUBLE / (60.0::DOUBLE + a), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + b), 0)) * 1e6 + 0.5) / 1e6 AS rrf
   FROM kr FULL JOIN vr ON kr.id = vr.id ORDER BY (coalesce(1.0::DOUBLE / (60.0::DOUBLE + a), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + b), 0)) DESC, 1 LIMIT 10""")
 def rrf_fusion(spark, sf):
-    e = a.entries(spark, sf).where(F.col("status").isin("approved", "pending"))
+    known = a.entries(spark, sf).where(F.col("status").isin("approved", "pending")).select("id")
     near = retrieval.top_k(a.vectors(spark, sf), a.sample_query(spark, sf), 20).select("id", "score")
-    return retrieval.fused(retrieval.keyword_hits(e, QUESTION, TOKENS), near, 10).select("id", r6(F.col("rrf")).alias("rrf"))
+    hits = retrieval.keyword_hits(a.texts(spark, sf), QUESTION, TOKENS).join(known, "id", "left_semi")
+    return retrieval.fused(hits, near, 10).select("id", r6(F.col("rrf")).alias("rrf"))
 
 
 @query()
