@@ -110,3 +110,17 @@ def json_strings(c: Column, fallback: Column) -> Column:
 def reply_text(body: Column) -> Column:
     """Reply text of a chat response, or its error message, or ''."""
     return F.coalesce(F.get_json_object(body, "$.choices[0].message.content"), F.get_json_object(body, "$.content[0].text"), F.get_json_object(body, "$.error.message"), F.lit(""))
+
+
+# A document's class where the model's reply does not state it.
+CLASS_DEFAULTS = {"categoryL1": "其他", "docType": "report", "library": "report", "reason": "AI分析完成"}
+FAILED_REASON = "AI分析失败"
+
+
+def classification(reply: Column) -> Column:
+    """struct of CLASS_DEFAULTS' fields from a JSON object, fenced or not; absent fields and unreadable replies have the defaults, the latter with a reason that says so."""
+    body = F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```\w*\n?", ""), r"\n?```$", "")
+    read = F.from_json(body, "map<string,string>", {"mode": "PERMISSIVE"})
+    failed = F.struct(*[F.lit(FAILED_REASON if k == "reason" else v).alias(k) for k, v in CLASS_DEFAULTS.items()])
+    found = F.struct(*[F.when(F.map_contains_key(read, k), F.coalesce(read[k], F.lit("null"))).otherwise(v).alias(k) for k, v in CLASS_DEFAULTS.items()])
+    return F.when(read.isNull(), failed).otherwise(found)

@@ -179,3 +179,8 @@ def keyword_score(title: Column, content: Column, keywords: Column, phrase: str,
     if phrase:
         score = score + F.contains(t, F.lit(phrase)).cast("int") * 50 + F.least(occurrences(c, F.lit(phrase)), F.lit(10)) * 20
     return score.cast("double")
+
+
+def time_text(ts: Column, iso: bool = False) -> Column:
+    """A timestamp as the text that tables store: 'yyyy-MM-dd HH:mm:ss', or ISO local with a T; such texts sort like times."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss" if iso else "yyyy-MM-dd HH:mm:ss")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trim_controls
+
 
 def _folded(c: Column) -> Column:
     """Comparison key that ignores case and accents."""
@@ -72,3 +74,63 @@ def file_checks(files: DataFrame, allowed: list[str], most_bytes: int = 100 * 10
         .when(claims.isNotNull() & ~claims.eqNullSafe(kind), "content")
     )
     return files.select("name", problem.isNull().alias("ok"), F.coalesce(problem, F.lit("")).alias("problem"))
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Point lookups: the rows of the listed ids, all in one join; unknown ids give nothing."""
+    return df.join(ids.select(F.col(key)).distinct(), key, "left_semi")
+
+
+def mentions(df: DataFrame, text: str, most: int = 20) -> DataFrame:
+    """The first rows by id whose title contains the text, case ignored."""
+    return df.where(F.contains(F.lower("title"), F.lit(text.lower()))).orderBy("id").limit(most)
+
+
+def failed_captions(images: DataFrame, ids: list[int] | None = None, mark: str = "失败") -> DataFrame:
+    """Images to caption again: the listed ids, or without a list those whose content has the failure mark."""
+    kept = images.where("media_type = 'image'")
+    return kept.where(F.contains("content", F.lit(mark))) if ids is None else kept.where(F.col("id").isin(ids))
+
+
+def waiting(tasks: DataFrame, status: str = "parsed") -> DataFrame:
+    """Documents left in a status, to be queued again in the order of upload."""
+    return tasks.where(F.col("status") == status).select("id", F.row_number().over(Window.partitionBy("project_id").orderBy("upload_time", "id")).alias("position"), "project_id")
+
+
+def chosen_config(settings: DataFrame, configs: DataFrame, purposes: list[str], fallback: str, able: Column) -> DataFrame:
+    """project_id, config_id, origin: a project's own enabled setting, else the enabled configuration of one of the purposes, else an able one of the fallback purpose.
+
+    settings: project_id, id, enabled, use_main. configs: project_id, id, enabled, purpose and what
+    `able` reads. Of equal priority the largest id counts; projects without any give no row.
+    """
+    own = settings.where("enabled and not use_main").select("project_id", F.col("id").alias("config_id"), F.lit(0).alias("priority"))
+    kind = F.when(F.col("purpose").isin(purposes), 1).when((F.col("purpose") == fallback) & able, 2)
+    others = configs.where("enabled").select("project_id", F.col("id").alias("config_id"), kind.alias("priority")).where("priority is not null")
+    best = own.unionByName(others).groupBy("project_id").agg(F.min(F.struct("priority", (-F.col("config_id")).alias("last"))).alias("b"))
+    origin = F.element_at(F.array(F.lit("setting"), F.lit("purpose"), F.lit("fallback")), F.col("b.priority") + 1)
+    return best.select("project_id", (-F.col("b.last")).alias("config_id"), origin.alias("origin"))
+
+
+def related_entry(clicks: DataFrame, entries: DataFrame) -> DataFrame:
+    """click, entry_id: the first entry of exactly the clicked title, else the first whose trimmed title is equal without regard to case; null if there is none."""
+    loose = lambda c: F.lower(trim_controls(c))
+    exact = entries.groupBy(F.col("title").alias("click")).agg(F.min("id").alias("exact_id"))
+    close = entries.groupBy(loose(F.col("title")).alias("loose")).agg(F.min("id").alias("close_id"))
+    met = clicks.select("click", loose(F.col("click")).alias("loose")).join(exact, "click", "left").join(close, "loose", "left")
+    return met.select("click", F.coalesce("exact_id", "close_id").alias("entry_id"))
+
+
+def title_list(entries: DataFrame, detailed: bool = False, most: int | None = None) -> DataFrame:
+    """project_id, lines: a project's titles as a bullet list by id, with keywords and library on request; at most `most` titles.
+
+    The list is meant for a prompt. Without a limit it grows with the project, so it is one row.
+    """
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("id"))
+    rows = entries if most is None else entries.withColumn("__n", place).where(F.col("__n") <= most)
+    line = F.concat(F.lit("- "), "title")
+    if detailed:
+        words = F.when(F.coalesce("keywords", F.lit("")) != "", F.concat(F.lit(" [关键词: "), "keywords", F.lit("]"))).otherwise("")
+        library = F.when(F.col("entry_library").isNotNull(), F.concat(F.lit(" (库: "), "entry_library", F.lit(")"))).otherwise("")
+        line = F.concat(line, words, library)
+    listed = F.array_sort(F.collect_list(F.struct("id", line.alias("line"))))
+    return rows.groupBy("project_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("lines"))

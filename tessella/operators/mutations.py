@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .repair import latest_wins
+from ..functions.text import related_set, trim_controls
+from .repair import contained, latest_wins
 
 
 def upsert(stored: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -74,3 +75,75 @@ def renamed_charts(charts: DataFrame) -> DataFrame:
     label = F.when(F.col("kind") == "table", "表格").otherwise("图片")
     ext = extension(F.col("title"))
     return charts.select("id", F.concat_ws("_", "project", label, n.cast("string")).alias("stem"), ext.alias("ext")).select("id", F.concat("stem", F.when(F.col("ext") != "", F.concat(F.lit("."), "ext")).otherwise("")).alias("title"))
+
+
+def related_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """id, project_id, title, target, action ('add' or 'remove') of related titles that an update put in or took out. before, after: id, project_id, title, related."""
+    lists = after.join(before.select("id", related_set(F.col("related")).alias("old")), "id").select("id", "project_id", "title", "old", related_set(F.col("related")).alias("new"))
+    event = lambda action, gone, kept: F.transform(F.array_except(gone, kept), lambda t: F.struct(F.lit(action).alias("action"), t.alias("target")))
+    none = F.array().cast("array<string>")
+    old, new = F.coalesce("old", none), F.coalesce("new", none)
+    return lists.select("id", "project_id", "title", F.inline(F.concat(event("add", new, old), event("remove", old, new)))).select("id", "project_id", "title", "target", "action")
+
+
+def with_reverse_links(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """id, related of entries whose list changes when related_changes are mirrored: the first entry of the target title in the project gains or loses the changed title.
+
+    Lists are ordered: what was there, then new titles by name. An empty list becomes null.
+    """
+    first = entries.groupBy("project_id", F.col("title").alias("target")).agg(F.min("id").alias("target_id"))
+    asked = changes.join(first, ["project_id", "target"])
+    titles = lambda action: F.array_sort(F.collect_set(F.when(F.col("action") == action, F.col("title"))))
+    by = asked.groupBy(F.col("target_id").alias("id")).agg(titles("add").alias("more"), titles("remove").alias("less"))
+    have = F.coalesce(related_set(F.col("related")), F.array().cast("array<string>"))
+    rows = entries.join(by, "id").select("id", have.alias("have"), "more", "less")
+    rows = rows.select("id", "have", F.array_except(F.array_union("have", "more"), F.array_except("less", "more")).alias("now"))
+    return rows.where("have <> now").select("id", F.nullif(F.array_join("now", ","), F.lit("")).alias("related"))
+
+
+def re_extracted(entries: DataFrame, documents: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Entries after documents (id) were extracted again: their old entries go, the fresh ones come; entries without a document stay."""
+    return without(entries, documents, "document_id", "id").unionByName(fresh)
+
+
+def failures(replies: DataFrame, parsed: Column) -> DataFrame:
+    """Rows for replies that could not be read: relation type 'extract_failed', confidence 0, rejected. replies: id, reply, error."""
+    reason = F.coalesce("error", F.when(F.col("reply").isNull(), F.lit("no reply")), F.lit("unknown_error"))
+    fields = {"relation_type": "extract_failed", "extractor": "llm", "status": "rejected"}
+    return replies.where(parsed.isNull()).select(F.col("id").alias("source_id"), reason.alias("reason"), F.lit(0.0).alias("confidence"), *[F.lit(v).alias(k) for k, v in fields.items()])
+
+
+def as_tables(images: DataFrame, read: DataFrame) -> DataFrame:
+    """Images turned into table entries by their recognised Markdown (read: id, markdown); images without a path or a result stay."""
+    met = images.join(read, "id", "left")
+    hit = F.col("markdown").isNotNull() & F.col("media_path").isNotNull()
+    suffix = F.concat(F.coalesce(F.concat("keywords", F.lit(",")), F.lit("")), F.lit("表格,OCR"))
+    new = {"table_markdown": F.col("markdown"), "media_type": F.lit("table"), "entry_type": F.lit("table"), "keywords": suffix}
+    return met.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in new.items()}).drop("markdown")
+
+
+def captioned(entries: DataFrame, images: DataFrame) -> DataFrame:
+    """image_id, entry_id: the first entry (smallest id) of the project whose title stands in an image's file name, caption or Markdown.
+
+    images: id, project_id, filename, caption, markdown. Titles of two characters or more meet the
+    texts by character runs (repair.contained), so no image meets every entry.
+    """
+    text = F.concat_ws("\n", "filename", "caption", "markdown")
+    hits = contained(entries.select(F.col("title").alias("tag"), "project_id", "id"), images.select(F.col("id").alias("image_id"), "project_id", text.alias("text")))
+    return hits.groupBy("image_id").agg(F.min("id").alias("entry_id"))
+
+
+def merged_tags(charts: DataFrame, tags: DataFrame) -> DataFrame:
+    """id, keywords of charts whose keyword string lacks one of their document's tags; a tag found anywhere in the old string is not added. tags: document_id, tags (comma-separated)."""
+    have = F.coalesce("keywords", F.lit(""))
+    each = F.filter(F.transform(F.split("tags", ","), trim_controls), lambda t: t != "")
+    rows = charts.join(tags, "document_id").select("id", have.alias("have"), each.alias("each"))
+    new = F.filter("each", lambda t: ~F.contains(F.col("have"), t))
+    rows = rows.select("id", "have", new.alias("new")).where(F.size("new") > 0)
+    return rows.select("id", F.array_join(F.concat(F.when(F.col("have") != "", F.array("have")).otherwise(F.array().cast("array<string>")), "new"), ",").alias("keywords"))
+
+
+def alive_tasks(tasks: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
+    """Tasks without those that ended (completed or failed) over `seconds` ago."""
+    ended = F.col("status").isin("completed", "failed")
+    return tasks.where(~ended | (F.unix_timestamp("ts") >= F.unix_timestamp(now) - seconds))

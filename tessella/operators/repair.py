@@ -138,6 +138,25 @@ def _grams(c: Column, size: int) -> Column:
     return F.array_distinct(F.slice(runs, 1, F.greatest(F.size(chars) - (size - 1), F.lit(0))))
 
 
+def contained(tags: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of texts and tags where the text contains the tag. tags: tag (two characters or more; shorter ones match nothing), project_id and more; texts: text, project_id and more.
+
+    A tag in a text has all its character runs in it, so tags meet texts by the run that the
+    fewest tags of the project hold, and contains() decides. Null projects match each other.
+    """
+    tags = tags.where("length(tag) >= 2").withColumn("__tag_row", F.monotonically_increasing_id())
+    texts = texts.withColumn("__text_row", F.monotonically_increasing_id())
+    project = F.coalesce(F.col("project_id").cast("string"), F.lit("")).alias("__project")
+    size = lambda n: F.when(F.length("tag") >= n, _grams(F.col("tag"), n))
+    runs = tags.select(project, "__tag_row", F.explode(F.coalesce(*[size(n) for n in reversed(GRAMS)])).alias("__gram"))
+    held = runs.groupBy("__project", "__gram").agg(F.count("*").alias("n"))
+    keyed = runs.join(held, ["__project", "__gram"]).groupBy("__project", "__tag_row").agg(F.min_by("__gram", F.struct("n", "__gram")).alias("__gram"))
+    met = texts.select(project, "__text_row", F.explode(F.concat(*[_grams(F.col("text"), n) for n in GRAMS])).alias("__gram")).join(keyed, ["__project", "__gram"])
+    pairs = met.select("__text_row", "__tag_row").distinct()
+    full = pairs.join(texts, "__text_row").join(tags.drop("project_id"), "__tag_row")
+    return full.where(F.contains("text", "tag")).drop("__text_row", "__tag_row")
+
+
 def missing_tags(entries: DataFrame, charts: DataFrame) -> DataFrame:
     """chart_id, tags: keywords and titles (two characters or more) of entries that a chart's title or content contains and its keyword string does not.
 

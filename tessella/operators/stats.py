@@ -79,3 +79,23 @@ def numbered_titles(docs: DataFrame, existing: DataFrame, prefix: Column) -> Dat
     have = existing.groupBy("project_id", "doc_type").agg(F.count("*").alias("have"))
     pos = F.row_number().over(Window.partitionBy("project_id", "doc_type").orderBy("id"))
     return docs.withColumn("pos", pos).join(have, ["project_id", "doc_type"], "left").select("id", F.concat(prefix, F.lit("_"), (F.coalesce("have", F.lit(0)) + F.col("pos")).cast("string")).alias("title"))
+
+
+def group_counts_with_total(df: DataFrame, column: str) -> DataFrame:
+    """value, n of each value and, under the value null and `is_total`, of all rows."""
+    return df.rollup(column).agg(F.count("*").alias("n"), (F.grouping(column) == 1).alias("is_total")).select(F.col(column).alias("value"), "n", "is_total")
+
+
+def last_by_first_place(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row for each key: the last row's values, at the place where the key came first (`position`, from 1 within project_id)."""
+    last = df.groupBy("project_id", key).agg(F.max_by(F.struct(*[c for c in df.columns if c not in (key, "project_id")]), order).alias("r"), F.min(order).alias("first"))
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("first"))
+    return last.select("project_id", key, "r.*", place.alias("position"))
+
+
+def community_labels(members: DataFrame, n: int = 3) -> DataFrame:
+    """community_id, labels: the n most frequent keywords of a community, or where it has none the labels of its first n members. members: id, label, community_id, keywords (array)."""
+    words = top_keywords(members.select("community_id", "keywords"), n).groupBy("community_id").agg(F.array_sort(F.collect_list(F.struct("position", "keyword"))).alias("w"))
+    first = latest_per(members, "community_id", [F.asc("id")], n).groupBy("community_id").agg(F.array_sort(F.collect_list(F.struct("position", "label"))).alias("m"))
+    both = first.join(words, "community_id", "left")
+    return both.select("community_id", F.array_join(F.coalesce(F.transform("w", lambda x: x["keyword"]), F.transform("m", lambda x: x["label"])), ",").alias("labels"))
