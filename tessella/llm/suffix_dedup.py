@@ -14,14 +14,14 @@ with an equal prefix of LENGTH - V + 1 bytes.
 3. Cover: each document removes the bytes under its marked strings.
 
 Documents travel as chunks of a few MB in a bucketed table, so each phase joins its answers to
-the chunks without moving text again. Between phases only packed names, prefix hashes of 62 bits
+the chunks without moving text again. Between phases only packed names, prefix hashes
 and bits move. A task never holds more than a chunk or a key range. Exact copies are settled
-first by the digest of the whole text.
+first by the digest of the whole text. Strings are equal by their hashes: 56 bits and those of the
+key range, 60 at least; bytes are not compared.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 import uuid
@@ -160,12 +160,10 @@ def _ask_names(bits: int, ranges: int):
             for chunk, c, _ in _opened(batch):
                 values = np.unique(c.names(bits)[1])
                 cut, rows = _ranges(values, bits, ranges), []
-                for k in range(ranges):
-                    mine = values[cut[k] : cut[k + 1]]
-                    if len(mine):
-                        gaps = np.diff(mine, prepend=np.uint64(k << (bits - int(math.log2(ranges)))))
-                        width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-                        rows.append((k, chunk, bytes([width]) + _pack(gaps, width)))
+                for k in np.flatnonzero(np.diff(cut)).tolist():  # the ranges that this chunk has names in
+                    gaps = np.diff(values[cut[k] : cut[k + 1]], prepend=np.uint64(k << (bits - int(math.log2(ranges)))))
+                    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+                    rows.append((k, chunk, bytes([width]) + _pack(gaps, width)))
                 yield _rows(rows, ["part", "chunk", "payload"], [pa.int32(), pa.int64(), pa.binary()])
 
     return run
@@ -215,7 +213,7 @@ def _repeated_names(part: int, payloads: list[bytes]) -> list[np.ndarray]:
 def _answers(c: Chunk, answers: list | None, sizes: np.ndarray) -> np.ndarray:
     """The bits of all key ranges in order; `sizes`: how many each range was asked about."""
     got = {a["part"]: a["bits"] for a in answers or []}
-    parts = [np.unpackbits(np.frombuffer(got[k], np.uint8), count=n) for k, n in enumerate(sizes.tolist()) if n]
+    parts = [np.unpackbits(np.frombuffer(got[k], np.uint8), count=int(sizes[k])) for k in np.flatnonzero(sizes).tolist()]
     return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
@@ -236,12 +234,11 @@ def _ask_strings(bits: int, ranges: int):
             for chunk, c, r in _opened(batch):
                 _, values, _, _, part, owner, order = _asked(c, r, bits, ranges)
                 rows, cut = [], np.searchsorted(part[order], np.arange(ranges + 1))
-                for k in range(ranges):
+                for k in np.flatnonzero(np.diff(cut)).tolist():
                     mine = order[cut[k] : cut[k + 1]]
-                    if len(mine):
-                        docs, counts = np.unique(owner[mine], return_counts=True)
-                        head = np.concatenate([[len(docs)], c.ids[docs], counts]).astype("<i8").tobytes()
-                        rows.append((k, chunk, head + _pack(values[mine] & np.uint64((1 << 56) - 1), 7)))
+                    docs, counts = np.unique(owner[mine], return_counts=True)
+                    head = np.concatenate([[len(docs)], c.ids[docs], counts]).astype("<i8").tobytes()
+                    rows.append((k, chunk, head + _pack(values[mine] & np.uint64((1 << 56) - 1), 7)))
                 yield _rows(rows, ["part", "chunk", "payload"], [pa.int32(), pa.int64(), pa.binary()])
 
     return run
@@ -292,24 +289,14 @@ def _cover(bits: int, ranges: int):
     return run
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of a phase whose result is already written.
-
-    They go when the driver's last reference is collected; the scheduler keeps one to its latest
-    job, so a job of one row comes first.
-    """
-    spark.range(1).count()
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row per input row.
 
     A byte goes when a string of LENGTH bytes covers it that also starts in a document with a
     smaller id; strings are judged on the input. A null text is empty; texts under LENGTH bytes
     lose nothing. Rows that repeat an id do not remove each other's strings. A null id counts as
-    larger than any other. An empty table gives no rows; other columns are ignored.
+    larger than any other. An empty table gives no rows; other columns are ignored. A document is
+    never split, so a task holds a chunk of CHUNK_BYTES or one longer document.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -317,8 +304,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     made = source.mapInArrow(_chunks, "chunk long, ids array<long>, lens array<long>, shas array<string>, blob binary")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made.write.bucketBy(buckets, "chunk").option("path", f"{shared_root(spark)}/{table}").option("compression", "none").saveAsTable(table)
-    chunks = spark.table(table)
+    try:
+        return shared_table(_removed(spark, spark.table(table)), "suffix-result")
+    finally:  # the result is written: the chunks are of no more use
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
 
+def _removed(spark: SparkSession, chunks: DataFrame) -> DataFrame:
+    """The result's rows from a table of chunks bucketed by chunk."""
     each = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "lens", "shas")).alias("at", "d")).select("chunk", "at", F.col("d.ids").alias("id"), F.col("d.lens").alias("n"), F.col("d.shas").alias("sha"))
     lowest = each.groupBy("sha").agg(F.min("id").alias("low"), F.count("*").alias("uses")).where("uses > 1")
     lowest = shared_table(lowest, "suffix-leaders")  # written, so that a join on a hot digest can be split
@@ -332,9 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         asked = rows.mapInArrow(emit, "part int, chunk long, payload binary")
         owned = asked.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(_by_range(answer), "chunk long, part int, bits binary")
         told = owned.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias(name))
-        told = shared_table(told, f"suffix-{name}")
-        _release(spark)
-        return told
+        return shared_table(told, f"suffix-{name}")
 
     base = chunks.join(copies, "chunk", "left")
     names = ask(base.select("chunk", "ids", "lens", "blob", "copies"), _ask_names(bits, ranges), _repeated_names, "names")
