@@ -85,12 +85,13 @@ class Chunk:
         at = np.flatnonzero(cover[self.off % V] & (self.room >= NAME) & self.live[self.doc]) if len(self.off) else self.off
         return at, self.hashes(at, NAME) >> np.uint64(64 - bits)
 
-    def candidates(self, bits: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions whose LENGTH-byte string reaches a repeated name, and the strings' hashes."""
-        at, name = self.names(bits)
-        values, back, first = _unique(name)
+    def candidates(self, at: np.ndarray, back: np.ndarray, first: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions whose LENGTH-byte string reaches a repeated name, and the strings' hashes.
+
+        at: sampled positions; back, first: which distinct name each has, and the first place of each.
+        """
         owners = self.doc[at]
-        here = np.zeros(len(values), bool)
+        here = np.zeros(len(first), bool)
         here[back[owners != owners[first][back]]] = True  # in two documents of this chunk
         hit = at[(here | repeated)[back]]
         step = np.zeros(len(self.raw) + 1, np.int32)
@@ -219,8 +220,9 @@ def _answers(c: Chunk, answers: list | None, sizes: np.ndarray) -> np.ndarray:
 
 def _asked(c: Chunk, r: dict, bits: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Candidate positions and, for the distinct strings in asking order, what phase 2 asks about."""
-    names = np.unique(c.names(bits)[1])
-    pos, h = c.candidates(bits, _answers(c, r["names"], np.diff(_ranges(names, bits, ranges))))
+    at, name = c.names(bits)
+    names, back, first = _unique(name)
+    pos, h = c.candidates(at, back, first, _answers(c, r["names"], np.diff(_ranges(names, bits, ranges))))
     values, back, first = _unique(h)  # the first occurrence is the chunk's smallest document
     part = (values >> np.uint64(62 - int(math.log2(ranges)))).astype(np.int64)
     owner = c.doc[pos[first]] if len(pos) else np.zeros(0, np.int64)
