@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim_controls
 
+# The mark of a failed caption, and the labels of keywords and library in a prompt's list.
+FAILED_MARK, KEYWORDS_LABEL, LIBRARY_LABEL = "失败", "关键词", "库"
+
 
 def _folded(c: Column) -> Column:
     """Comparison key that ignores case and accents."""
@@ -86,7 +89,7 @@ def mentions(df: DataFrame, text: str, most: int = 20) -> DataFrame:
     return df.where(F.contains(F.lower("title"), F.lit(text.lower()))).orderBy("id").limit(most)
 
 
-def failed_captions(images: DataFrame, ids: list[int] | None = None, mark: str = "失败") -> DataFrame:
+def failed_captions(images: DataFrame, ids: list[int] | None = None, mark: str = FAILED_MARK) -> DataFrame:
     """Images to caption again: the listed ids, or without a list those whose content has the failure mark."""
     kept = images.where("media_type = 'image'")
     return kept.where(F.contains("content", F.lit(mark))) if ids is None else kept.where(F.col("id").isin(ids))
@@ -129,8 +132,8 @@ def title_list(entries: DataFrame, detailed: bool = False, most: int | None = No
     rows = entries if most is None else entries.withColumn("__n", place).where(F.col("__n") <= most)
     line = F.concat(F.lit("- "), "title")
     if detailed:
-        words = F.when(F.coalesce("keywords", F.lit("")) != "", F.concat(F.lit(" [关键词: "), "keywords", F.lit("]"))).otherwise("")
-        library = F.when(F.col("entry_library").isNotNull(), F.concat(F.lit(" (库: "), "entry_library", F.lit(")"))).otherwise("")
+        words = F.when(F.coalesce("keywords", F.lit("")) != "", F.concat(F.lit(f" [{KEYWORDS_LABEL}: "), "keywords", F.lit("]"))).otherwise("")
+        library = F.when(F.col("entry_library").isNotNull(), F.concat(F.lit(f" ({LIBRARY_LABEL}: "), "entry_library", F.lit(")"))).otherwise("")
         line = F.concat(line, words, library)
     listed = F.array_sort(F.collect_list(F.struct("id", line.alias("line"))))
     return rows.groupBy("project_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("lines"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import related_set, trim_controls
 from .repair import contained, latest_wins
 
+# Keywords added to an image that became a table, and the fields of a failed extraction.
+TABLE_KEYWORDS = "表格,OCR"
+FAILURE = {"relation_type": "extract_failed", "extractor": "llm", "status": "rejected"}
+
 
 def upsert(stored: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     return latest_wins(stored, updates, keys, order)
@@ -109,15 +113,14 @@ def re_extracted(entries: DataFrame, documents: DataFrame, fresh: DataFrame) ->
 def failures(replies: DataFrame, parsed: Column) -> DataFrame:
     """Rows for replies that could not be read: relation type 'extract_failed', confidence 0, rejected. replies: id, reply, error."""
     reason = F.coalesce("error", F.when(F.col("reply").isNull(), F.lit("no reply")), F.lit("unknown_error"))
-    fields = {"relation_type": "extract_failed", "extractor": "llm", "status": "rejected"}
-    return replies.where(parsed.isNull()).select(F.col("id").alias("source_id"), reason.alias("reason"), F.lit(0.0).alias("confidence"), *[F.lit(v).alias(k) for k, v in fields.items()])
+    return replies.where(parsed.isNull()).select(F.col("id").alias("source_id"), reason.alias("reason"), F.lit(0.0).alias("confidence"), *[F.lit(v).alias(k) for k, v in FAILURE.items()])
 
 
 def as_tables(images: DataFrame, read: DataFrame) -> DataFrame:
     """Images turned into table entries by their recognised Markdown (read: id, markdown); images without a path or a result stay."""
     met = images.join(read, "id", "left")
     hit = F.col("markdown").isNotNull() & F.col("media_path").isNotNull()
-    suffix = F.concat(F.coalesce(F.concat("keywords", F.lit(",")), F.lit("")), F.lit("表格,OCR"))
+    suffix = F.concat(F.coalesce(F.concat("keywords", F.lit(",")), F.lit("")), F.lit(TABLE_KEYWORDS))
     new = {"table_markdown": F.col("markdown"), "media_type": F.lit("table"), "entry_type": F.lit("table"), "keywords": suffix}
     return met.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in new.items()}).drop("markdown")
 
