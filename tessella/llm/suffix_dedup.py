@@ -16,8 +16,9 @@ with an equal prefix of LENGTH - V + 1 bytes.
 Documents travel as chunks of a few MB in a bucketed table, so each phase joins its answers to
 the chunks without moving text again. Between phases only packed names, prefix hashes
 and bits move. A task never holds more than a chunk or a key range. Exact copies are settled
-first by the digest of the whole text. Strings are equal by their hashes: 56 bits and those of the
-key range, 60 at least; bytes are not compared.
+first by the digest of the whole text. Strings are equal by two hashes of different bases, 40 bits
+of each and those of the key range; bytes are not compared. As ranges grow with the corpus, so
+does the hash: n candidates are expected to give n / 10**18 false equalities.
 """
 
 from __future__ import annotations
@@ -42,16 +43,16 @@ NAME = LENGTH - V + 1
 CHUNK_BYTES, RANGE_BYTES = 2_000_000, 12_000_000
 LAST = (1 << 63) - 1  # stands for a null id: after all others
 
-_P = 0x9E3779B97F4A7C15
-_TABLES: list[np.ndarray] = []
+_P, _SECOND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+_TABLES: dict[int, list[np.ndarray]] = {}
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if not _TABLES or len(_TABLES[0]) < n:
+def _powers(base: int, n: int) -> list[np.ndarray]:
+    if base not in _TABLES or len(_TABLES[base][0]) < n:
         size = 1 << (n - 1).bit_length()
-        _TABLES[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(p))])) for p in (_P, pow(_P, -1, 1 << 64))]
-    return _TABLES
+        _TABLES[base] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(p))])) for p in (base, pow(base, -1, 1 << 64))]
+    return _TABLES[base]
 
 
 class Chunk:
@@ -67,13 +68,17 @@ class Chunk:
         self.doc = np.repeat(np.arange(len(ids)), self.lens)
         self.off = np.arange(n) - self.begin[self.doc] if n else np.zeros(0, np.int64)
         self.room = self.lens[self.doc] - self.off if n else np.zeros(0, np.int64)
-        up, self.down = _powers(max(1, n))
-        values = (np.frombuffer(self.raw, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n]
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(values)])
+        self.sums: dict[int, np.ndarray] = {}
         self.live = self.single & (self.lens >= LENGTH)
 
-    def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
-        h = (self.sums[at + length] - self.sums[at]) * self.down[at]
+    def hashes(self, at: np.ndarray, length: int, base: int = _P) -> np.ndarray:
+        """Mixed polynomial hashes in powers of `base` of the strings of a length at the positions."""
+        up, down = _powers(base, max(1, len(self.raw)))
+        if base not in self.sums:
+            values = (np.frombuffer(self.raw, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(self.raw)]
+            self.sums[base] = np.concatenate([[np.uint64(0)], np.cumsum(values)])
+        sums = self.sums[base]
+        h = (sums[at + length] - sums[at]) * down[at]
         h = (h ^ (h >> np.uint64(32))) * _MIX
         h = (h ^ (h >> np.uint64(29))) * np.uint64(_P)
         return h ^ (h >> np.uint64(32))
@@ -85,8 +90,8 @@ class Chunk:
         at = np.flatnonzero(cover[self.off % V] & (self.room >= NAME) & self.live[self.doc]) if len(self.off) else self.off
         return at, self.hashes(at, NAME) >> np.uint64(64 - bits)
 
-    def candidates(self, at: np.ndarray, back: np.ndarray, first: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions whose LENGTH-byte string reaches a repeated name, and the strings' hashes.
+    def candidates(self, at: np.ndarray, back: np.ndarray, first: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+        """Positions whose LENGTH-byte string reaches a repeated name.
 
         at: sampled positions; back, first: which distinct name each has, and the first place of each.
         """
@@ -97,14 +102,46 @@ class Chunk:
         step = np.zeros(len(self.raw) + 1, np.int32)
         np.add.at(step, np.maximum(hit - V + 1, self.begin[self.doc[hit]]), 1)
         np.add.at(step, hit + 1, -1)
-        pos = np.flatnonzero((np.cumsum(step[:-1]) > 0) & (self.room >= LENGTH))
-        return pos, self.hashes(pos, LENGTH) >> np.uint64(2)
+        return np.flatnonzero((np.cumsum(step[:-1]) > 0) & (self.room >= LENGTH))
 
 
-def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct values, index of each value in them, first position of each."""
-    out, first, back = np.unique(values, return_index=True, return_inverse=True)
-    return out, back, first
+def _order(values: np.ndarray) -> np.ndarray:
+    """Stable order of unsigned values.
+
+    Leading bits and position are sorted as one number, which is several times faster than
+    sorting positions; values that differ only in the bits cut off are sorted the plain way.
+    """
+    if not len(values):
+        return np.zeros(0, np.int64)
+    place = np.uint64((len(values) - 1).bit_length())
+    free = np.uint64(64 - int(values.max()).bit_length())
+    mask = (np.uint64(1) << place) - np.uint64(1)
+    order = (np.sort(((values << free) & ~mask) | np.arange(len(values), dtype=np.uint64)) & mask).astype(np.int64)
+    if free < place and np.any(values[order[1:]] < values[order[:-1]]):
+        return np.argsort(values, kind="stable")
+    return order
+
+
+def _groups(values: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): stable order of the values, and whether each in that order differs from the one before.
+
+    With `extra`, values are equal only if their extra values are, too.
+    """
+    order = _order(values)
+    new = np.ones(len(order), bool)
+    new[1:] = values[order[1:]] != values[order[:-1]]
+    if extra is not None and np.any(~new[1:] & (extra[order[1:]] != extra[order[:-1]])):
+        order = np.lexsort((extra, values))
+        new[1:] = (values[order[1:]] != values[order[:-1]]) | (extra[order[1:]] != extra[order[:-1]])
+    return order, new
+
+
+def _unique(values: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sorted distinct values: which one each value is, and the first position of each."""
+    order, new = _groups(values, extra)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return back, order[new]
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -203,8 +240,8 @@ def _split(flags: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
 def _repeated_names(part: int, payloads: list[bytes]) -> list[np.ndarray]:
     values = [np.cumsum(_unpack(p[1:], p[0])) for p in payloads]  # offsets in the range compare like names
     everything = np.concatenate(values)
-    order = np.argsort(everything, kind="stable")
-    same = everything[order][1:] == everything[order][:-1]
+    order, new = _groups(everything)
+    same = ~new[1:]
     flags = np.zeros(len(everything), bool)
     flags[order[1:]] |= same
     flags[order[:-1]] |= same
@@ -218,48 +255,61 @@ def _answers(c: Chunk, answers: list | None, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
-def _asked(c: Chunk, r: dict, bits: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate positions and, for the distinct strings in asking order, what phase 2 asks about."""
+def _asked(c: Chunk, r: dict, bits: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate positions, the distinct string of each, and of the distinct strings: first position, key range, document and asking order."""
     at, name = c.names(bits)
-    names, back, first = _unique(name)
-    pos, h = c.candidates(at, back, first, _answers(c, r["names"], np.diff(_ranges(names, bits, ranges))))
-    values, back, first = _unique(h)  # the first occurrence is the chunk's smallest document
-    part = (values >> np.uint64(62 - int(math.log2(ranges)))).astype(np.int64)
-    owner = c.doc[pos[first]] if len(pos) else np.zeros(0, np.int64)
-    order = np.lexsort((owner, part))
-    return pos, values, back, first, part, owner, order
+    back, first = _unique(name)
+    pos = c.candidates(at, back, first, _answers(c, r["names"], np.diff(_ranges(name[first], bits, ranges))))
+    h = c.hashes(pos, LENGTH)
+    back, first = _unique(h, c.hashes(pos, LENGTH, _SECOND))  # the first occurrence is the chunk's smallest document
+    part = (h[first] >> np.uint64(64 - int(math.log2(ranges)))).astype(np.int64)
+    first = pos[first]
+    owner = c.doc[first]
+    return pos, back, first, part, owner, _order((part * len(c.ids) + owner).astype(np.uint64))
 
 
 def _ask_strings(bits: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, c, r in _opened(batch):
-                _, values, _, _, part, owner, order = _asked(c, r, bits, ranges)
+                _, _, first, part, owner, order = _asked(c, r, bits, ranges)
+                keys = _wide(c.hashes(first[order], LENGTH), c.hashes(first[order], LENGTH, _SECOND))
                 rows, cut = [], np.searchsorted(part[order], np.arange(ranges + 1))
                 for k in np.flatnonzero(np.diff(cut)).tolist():
                     mine = order[cut[k] : cut[k + 1]]
                     docs, counts = np.unique(owner[mine], return_counts=True)
                     head = np.concatenate([[len(docs)], c.ids[docs], counts]).astype("<i8").tobytes()
-                    rows.append((k, chunk, head + _pack(values[mine] & np.uint64((1 << 56) - 1), 7)))
+                    rows.append((k, chunk, head + keys[cut[k] : cut[k + 1]].tobytes()))
                 yield _rows(rows, ["part", "chunk", "payload"], [pa.int32(), pa.int64(), pa.binary()])
 
     return run
 
 
+#: A string's key within its range: 40 bits of either hash.
+KEY = np.dtype([("low", "<u8"), ("high", "<u2")])
+
+
+def _wide(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    keys = np.empty(len(h), KEY)
+    keys["low"] = (h & np.uint64((1 << 40) - 1)) | (g << np.uint64(40))
+    keys["high"] = (g >> np.uint64(24)).astype(np.uint16)
+    return keys
+
+
 def _later_strings(part: int, payloads: list[bytes]) -> list[np.ndarray]:
-    values, docs = [], []
+    keys, docs = [], []
     for p in payloads:
         n = int(np.frombuffer(p, "<i8", 1)[0])
         head = np.frombuffer(p, "<i8", 1 + 2 * n)
         docs.append(np.repeat(head[1 : 1 + n], head[1 + n :]))
-        values.append(_unpack(p[8 * (1 + 2 * n) :], 7))
-    h, d = np.concatenate(values), np.concatenate(docs)
-    order = np.argsort(h, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-    low = np.repeat(np.minimum.reduceat(d[order], starts), np.diff(np.append(starts, len(h))))
-    flags = np.zeros(len(h), bool)
+        keys.append(np.frombuffer(p, KEY, offset=8 * (1 + 2 * n)))
+    d = np.concatenate(docs)
+    order, new = _groups(np.concatenate([k["low"] for k in keys]), np.concatenate([k["high"] for k in keys]))
+    starts = np.flatnonzero(new)
+    low = np.repeat(np.minimum.reduceat(d[order], starts), np.diff(np.append(starts, len(d))))
+    flags = np.zeros(len(d), bool)
     flags[order] = d[order] > low
-    return _split(flags, [len(v) for v in values])
+    return _split(flags, [len(k) for k in keys])
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -269,8 +319,8 @@ def _cover(bits: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, c, r in _opened(batch):
-                pos, values, back, _, part, owner, order = _asked(c, r, bits, ranges)
-                later = np.zeros(len(values), bool)
+                pos, back, _, part, owner, order = _asked(c, r, bits, ranges)
+                later = np.zeros(len(part), bool)
                 later[order] = _answers(c, r["strings"], np.bincount(part, minlength=ranges))
                 marked = pos[later[back] | (c.ids[c.doc[pos]] > c.ids[owner[back]])] if len(pos) else pos
                 step = np.zeros(len(c.raw) + 1, np.int32)

@@ -227,6 +227,23 @@ def test_short_and_edge_matches(spark):
     assert rows(remove_repeats(documents(spark, data)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffix(data)
 
 
+def test_equal_first_hashes_do_not_make_strings_equal():
+    h, g = np.array([7, 3, 7, 7, 3], np.uint64), np.array([1, 5, 2, 1, 5], np.uint64)
+    back, first = suffix_dedup._unique(h, g)
+    assert back.tolist() == [1, 0, 2, 1, 0] and first.tolist() == [1, 0, 2]
+    head = lambda *ids: np.array([len(ids), *ids, *[1] * len(ids)], "<i8").tobytes()
+    key = lambda low, high: np.array([(low, high)], suffix_dedup.KEY).tobytes()
+    flags = suffix_dedup._later_strings(0, [head(4, 5) + key(9, 1) + key(8, 1), head(6) + key(9, 2), head(7, 9) + key(9, 1) + key(8, 1)])
+    assert [f.tolist() for f in flags] == [[False, False], [False], [True, True]]
+
+
+@pytest.mark.parametrize("bits", [3, 20, 44, 64])
+def test_order_is_stable(bits):
+    values = np.random.default_rng(bits).integers(0, 1 << bits, 5000, np.uint64, endpoint=False) if bits < 64 else np.random.default_rng(1).integers(0, 3, 5000, np.uint64) + np.uint64((1 << 64) - 9)
+    assert suffix_dedup._order(values).tolist() == np.argsort(values, kind="stable").tolist()
+    assert suffix_dedup._order(values[:0]).tolist() == [] and suffix_dedup._order(values[:1]).tolist() == [0]
+
+
 # ---- secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
