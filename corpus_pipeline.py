@@ -2,9 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result
 as Parquet in the shared folder and reads it back for the next. All stages but the last return
-the columns of documents. Rows of one stage's input are judged on that input alone. An id that
-repeats with different texts is kept or dropped for all of its rows by stages 3 and 4; stage 2
-keeps one row of each text.
+the columns of documents. Rows of one stage's input are judged on that input alone, each by its own
+text: rows that repeat an id, or have none, are told apart. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,24 +26,52 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
-    kept = exact_groups(docs).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")))
-    plain = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
-    repeated = rows.where("__n > 1").withColumn("__text", plain).dropDuplicates(["__id", "__text"])
-    return rows.where("__n = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    """One row of each group of equal texts: of the most code points, then of the smallest id.
+
+    Rows that share an id, too, are one row of the longest text among them (ties: the last text in order).
+    """
+    found = shared_table(exact_groups(docs).select(F.col("doc_id").alias("__id"), "kept", F.col("text_sha256").alias("__sha")), "exact-kept")
+    ids = found.groupBy("__id").agg(F.count("*").alias("__n"), F.max("kept").alias("__kept")).where("__kept")
+    rows = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__id")))
+    once = rows.where("__n = 1").select(*docs.columns)
+    text = F.coalesce("text", F.lit(""))
+    plain = F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""), 256)
+    repeated = rows.where("__n > 1").select(*docs.columns, plain.alias("__sha"), F.struct(F.length(text).alias("n"), text.alias("t")).alias("__rank"))
+    kept = found.where("kept").join(ids.where("__n > 1").select(F.col("__id").alias("__many")), F.col("__id").eqNullSafe(F.col("__many")), "left_semi")
+    kept = kept.select("__id", F.col("__sha").alias("__text")).distinct()
+    repeated = repeated.join(kept, repeated["doc_id"].eqNullSafe(kept["__id"]) & (F.col("__sha") == F.col("__text")), "left_semi")
+    best = repeated.groupBy("doc_id", "__sha").agg(F.max_by(F.struct(*docs.columns), "__rank").alias("__row"))
+    return once.unionByName(best.select("__row.*"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate group (five-word shingles, similarity 0.8 or more)."""
-    gone = near_groups(docs).where("id <> component_id").select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    """The document of smallest id of each near-duplicate group (five-word shingles, similarity 0.8 or more).
+
+    Of rows that share the smallest id one stays; a null id counts as larger than any other.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        gone = near_groups(docs).where("id <> component_id").select(F.col("id").alias("__id")).distinct()
+        return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    rows = shared_table(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    groups = shared_table(near_groups(rows, id_col="__row").select(F.col("id").alias("__row"), F.col("component_id").alias("__group")), "near-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    first = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("__group").agg(F.min(order).alias("__first"))
+    gone = groups.join(first.select(F.col("__first.__row").alias("__row")), "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    benchmark = table(spark, sf_dir, "benchmark")
+    found = shared_table(contamination(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct(), "leaking-ids")
+    same = lambda ids: docs["doc_id"].eqNullSafe(ids["__id"])
+    clean = docs.join(found, same(found), "left_anti")
+    several = docs.select("doc_id").join(found, same(found), "left_semi").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1")
+    if several.isEmpty():
+        return clean
+    rows = shared_table(docs.join(several, same(several), "left_semi").withColumn("__row", F.monotonically_increasing_id()), "shared-ids")
+    leaks = contamination(rows, benchmark, id_col="__row").select(F.col("doc_id").alias("__row")).distinct()
+    return clean.unionByName(rows.join(leaks, "__row", "left_anti").select(*docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
