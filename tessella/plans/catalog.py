@@ -106,11 +106,34 @@ def rrf_fusion(spark, sf):
     return retrieval.fused(hits, near, 10).select("id", r6(F.col("rrf")).alias("rrf"))
 
 
-@query()
+AFFINITY = ", ".join(f"('{x}', '{y}', {v}::DOUBLE)" for x, row in retrieval.TYPE_AFFINITY.items() for y, v in row.items())
+RRF = "coalesce(1.0::DOUBLE / (60.0::DOUBLE + a), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + b), 0)"
+
+
+@query(f"""WITH {KEYWORD}, {a.VECTORS},
+  kr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS a FROM points WHERE score > 0),
+  vr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS b FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 20) WHERE id IN (SELECT id FROM entries)),
+  hit AS (SELECT row_number() OVER (ORDER BY rrf DESC, id) AS place, id, rrf FROM (SELECT coalesce(kr.id, vr.id) AS id, {RRF} AS rrf FROM kr FULL JOIN vr ON kr.id = vr.id) ORDER BY place LIMIT 10),
+  known AS (SELECT id, title, entry_type, source_name, regexp_extract_all(content || ' [[' || replace(related, ',', ']] [[') || ']]', '\\[\\[([^\\]|]+)', 1) AS found FROM entries WHERE status IN ('approved', 'pending')),
+  link AS (SELECT DISTINCT x.id AS src, y.id AS dst FROM (SELECT id, trim(unnest(found)) AS t FROM known) x JOIN known y ON y.title = x.t WHERE x.id <> y.id),
+  side AS (SELECT src AS u, dst AS v FROM link UNION ALL SELECT dst, src FROM link),
+  near AS (SELECT DISTINCT u, v FROM side),
+  degree AS (SELECT u, count(*) AS d FROM side GROUP BY 1),
+  part AS (
+    SELECT h.id AS seed, s.v AS id, 3.0::DOUBLE AS s FROM hit h JOIN side s ON s.u = h.id
+    UNION ALL SELECT h.id, y.id, 4.0::DOUBLE FROM hit h JOIN known x ON x.id = h.id JOIN known y ON y.source_name = x.source_name
+    UNION ALL SELECT h.id, m.v, 1.5::DOUBLE / ln(greatest(d, 2)::DOUBLE) FROM hit h JOIN near f ON f.u = h.id JOIN degree ON degree.u = f.v JOIN near m ON m.u = f.v),
+  pair AS (SELECT seed, id, sum(s) AS s FROM part WHERE seed <> id GROUP BY 1, 2),
+  kind(x, y, w) AS (VALUES {AFFINITY}),
+  rated AS (SELECT seed, p.id, s + coalesce(w, {retrieval.OTHER_AFFINITY}::DOUBLE) AS score FROM pair p JOIN known e ON e.id = p.id JOIN known h ON h.id = p.seed LEFT JOIN kind ON x = h.entry_type AND y = e.entry_type),
+  best AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, id) AS n FROM rated),
+  fresh AS (SELECT best.id, arg_min(score, place * 10 + n) AS score FROM best JOIN hit ON hit.id = seed WHERE n <= 3 AND score >= 2 AND best.id NOT IN (SELECT id FROM hit) GROUP BY 1)
+  SELECT place, id, floor(rrf * 1e6 + 0.5) / 1e6 AS score, 'hit' AS origin FROM hit
+  UNION ALL (SELECT 10 + row_number() OVER (ORDER BY score DESC, id), id, floor(score * 1e6 + 0.5) / 1e6, 'expansion' FROM fresh ORDER BY 1 LIMIT 5)""")
 def hybrid_retrieval(spark, sf):
     """Entries link to others by related titles, written as links at the end of the text."""
     e = a.entries(spark, sf).withColumn("content", F.concat("content", F.lit(" [["), F.replace("related", F.lit(","), F.lit("]] [[")), F.lit("]]")))
-    return retrieval.hybrid(e, a.vectors(spark, sf), QUESTION, TOKENS, a.sample_query(spark, sf), 10).withColumn("score", r6(F.col("score")))
+    return retrieval.hybrid(e, a.vectors(spark, sf), QUESTION, TOKENS, a.sample_query(spark, sf), 10).withColumns({"place": F.col("place").cast("long"), "score": r6(F.col("score"))})
 
 
 @query(f"WITH {a.ENTRIES}, {a.VECTORS}, hit AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 8)) SELECT row_number() OVER (ORDER BY place) AS index, id, title, CASE WHEN length(content) > 150 THEN content[1:150] || '...' ELSE content END AS snippet FROM hit JOIN entries USING (id)")
@@ -569,9 +592,20 @@ def parse_relations(spark, sf):
     return rows.select("id", F.col("r.sourceTitle").alias("source_title"), relations.relation_type(F.col("r.relationType")).alias("relation_type"), F.col("r.confidence").alias("confidence"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents),
+  cut AS (SELECT id, regexp_split_to_array(t, '\\n\\n+') AS ps FROM d WHERE length(t) > 12000),
+  para AS (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM cut),
+  line AS (SELECT id, i, string_split(p, chr(10)) AS ls FROM para WHERE length(p) > 30000),
+  piece AS (SELECT id, i, 1 AS j, length(p) AS l, 2 AS sep, FALSE AS fresh FROM para WHERE length(p) <= 30000
+    UNION ALL SELECT id, i, j, length(x), 1, j = 1 FROM (SELECT id, i, unnest(ls) AS x, generate_subscripts(ls, 1) AS j FROM line)),
+  step AS (SELECT id, l, sep, fresh, row_number() OVER (PARTITION BY id ORDER BY i, j) AS n FROM piece),
+  fold AS (SELECT id, 0::BIGINT AS n, 0::BIGINT AS no, 0::BIGINT AS held FROM cut
+    UNION ALL SELECT f.id, s.n, f.no + (held > 0 AND (fresh OR held + l > 30000))::BIGINT, CASE WHEN held = 0 OR fresh OR held + l > 30000 THEN l ELSE held + sep + l END
+    FROM fold f JOIN step s ON s.id = f.id AND s.n = f.n + 1)
+  SELECT id, 0::BIGINT AS chunk_no, length(t) AS size FROM d WHERE length(t) <= 12000
+  UNION ALL SELECT id, no, max(held) FROM fold WHERE held > 0 GROUP BY 1, 2""")
 def chunk_documents(spark, sf):
-    return chunks.chunked(a.table(spark, sf, "documents"), "doc_id").select("id", "chunk_no", F.length("chunk").alias("size"))
+    return chunks.chunked(a.table(spark, sf, "documents"), "doc_id").select("id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("chunk").cast("long").alias("size"))
 
 
 # ---- streams ---------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -40,9 +41,9 @@ def chunks(text: str, least: int = LEAST, target: int = TARGET) -> list[str]:
     return out + [held] if held else out
 
 
-@F.udf(ArrayType(StringType()))
-def chunk_array(text: str) -> list[str]:
-    return chunks(text or "")
+@F.pandas_udf(ArrayType(StringType()))
+def chunk_array(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: chunks(t or ""))
 
 
 def chunked(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
