@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import relations, text
 from ..operators import graph, listing, mutations, retrieval, stats
-from ..sources import web_search
+from ..sources import boxes, files, web_search
 from . import adapters as a
 from .catalog import QUESTION, TOKENS, query
 
@@ -370,3 +370,32 @@ def heading_results(spark, sf):
     page = F.concat(F.lit('<div><h3 class="t"><a id="1" href="h/'), "p_partkey", F.lit('"><em>'), "p_name", F.lit('</em> </a></h3><h3>none</h3>'), F.lit(" " * 300), F.lit('<a href="far">far</a><h3><a href="x">'), "p_brand", F.lit("</a></h3><h3><a href='y'> </a></h3>"))
     rows = p.select(F.col("p_partkey").alias("id"), F.posexplode(web_search.heading_links(page)).alias("position", "r"))
     return rows.select("id", F.col("position").cast("long").alias("position"), "r.title", "r.url")
+
+
+@query(r"""WITH b AS (SELECT l_orderkey AS id, l_linenumber % 2 AS part, l_quantity::DOUBLE AS x, (l_partkey * 7 % 90 - 3)::DOUBLE AS y, ' ' || l_returnflag || '|' || l_suppkey || ' ' AS t FROM lineitem),
+  o AS (SELECT *, row_number() OVER w AS place, lag(y) OVER w AS prev FROM b WINDOW w AS (PARTITION BY id, part ORDER BY round_even(y / 20, 0), x, t)),
+  r AS (SELECT *, sum(CASE WHEN prev >= 0 AND abs(y - prev) > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY id, part ORDER BY place) AS n FROM o),
+  l AS (SELECT id, part, n, '| ' || string_agg(replace(trim(t), '|', '\|'), ' | ' ORDER BY x, place) || ' |' || CASE WHEN n = 0 THEN chr(10) || '| ' || string_agg('---', ' | ') || ' |' ELSE '' END AS line FROM r GROUP BY 1, 2, 3)
+  SELECT id, string_agg(line, chr(10) ORDER BY part, n) AS markdown FROM l GROUP BY 1""")
+def box_tables(spark, sf):
+    """Line items as recognised boxes of an order's image."""
+    i = a.table(spark, sf, "lineitem")
+    cell = F.concat(F.lit(" "), "l_returnflag", F.lit("|"), "l_suppkey", F.lit(" "))
+    return boxes.box_table(i.select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") % 2).alias("part"), F.col("l_quantity").alias("x"), (F.col("l_partkey") * 7 % 90 - 3).alias("y"), cell.alias("text")))
+
+
+@query("""WITH f AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN '.' ELSE '' END || replace(p_brand, '#', '-') || '/' || replace(p_type, ' ', '/') || '/' || p_partkey || '.pdf' AS path, p_size AS size, CASE WHEN p_partkey % 3 = 0 THEN p_partkey END AS doc_id FROM part
+    UNION ALL SELECT p_partkey || '.md', p_size, NULL FROM part WHERE p_partkey % 50 = 1),
+  s AS (SELECT *, string_split(path, '/') AS ps FROM f WHERE path[1] <> '.'),
+  n AS (SELECT path, FALSE AS is_dir, size::BIGINT AS size, doc_id IS NOT NULL AS imported, doc_id FROM s
+    UNION ALL SELECT DISTINCT array_to_string(ps[1:k], '/'), TRUE, NULL::BIGINT, NULL::BOOLEAN, NULL::BIGINT FROM (SELECT ps, unnest(range(1, len(ps))) AS k FROM s))
+  SELECT path, array_to_string(string_split(path, '/')[1:-2], '/') AS parent, string_split(path, '/')[-1] AS name, is_dir, size, imported, doc_id FROM n""")
+def source_tree(spark, sf):
+    """Parts as files in folders by brand and type; every third is a document, some twice."""
+    p = a.table(spark, sf, "part")
+    path = F.concat(F.when(F.col("p_partkey") % 9 == 0, ".").otherwise(""), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("/"), F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("/"), "p_partkey", F.lit(".pdf"))
+    kept = p.select(path.alias("path"), F.col("p_size").alias("size"), F.col("p_partkey").alias("id"))
+    top = p.where("p_partkey % 50 = 1").select(F.concat("p_partkey", F.lit(".md")).alias("path"), F.col("p_size").alias("size"))
+    docs = kept.where("id % 3 = 0").select("id", F.col("path").alias("file_path"))
+    twice = docs.where("id % 2 = 0").withColumn("id", F.col("id") + 1_000_000)
+    return files.file_tree(kept.drop("id").unionByName(top), docs.unionByName(twice))

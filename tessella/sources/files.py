@@ -97,3 +97,22 @@ def log_tail(spark: SparkSession, path: str, limit: int = 1000) -> DataFrame:
     """number, line of the last lines of a log file."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("number"), F.col("value").alias("line"))
     return lines.orderBy(F.desc("number")).limit(limit)
+
+
+def file_tree(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """path, parent, name, is_dir, size, imported, doc_id of every file (path, size) and of the folders above it.
+
+    A path with a part that begins with a dot is left out. doc_id is the smallest id of documents
+    (id, file_path) of that path. Nesting is by `parent` ('' at the top); sorted by path, folders
+    and files are in the order of display. Folders without files are not known.
+    """
+    parts = F.split("path", "/")
+    shown = found.where(~F.exists(parts, lambda p: p.startswith(".")))
+    known = documents.where("file_path is not null").groupBy(F.col("file_path").alias("path")).agg(F.min("id").alias("doc_id"))
+    files = shown.join(known, "path", "left").select("path", F.lit(False).alias("is_dir"), F.col("size").cast("long").alias("size"), F.col("doc_id").isNotNull().alias("imported"), "doc_id")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    folders = shown.where(F.size(parts) > 1).select(F.explode(above).alias("path")).distinct()
+    none = lambda t: F.lit(None).cast(t)
+    nodes = files.unionByName(folders.select("path", F.lit(True).alias("is_dir"), none("long").alias("size"), none("boolean").alias("imported"), none("long").alias("doc_id")))
+    cut = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
+    return nodes.select("path", cut.alias("parent"), F.element_at(parts, -1).alias("name"), "is_dir", "size", "imported", "doc_id")
