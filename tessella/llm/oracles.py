@@ -116,9 +116,44 @@ SELECT capture_id, url_key, response_id, state,
 FROM j
 """
 
+TRIE = r"""
+WITH t AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS r
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (  -- CRC-32 of the id's digits, a bit at a time
+  SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS donor,
+         xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+           lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) % 9 AS h
+  FROM t
+), b AS (
+  SELECT c.conv_id, r, turn FROM c JOIN t ON t.conv_id = donor AND r <= h
+  UNION ALL SELECT conv_id, r, turn FROM c JOIN t USING (conv_id) WHERE r > h
+), s AS (
+  SELECT conv_id, coalesce(list(turn ORDER BY r) FILTER (r IS NOT NULL), []) AS turns FROM c LEFT JOIN b USING (conv_id) GROUP BY 1
+), p AS (
+  SELECT conv_id, d, turns[1:d] AS prefix, d = len(turns) AS ends, CASE WHEN d > 0 THEN strlen(turns[d].text) ELSE 0 END AS size
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM s)
+), n AS (
+  SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY 1, 2
+), k AS (
+  SELECT d - 1 AS d, prefix[1:d - 1] AS prefix, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2
+), m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, prefix)
+), u AS (
+  SELECT a AS d, prefix[1:a] AS prefix, sum((n_convs - 1) * size) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM m) GROUP BY 1, 2
+)
+SELECT m.conv_id, m.d::BIGINT AS depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN u USING (d, prefix) LEFT JOIN n o ON o.d = m.d - 1 AND o.prefix = m.prefix[1:m.d - 1]
+"""
+
 SQL = {
     "op3_url_temporal_join": URLS,
     "op7_hierarchical_mix": MIX,
     "op8_exact_dedup": EXACT,
     "op9_revisit_asof": REVISITS,
+    "op12_prefix_trie": TRIE,
 }

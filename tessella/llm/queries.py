@@ -14,6 +14,7 @@ from .exact_dedup import exact_groups
 from .mixing import mix
 from .oracles import SQL
 from .pii import find_pii
+from .prefix_trie import conversation_trie
 from .quality_crf import score_documents
 from .revisits import resolve
 from .secrets import find_secrets
@@ -133,6 +134,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
