@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .mixing import mix
 from .oracles import SQL
+from .periodic_runs import run_digests
 from .pii import find_pii
 from .prefix_trie import conversation_trie
 from .quality_crf import score_documents
@@ -138,6 +139,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
