@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import related_set, trim_controls
-from .repair import contained, latest_wins
+from .containment import tags_in_texts
+from .repair import latest_wins
 
-# Keywords added to an image that became a table, and the fields of a failed extraction.
+# Keywords added to an image that became a table; what is stored with matched and new
+# entries of images; and the fields of a failed extraction.
 TABLE_KEYWORDS = "表格,OCR"
+MEDIA_TYPES = ("image", "table")
+NOTES = {"table": "**关联表格数据**：\n", "image": "**关联图片描述**：\n"}
+IMAGE_KEYWORDS = {"table": "表格,OCR,图片表格", "image": "图片,图表,图示"}
+IMAGE_CONFIDENCE = {"table": 0.85, "image": 0.8}
 FAILURE = {"relation_type": "extract_failed", "extractor": "llm", "status": "rejected"}
 
 
@@ -126,14 +132,44 @@ def as_tables(images: DataFrame, read: DataFrame) -> DataFrame:
 
 
 def captioned(entries: DataFrame, images: DataFrame) -> DataFrame:
-    """image_id, entry_id: the first entry (smallest id) of the project whose title stands in an image's file name, caption or Markdown.
+    """image_id, entry_id: the first entry (smallest id) of the image's project whose title stands in its file name, caption or Markdown.
 
-    images: id, project_id, filename, caption, markdown. Titles of two characters or more meet the
-    texts by character runs (repair.contained), so no image meets every entry.
+    images: id, project_id, filename, caption, markdown. Entries that are images or tables
+    themselves are left out (where there is an entry_type), as are images without a project. Titles
+    of any length count, an empty one stands in every text, and each text is read once.
     """
-    text = F.concat_ws("\n", "filename", "caption", "markdown")
-    hits = contained(entries.select(F.col("title").alias("tag"), "project_id", "id"), images.select(F.col("id").alias("image_id"), "project_id", text.alias("text")))
-    return hits.groupBy("image_id").agg(F.min("id").alias("entry_id"))
+    named = entries.where(~F.col("entry_type").isin(*MEDIA_TYPES)) if "entry_type" in entries.columns else entries
+    titles = named.where("project_id is not null").select(F.col("project_id").alias("project"), F.col("title").alias("tag"), F.col("id").alias("value"))
+    text = F.concat_ws("\0", "filename", "caption", "markdown")
+    hits = tags_in_texts(titles, images.where("project_id is not null").select(F.col("project_id").alias("project"), F.col("id").alias("row"), text.alias("text")))
+    return hits.groupBy(F.col("row").alias("image_id")).agg(F.min("value").alias("entry_id"))
+
+
+def with_images(entries: DataFrame, images: DataFrame, kind: str = "image", approve: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(id, content of entries that images were matched to; new entries of the images themselves).
+
+    kind "table": what is stored with the matched entry is the recognised Markdown, else the caption.
+    Several images of one entry are added in order of their ids, each unless the content so far holds
+    it; an entry without content begins with the note. images: id, project_id, filename, caption, markdown,
+    media_path, library, document_id, source_origin; the new entries come without an id.
+    """
+    note, text = NOTES[kind], "markdown" if kind == "table" else "caption"
+    matched = captioned(entries, images if kind == "table" else images.withColumn("markdown", F.lit(None).cast("string")))
+    said = matched.join(images.where(F.col(text).isNotNull()).select(F.col("id").alias("image_id"), F.col(text).alias("said")), "image_id")
+    lists = said.groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("image_id", "said"))), lambda x: x["said"]).alias("said"))
+
+    def added(content: Column, piece: Column) -> Column:
+        whole = F.concat(F.lit(note), piece)
+        return F.when(content == "", whole).when(F.contains(content, piece), content).otherwise(F.concat(content, F.lit("\n\n"), whole))
+
+    before = F.coalesce("content", F.lit(""))
+    changed = entries.join(lists, F.col("id") == F.col("entry_id")).select("id", before.alias("before"), F.aggregate("said", before, added).alias("content"))
+    fixed = {"entry_type": kind, "media_type": kind, "keywords": IMAGE_KEYWORDS[kind], "status": "approved" if approve else "pending"}
+    new = images.select(
+        F.col("filename").alias("title"), F.col("filename").alias("source_name"), F.col("caption").alias("content"), F.col("library").alias("entry_library"), "document_id", "project_id", "media_path", "source_origin",
+        F.lit(IMAGE_CONFIDENCE[kind]).alias("confidence"), (F.col("markdown") if kind == "table" else F.lit(None).cast("string")).alias("table_markdown"), *[F.lit(v).alias(k) for k, v in fixed.items()],
+    )
+    return changed.where("before <> content").select("id", "content"), new
 
 
 def merged_tags(charts: DataFrame, tags: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_set, related_set, trim_controls
+from .containment import tags_in_texts
 
 
 def first_by(df: DataFrame, key: str | Column, order: list[Column]) -> DataFrame:
@@ -127,52 +128,18 @@ def candidate_targets(entries: DataFrame, top: int = 12) -> DataFrame:
     return titled.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top).drop("title")
 
 
-#: Lengths of the character runs by which tags meet texts: a tag has one of the longest that fits it.
-GRAMS = (2, 4, 8)
-
-
-def _grams(c: Column, size: int) -> Column:
-    """Distinct runs of `size` characters of a text."""
-    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-    runs = F.transform(chars, lambda _, i: F.array_join(F.slice(chars, i + 1, size), ""))
-    return F.array_distinct(F.slice(runs, 1, F.greatest(F.size(chars) - (size - 1), F.lit(0))))
-
-
-def contained(tags: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of texts and tags where the text contains the tag. tags: tag (two characters or more; shorter ones match nothing), project_id and more; texts: text, project_id and more.
-
-    A tag in a text has all its character runs in it, so tags meet texts by the run that the
-    fewest tags of the project hold, and contains() decides. Null projects match each other.
-    """
-    tags = tags.where("length(tag) >= 2").withColumn("__tag_row", F.monotonically_increasing_id())
-    texts = texts.withColumn("__text_row", F.monotonically_increasing_id())
-    project = F.coalesce(F.col("project_id").cast("string"), F.lit("")).alias("__project")
-    size = lambda n: F.when(F.length("tag") >= n, _grams(F.col("tag"), n))
-    runs = tags.select(project, "__tag_row", F.explode(F.coalesce(*[size(n) for n in reversed(GRAMS)])).alias("__gram"))
-    held = runs.groupBy("__project", "__gram").agg(F.count("*").alias("n"))
-    keyed = runs.join(held, ["__project", "__gram"]).groupBy("__project", "__tag_row").agg(F.min_by("__gram", F.struct("n", "__gram")).alias("__gram"))
-    met = texts.select(project, "__text_row", F.explode(F.concat(*[_grams(F.col("text"), n) for n in GRAMS])).alias("__gram")).join(keyed, ["__project", "__gram"])
-    pairs = met.select("__text_row", "__tag_row").distinct()
-    full = pairs.join(texts, "__text_row").join(tags.drop("project_id"), "__tag_row")
-    return full.where(F.contains("text", "tag")).drop("__text_row", "__tag_row")
-
-
 def missing_tags(entries: DataFrame, charts: DataFrame) -> DataFrame:
-    """chart_id, tags: keywords and titles (two characters or more) of entries that a chart's title or content contains and its keyword string does not.
+    """chart_id, tags: keywords (two characters or more) and titles of entries that a chart's title or content contains and its keyword string does not.
 
-    entries and charts are those of one project. Keywords are split at commas only; case counts;
-    a chart table may have no title. A tag in a text has all its character runs in it, so tags
-    meet texts by the run that the fewest tags hold, and contains() decides.
+    Keywords are split at commas only; case counts; a chart table may have no title, and without a
+    project_id in both tables all entries and charts are of one project. A chart's text is read once.
     """
-    keywords = F.transform(F.split(F.coalesce("keywords", F.lit("")), ","), trim_controls)
-    tags = entries.select(F.explode(F.concat(keywords, F.array("title"))).alias("tag")).where("length(tag) >= 2").distinct()
-    size = lambda n: F.when(F.length("tag") >= n, _grams(F.col("tag"), n))
-    runs = tags.select("tag", F.explode(F.coalesce(*[size(n) for n in reversed(GRAMS)])).alias("gram"))
-    held = runs.groupBy("gram").agg(F.count("*").alias("n"))
-    keyed = runs.join(held, "gram").groupBy("tag").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    project = F.col("project_id") if "project_id" in entries.columns and "project_id" in charts.columns else F.lit(0)
+    keywords = F.filter(F.transform(F.split(F.coalesce("keywords", F.lit("")), ","), trim_controls), lambda k: F.length(k) >= 2)
+    tags = entries.select(project.alias("project"), F.explode(F.concat(keywords, F.array("title"))).alias("tag"), F.lit(0).alias("value")).where("tag <> ''")
     title = F.col("title") if "title" in charts.columns else F.lit(None).cast("string")
     text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
-    rows = charts.select(F.col("id").alias("chart_id"), text.alias("text"), F.coalesce("keywords", F.lit("")).alias("have"))
-    found = rows.select("chart_id", F.explode(F.concat(*[_grams(F.col("text"), n) for n in GRAMS])).alias("gram")).join(keyed, "gram").select("chart_id", "tag").distinct()
-    hits = found.join(rows, "chart_id").where(F.contains("text", "tag") & ~F.contains("have", "tag"))
+    found = tags_in_texts(tags, charts.select(project.alias("project"), F.col("id").alias("row"), text.alias("text")))
+    have = charts.select(F.col("id").alias("chart_id"), F.coalesce("keywords", F.lit("")).alias("have"))
+    hits = found.withColumnRenamed("row", "chart_id").join(have, "chart_id").where(~F.contains("have", "tag"))
     return hits.groupBy("chart_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))

@@ -70,13 +70,53 @@ def auto_titles(spark, sf):
     return stats.numbered_titles(docs, have, F.lit("auto"))
 
 
-@query("SELECT chart_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT s_suppkey AS chart_id, p_brand AS tag FROM supplier JOIN (SELECT DISTINCT p_brand, p_size FROM part) ON p_size = s_suppkey % 50) GROUP BY 1")
+@query("""WITH tag AS (SELECT DISTINCT replace(p_brand, ' ', '') AS tag FROM part UNION SELECT DISTINCT p_name FROM part),
+  chart AS (SELECT s_suppkey AS chart_id, string_agg(DISTINCT replace(p_brand, ' ', ''), ' ') || ' with ' || string_agg(DISTINCT p_name, ' and ') AS text
+            FROM supplier JOIN part ON p_size = s_suppkey % 50 GROUP BY 1)
+  SELECT chart_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM chart JOIN tag ON contains(text, tag) GROUP BY 1""")
 def tag_containment(spark, sf):
-    """A supplier's words are the brands of the parts of one size; every brand is a tag."""
+    """A supplier's text lists the brands and names of the parts of one size; every brand (a title) and name (a keyword of two words) is a tag."""
     p, s = a.table(spark, sf, "part"), a.table(spark, sf, "supplier")
-    words = p.groupBy("p_size").agg(F.array_join(F.array_sort(F.collect_set(F.replace("p_brand", F.lit(" "), F.lit("")))), " ").alias("content"))
+    listed = lambda c, by: F.array_join(F.array_sort(F.collect_set(c)), by)
+    words = p.groupBy("p_size").agg(F.concat(listed(F.replace("p_brand", F.lit(" "), F.lit("")), " "), F.lit(" with "), listed(F.col("p_name"), " and ")).alias("content"))
     charts = s.join(words, F.col("s_suppkey") % 50 == F.col("p_size")).select(F.col("s_suppkey").alias("id"), "content", F.lit("none").alias("keywords"))
-    return repair.missing_tags(p.select(F.replace("p_brand", F.lit(" "), F.lit("")).alias("title"), F.lit("").alias("keywords")), charts)
+    return repair.missing_tags(p.select(F.replace("p_brand", F.lit(" "), F.lit("")).alias("title"), F.col("p_name").alias("keywords")), charts)
+
+
+@query("""WITH w AS (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark),
+  tag AS (SELECT DISTINCT item_id % 3 AS p, trim(k) AS tag FROM (
+    SELECT item_id, unnest(string_split(array_to_string(w[3:5], ' ') || ',' || array_to_string(w[8:9], ' '), ',')) AS k FROM w UNION ALL SELECT item_id, text[2:2] FROM w)),
+  t AS (SELECT doc_id AS chart_id, doc_id % 3 AS p, lang AS keywords, source || ' ' || coalesce(text, '') AS text FROM documents)
+  SELECT chart_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM t JOIN tag USING (p) WHERE contains(text, tag) AND NOT contains(keywords, tag) AND tag <> '' GROUP BY 1""")
+def document_tags(spark, sf):
+    """Whole documents as chart texts of three projects; benchmark items give keywords of two and three words and titles of one letter."""
+    b, d = a.table(spark, sf, "benchmark"), a.table(spark, sf, "documents")
+    w = F.split("text", " ")
+    keywords = F.concat_ws(",", F.array_join(F.slice(w, 3, 3), " "), F.array_join(F.slice(w, 8, 2), " "))
+    entries = b.select((F.col("item_id") % 3).alias("project_id"), F.substring("text", 2, 1).alias("title"), keywords.alias("keywords"))
+    charts = d.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).alias("project_id"), F.col("source").alias("title"), F.col("text").alias("content"), F.col("lang").alias("keywords"))
+    return repair.missing_tags(entries, charts)
+
+
+@query("""WITH e AS (SELECT p_partkey AS id, p_name AS title, p_partkey % 3 AS project_id, CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS content FROM part WHERE p_partkey % 5 NOT IN (3, 4)),
+  i AS (SELECT o_orderkey AS image_id, o_orderkey % 3 AS project_id, 'scan of ' || p_name || '.png' AS t, p_brand AS said FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)),
+  m AS (SELECT image_id, min(id) AS id FROM i JOIN e ON e.project_id = i.project_id AND contains(t || chr(0) || said, title) GROUP BY 1),
+  s AS (SELECT m.id, image_id, said FROM m JOIN i USING (image_id)),
+  f AS (SELECT id, said, min(image_id) AS first FROM s GROUP BY 1, 2),
+  -- a brand is not added if a brand that it begins came before it
+  k AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.id = f.id AND g.first < f.first AND contains(g.said, f.said))),
+  l AS (SELECT k.id, string_agg('**关联图片描述**：' || chr(10) || said, chr(10) || chr(10) ORDER BY first) AS notes FROM k JOIN e USING (id) WHERE NOT contains(coalesce(content, ''), said) GROUP BY 1)
+  SELECT l.id, CASE WHEN content IS NULL THEN notes ELSE content || chr(10) || chr(10) || notes END AS content FROM l JOIN e USING (id)""")
+def attached_images(spark, sf):
+    """Orders as images of parts: the caption (a brand) goes to the first entry of the project whose name the file name holds; parts of two classes are media themselves."""
+    p, o = a.table(spark, sf, "part"), a.table(spark, sf, "orders")
+    k = F.col("p_partkey")
+    e = p.select(k.alias("id"), F.col("p_name").alias("title"), (k % 3).alias("project_id"), F.when(k % 4 != 0, F.col("p_type")).alias("content"), a.cases(k, a.TYPES).alias("entry_type"))
+    wrap = p.agg(F.count("*").alias("parts"))
+    shown = o.crossJoin(F.broadcast(wrap)).join(p, k == F.col("o_orderkey") % F.col("parts"))  # one row
+    none = F.lit(None).cast("string")
+    i = shown.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 3).alias("project_id"), F.concat(F.lit("scan of "), "p_name", F.lit(".png")).alias("filename"), F.col("p_brand").alias("caption"), none.alias("markdown"), none.alias("media_path"), F.lit("chart").alias("library"), F.lit(None).cast("long").alias("document_id"), none.alias("source_origin"))
+    return mutations.with_images(e, i)[0]
 
 
 @query("SELECT d.doc_id AS id, (SELECT arg_max(doc_id, 1000000 - doc_id) FROM documents e WHERE e.doc_id % 97 = d.doc_id % 97 AND e.lang = 'de') AS table_entry FROM documents d")

@@ -1,12 +1,14 @@
 """Repairs, changes, retrieval, statistics, sources and streams on small inputs."""
 
+import random
 import zipfile
 
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
 from tessella.functions import vectors
-from tessella.operators import listing, mutations, repair, retrieval, stats
+from tessella.operators import containment, listing, mutations, repair, retrieval, stats
 from tessella.sources import files
 from tessella.streaming import ingest
 
@@ -44,7 +46,7 @@ def test_candidate_targets(spark):
 def test_tags_inside_the_keyword_string_are_not_added(spark):
     e = spark.createDataFrame([("t", "AI, data")], "title string, keywords string")
     c = spark.createDataFrame([(1, "AI data", "FAIR")], "id long, content string, keywords string")
-    assert rows(repair.missing_tags(e, c)) == [(1, "data")]
+    assert rows(repair.missing_tags(e, c)) == [(1, "data,t")]  # a title may be one character long, a keyword not
 
 
 def test_tags_are_contained_in_title_and_content(spark):
@@ -172,7 +174,41 @@ def test_reverse_links_follow_an_update(spark):
 def test_captions_meet_the_first_contained_title(spark):
     entries = spark.createDataFrame([(1, 1, "net"), (2, 1, "neural network"), (3, 2, "net"), (4, None, "ab"), (5, 1, "x"), (6, 1, None)], "id long, project_id long, title string")
     images = spark.createDataFrame([(10, 1, "a neural network.png", None, ""), (11, 2, "", "network", None), (12, None, "cab", None, None), (13, 1, "x", "none", None), (14, 1, None, None, None)], "id long, project_id long, filename string, caption string, markdown string")
-    assert sorted(tuple(r) for r in mutations.captioned(entries, images).collect()) == [(10, 1), (11, 3), (12, 4)]
+    assert sorted(tuple(r) for r in mutations.captioned(entries, images).collect()) == [(10, 1), (11, 3), (13, 5)]  # no project, no match
+
+
+def test_images_are_written_to_entries(spark):
+    entries = spark.createDataFrame([(1, 1, "net", None, "concept"), (2, 1, "map", "has B", "concept"), (3, 1, "old", "x", "table"), (4, 2, "", "c", "entity")], "id long, project_id long, title string, content string, entry_type string")
+    schema = "id long, project_id long, filename string, caption string, markdown string, media_path string, library string, document_id long, source_origin string"
+    images = spark.createDataFrame([(7, 1, "net.png", "B", "|t|", "p", "l", 5, "o"), (8, 1, "net 2", "A", "|u|", "p", "l", 5, "o"), (9, 1, "map old", "B", None, "p", "l", 5, "o"), (10, 1, "old", "net", "|t|", "p", "l", 5, "o"), (11, 2, "any", "C", None, "p", "l", 5, "o")], schema)
+    note = lambda kind, x: mutations.NOTES[kind] + x
+    changed, new = mutations.with_images(entries, images)
+    assert rows(changed) == [(1, note("image", "B") + "\n\n" + note("image", "A") + "\n\n" + note("image", "net")), (4, "c\n\n" + note("image", "C"))]
+    assert {(r.title, r.keywords, r.status, r.confidence, r.table_markdown) for r in new.collect()} == {(f, "图片,图表,图示", "pending", 0.8, None) for f in ("net.png", "net 2", "map old", "old", "any")}
+    changed, new = mutations.with_images(entries, images, "table", approve=True)
+    assert rows(changed) == [(1, note("table", "|t|") + "\n\n" + note("table", "|u|"))]
+    assert {(r.title, r.entry_type, r.status, r.table_markdown) for r in new.collect()} >= {("net 2", "table", "approved", "|u|"), ("any", "table", "approved", None)}
+
+
+@pytest.mark.parametrize("sizes", [(10**6, 10**8), (12, 10**8), (12, 40), (10**6, 40), (3, 3)])
+def test_automaton_finds_what_contains_finds(spark, sizes):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab网") for _ in range(rng.randrange(n)))
+    tags = [(rng.choice([1, 2, None]), rng.choice([word(4), word(4), None]), rng.randrange(9)) for _ in range(60)]
+    texts = [(1 if i % 3 else rng.choice([2, 3, None]), i, rng.choice([word(30), word(30), "", None])) for i in range(80)]
+    wanted = {}
+    for p, i, t in texts:
+        for q, tag, v in tags:
+            if p == q and None not in (t, tag) and tag in t:
+                wanted[i, tag] = min(v, wanted.get((i, tag), v))
+    found = containment.tags_in_texts(spark.createDataFrame(tags, "project long, tag string, value long"), spark.createDataFrame(texts, "project long, row long, text string"), *sizes)
+    assert rows(found, "row", "tag", "value") == sorted(((i, t, v) for (i, t), v in wanted.items()), key=repr)
+
+
+def test_automaton_is_linear_on_a_long_text(spark):
+    text = "ab" * 500_000 + "needle"
+    tags = spark.createDataFrame([(0, t, 1) for t in ("needle", "b" * 50, "ab" * 40, "x")], "project long, tag string, value long")
+    assert rows(containment.tags_in_texts(tags, spark.createDataFrame([(0, 1, text)], "project long, row long, text string")), "tag") == [("ab" * 40,), ("needle",)]
 
 
 def test_failures_and_tables_of_images(spark):
