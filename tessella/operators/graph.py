@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_up
 from ..functions.text import keyword_set, trim_controls, wikilinks
 from .repair import first_by
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that all executors share (spark.checkpoint.dir)."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="tessella-"))
-    return df.checkpoint()
+from .storage import checkpointed
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown, numbers, relations, text, vectors
 from ..operators import graph, listing, mutations, repair, retrieval, stats
+from ..operators.storage import shared_folder
 from ..sources import chunks, files, html
-from ..streaming import ingest
+from ..streaming import ingest, tasks
 from . import adapters as a
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -622,3 +623,23 @@ def task_states(spark, sf):
     e = a.table(spark, sf, "events")
     rows = e.select(F.col("user_id").alias("task_id"), F.col("event_type").alias("status"), F.col("value").alias("progress"), "ts")
     return ingest.task_states(rows).select("task_id", "status")
+
+
+@query("""WITH e AS (SELECT user_id AS task_id, ts, CASE event_type WHEN 'signup' THEN 'submit' WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'cancel' END AS action FROM events),
+  s AS (SELECT task_id, max(ts) AS created_at FROM e WHERE action = 'submit' GROUP BY 1),
+  t AS (SELECT s.task_id, created_at, arg_min(action, ts) FILTER (action IN ('complete', 'fail', 'cancel')) AS first, coalesce(bool_or(action = 'cancel'), FALSE) AS cancelled, coalesce(bool_or(action = 'start'), FALSE) AS started
+        FROM s JOIN e ON e.task_id = s.task_id AND ts >= created_at GROUP BY 1, 2),
+  u AS (SELECT task_id, created_at, CASE WHEN first = 'complete' THEN 'completed' WHEN first = 'fail' AND NOT cancelled THEN 'failed' WHEN first IS NOT NULL THEN 'cancelled' WHEN started THEN 'processing' ELSE 'queued' END AS status FROM t)
+  SELECT task_id, created_at, CASE WHEN status NOT IN ('queued', 'processing') AND created_at + INTERVAL 300 SECOND <= (SELECT max(ts) FROM e) - INTERVAL 10 MINUTE THEN 'expired' ELSE status END AS status FROM u""")
+def task_machine(spark, sf):
+    """The events table as a stream of task events, each user a task, run to its end; finished tasks expire."""
+    events = a.table(spark, sf, "events")
+    one = events.inputFiles()[0].endswith("/events.parquet")  # a stream reads folders; the table may be one file of one
+    source = spark.readStream.schema(events.schema)
+    stream = source.option("pathGlobFilter", "events.parquet").parquet(sf) if one else source.parquet(f"{sf}/events.parquet")
+    action = F.when(F.col("event_type") == "signup", "submit").when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "fail").otherwise("cancel")
+    events = stream.select(F.col("user_id").cast("long").alias("task_id"), action.alias("action"), F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("int").alias("progress"))
+    folder = shared_folder(spark, "tasks")
+    tasks.log_changes(tasks.changes(events), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    last = F.max_by(F.struct("status", "created_at"), F.col("batch"))
+    return tasks.read_log(spark, f"{folder}/log").groupBy("task_id").agg(last.alias("s")).select("task_id", F.col("s.created_at").cast("timestamp_ntz").alias("created_at"), "s.status")
