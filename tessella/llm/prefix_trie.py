@@ -291,6 +291,7 @@ def build_trie(rows: DataFrame, group_turns: int = GROUP_TURNS) -> DataFrame:
     for n in [*nodes, *shallow]:
         n = n.drop("path", "sizes")
         found = n if found is None else found.unionByName(n)
+    found = shared_table(found, "trie-nodes")  # read several times by the join
     parents = found.select(F.col("key").alias("parent"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("__children"))
     inner = joined_by_key(found.where("depth > 0"), parents, "parent", "__children", found.count())
     root = found.where("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long"))
