@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import round_half_up
 from ..functions.text import keyword_set, trim_controls, wikilinks
 from .repair import first_by
+from .skew import pairs_by_key
 from .storage import checkpointed
 
 
@@ -29,12 +30,14 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
 # ---- edges ---------------------------------------------------------------------------------
 
 
-def keyword_edges(nodes: DataFrame) -> DataFrame:
-    """source_id, target_id, weight: pairs (smaller id first) by number of shared keywords, case kept. nodes: id, keywords."""
-    words = nodes.select("id", F.explode(keyword_set(F.col("keywords"))).alias("word"))
-    a, b = words.select(F.col("id").alias("source_id"), "word"), words.select(F.col("id").alias("target_id"), "word")
-    pairs = a.join(b, "word").where("source_id < target_id")
-    return pairs.groupBy("source_id", "target_id").agg(F.count("*").cast("double").alias("weight"))
+def keyword_edges(nodes: DataFrame, block: int = 1000) -> DataFrame:
+    """source_id, target_id, weight: pairs (smaller id first) by number of shared keywords, case kept. nodes: id, keywords.
+
+    The pairs of a frequent word are made cell by cell of a grid (skew.pairs_by_key).
+    """
+    words = nodes.where("id is not null").select("id", F.explode(keyword_set(F.col("keywords"))).alias("word")).distinct()
+    pairs = pairs_by_key(words, "word", "id", block)
+    return pairs.groupBy(F.col("a").alias("source_id"), F.col("b").alias("target_id")).agg(F.count("*").cast("double").alias("weight"))
 
 
 def link_edges(nodes: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_set, related_set, trim_controls
+from ..functions.text import related_set, trim_controls
 from .containment import tags_in_texts
+from .targets import best_targets
 
 
 def first_by(df: DataFrame, key: str | Column, order: list[Column]) -> DataFrame:
@@ -113,19 +114,7 @@ def latest_wins(stored: DataFrame, updates: DataFrame, keys: list[str], order: s
 
 def candidate_targets(entries: DataFrame, top: int = 12) -> DataFrame:
     """source, target, score, position: best link targets by shared document (4), shared source name (2) and shared keywords (1 each)."""
-    e = entries.withColumn("src_name", F.lower(F.trim("source_name"))).withColumn("words", keyword_set(F.col("keywords"), lower=True))
-
-    def pairs(rows: DataFrame, key: str, points: int) -> DataFrame:
-        a, b = rows.select(F.col("id").alias("source"), key), rows.select(F.col("id").alias("target"), key)
-        return a.join(b, key).where("source <> target").select("source", "target", F.lit(points).alias("score"))
-
-    docs = pairs(e.where("document_id is not null").select("id", "document_id"), "document_id", 4)
-    names = pairs(e.where("src_name <> ''").select("id", "src_name"), "src_name", 2)
-    words = pairs(e.select("id", F.explode("words").alias("word")), "word", 1)
-    scored = docs.unionByName(names).unionByName(words).groupBy("source", "target").agg(F.sum("score").alias("score"))
-    titled = scored.join(entries.select(F.col("id").alias("target"), "title"), "target")
-    order = Window.partitionBy("source").orderBy(F.desc("score"), F.asc_nulls_last("title"), F.asc("target"))
-    return titled.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top).drop("title")
+    return best_targets(entries, top)
 
 
 def missing_tags(entries: DataFrame, charts: DataFrame) -> DataFrame:
