@@ -76,13 +76,17 @@ def mix(
     A leaf's order in an epoch is the MD5 of seed, epoch and id, then the id; the prefix ends
     before the first row that would pass the budget, and rows of equal id count together with
     their ties. Rows without tokens are taken when the prefix reaches them. Null tree values
-    are a leaf named 'unknown'; null texts have no tokens. An empty table gives no rows.
+    are a leaf named 'unknown'; null texts have no tokens, very long ones are counted whole. An empty
+    table gives no rows. Input columns may have any name but `mix_epoch`, which is an error.
     """
+    if "mix_epoch" in map(str.lower, docs.columns):
+        raise ValueError("the input has a column mix_epoch already")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     known = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
-    leaf = {"__domain": known(domain), "__language": known(language), "__origin": known(origin)}
-    rows = docs.withColumns({**leaf, "__tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), "__id": F.col(id_col).cast("string")})
-    slim = shared_table(rows.select(*[F.col(f"__{c}").alias(c) for c in LEVELS], F.col("__tokens").alias("n"), F.coalesce("__id", F.lit("")).alias("id")), "mix-tokens")
+    # The input row is one column, so that no name of its fields can clash with those made here.
+    leaf = [known(c).alias(name) for c, name in zip((domain, language, origin), LEVELS, strict=True)]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *leaf, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), text.alias("text"))
+    slim = shared_table(rows.select(*LEVELS, F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n"), "id"), "mix-tokens")
 
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
     whole = slim.agg(F.floor(F.coalesce(F.sum("n"), F.lit(0)) * F.lit(budget_share)).cast("long")).first()[0]
@@ -101,12 +105,10 @@ def mix(
     last = slim.drop("full", "rest").join(cuts, [*LEVELS]).where(F.col("bucket") == F.col("edge"))
     ranked = last.withColumn("run", F.col("used") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("key", "id")))
     stop = ranked.groupBy(*LEVELS).agg(F.min(F.when(F.col("run") > F.col("rest"), F.struct("key", "id"))).alias("stop"))
-    cuts = shared_table(cuts.join(stop, [*LEVELS], "left").select(*[F.col(c).alias(f"__{c}") for c in LEVELS], "full", "stop"), "mix-cuts")
-
-    cuts = cuts.withColumnsRenamed({"full": "__full", "stop": "__stop"})
-    chosen = rows.join(cuts, [f"__{c}" for c in LEVELS])
-    at = F.struct(order(F.col("__full"), F.coalesce("__id", F.lit(""))).alias("key"), F.coalesce("__id", F.lit("")).alias("id"))
-    more = (F.col("__full") < max_epochs) & (F.col("__stop").isNull() | (at < F.col("__stop")))
-    uses = F.col("__full") + F.when(more, 1).otherwise(0)
-    chosen = chosen.withColumn("__uses", uses).where("__uses > 0")
-    return chosen.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("__uses") - 1)).alias("mix_epoch"))
+    cuts = shared_table(cuts.join(stop, [*LEVELS], "left").select(*LEVELS, "full", "stop"), "mix-cuts")
+
+    chosen = rows.drop("text").join(cuts, [*LEVELS])
+    at = F.struct(order(F.col("full"), F.col("id")).alias("key"), "id")
+    more = (F.col("full") < max_epochs) & (F.col("stop").isNull() | (at < F.col("stop")))
+    chosen = chosen.withColumn("uses", F.col("full") + F.when(more, 1).otherwise(0)).where("uses > 0")
+    return chosen.select("row.*", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)).alias("mix_epoch"))
