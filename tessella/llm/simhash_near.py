@@ -1,6 +1,6 @@
 """Near-duplicate groups by SimHash, BK-trees and exact five-word shingles (similarity 0.8 or more).
 
-At that similarity fingerprints differ in ten bits or so, too many for equal slices to bring a
+At that similarity fingerprints (of 128 bits here) differ in 20 bits or so, too many for equal slices to bring a
 pair together. Shards are therefore made of what such a pair must share: in any fixed order of
 all shingles, two texts of similarity s have a common shingle among the first n - ceil(s n) + 1 of
 each. The order here goes by how common a shingle is (the rarest first), then by hash, so a line
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, joined_by_key, shared_table, star_components
 from .wordhash import NOT_SPACE, Words, batches_of, majority
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 28
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 46
 #: Pairs of at most so many shingles are brought together whatever their distance.
 PLAIN_SIZE = 32
 #: Size in bits of the fixed table of common shingles, and how many are looked at.
@@ -67,7 +67,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(level: np.ndarray, similarity: float):
-    """(key, id, fp, n, low): a row for each document and prefix shingle, with its fingerprint and set size.
+    """(key, id, n, low, fp, fp2): a row for each document and prefix shingle, with its fingerprint and set size.
 
     level: by the leading bits of a shingle, 0 or how common it is. A common shingle gives one
     row of a part, with n = -1, and links of its other documents to that one (low).
@@ -78,7 +78,7 @@ def _keys(level: np.ndarray, similarity: float):
             order = np.argsort(ids, kind="stable")
             sets = shingle_sets([texts[i] for i in order])
             ids, sizes = ids[order], np.array([len(s) for s in sets], np.int64)
-            prints = majority(np.concatenate([*sets, np.zeros(0, np.uint64)]), sizes).view(np.int64)
+            prints = fingerprints(np.concatenate([*sets, np.zeros(0, np.uint64)]), sizes).view(np.int64)
             keys, hot = [], []
             for s in sets:
                 late = level[(s >> np.uint64(64 - COMMON_BITS)).astype(np.int64)]
@@ -97,14 +97,25 @@ def _keys(level: np.ndarray, similarity: float):
             none = np.zeros(k, np.int64)
             low = pa.array(np.concatenate([np.zeros(row.sum(), np.int64), links[1]]), mask=np.arange(row.sum() + k) < row.sum())
             n = np.where(hot, -1, sizes[owner])[row]
+            halves = [pa.array(np.concatenate([prints[owner[row], j], none])) for j in range(2)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key[row], links[0]])), pa.array(np.concatenate([ids[owner[row]], links[0]])), pa.array(np.concatenate([prints[owner[row]], none])), pa.array(np.concatenate([n, none]).astype(np.int32)), low],
-                names=["key", "id", "fp", "n", "low"],
+                [pa.array(np.concatenate([key[row], links[0]])), pa.array(np.concatenate([ids[owner[row]], links[0]])), pa.array(np.concatenate([n, none]).astype(np.int32)), low, *halves], names=["key", "id", "n", "low", "fp", "fp2"]
             )
 
     return run
 
 
+def fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """128 bits of each run of hashes, as two columns: the SimHash of the hashes and of the hashes mixed again."""
+    again = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return np.stack([majority(hashes, sizes), majority(again ^ (again >> np.uint64(32)), sizes)], axis=1)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distance of fingerprints (rows)."""
+    return np.bitwise_count(a ^ b).astype(np.int64).sum(axis=-1)
+
+
 def bk_visit(prints: np.ndarray, radius: int, visit) -> None:
     """Search a BK-tree of `prints` for all of them at once.
 
@@ -116,14 +127,14 @@ def bk_visit(prints: np.ndarray, radius: int, visit) -> None:
     while todo:
         branch, asked = todo.pop()
         node, rest = branch[0], branch[1:]
-        d = np.bitwise_count(prints[asked] ^ prints[node]).astype(np.int64)
+        d = distance(prints[asked], prints[node])
         visit(int(node), asked[d <= radius])
         if len(rest):
-            edge = np.bitwise_count(prints[rest] ^ prints[node])
+            edge = distance(prints[rest], prints[node])
             order = np.argsort(edge, kind="stable")
             cuts = np.flatnonzero(np.diff(edge[order])) + 1
             for child in np.split(rest[order], cuts):
-                e = int(np.bitwise_count(prints[child[0]] ^ prints[node]))
+                e = int(distance(prints[child[0]], prints[node]))
                 down = asked[np.abs(d - e) <= radius]
                 if len(down):
                     todo.append((child, down))
@@ -172,17 +183,17 @@ def _meet(similarity: float, radius: int, cap: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)]
         empty = [h.copy() for h in held]
 
         def links(rows: list[np.ndarray]) -> tuple[list, list]:
-            key, ids, prints, sizes = rows
+            key, ids, sizes, prints = rows
             src, dst = [], []
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             length = np.diff(np.append(begin, len(key)))
             two = begin[length == 2]
             plain = (sizes[two] < 0) | (sizes[two + 1] < 0)
-            near = (np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius) | (np.maximum(sizes[two], sizes[two + 1]) <= PLAIN_SIZE)
+            near = (distance(prints[two], prints[two + 1]) <= radius) | (np.maximum(sizes[two], sizes[two + 1]) <= PLAIN_SIZE)
             near &= _similar_size(sizes[two], sizes[two + 1], similarity)
             two = two[plain | near]
             src.append(ids[two + 1])
@@ -198,9 +209,10 @@ def _meet(similarity: float, radius: int, cap: int):
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]), pa.int64()) for x in (src, dst)], names=["src", "dst"])
 
         for batch in batches:
-            made = np.asarray(batch.column(4).is_valid())
-            cols = [np.asarray(batch.column(i)) for i in range(4)]
-            rows = [np.concatenate([h, c[~made].astype(h.dtype) if i != 2 else c[~made].view(np.uint64)]) for i, (h, c) in enumerate(zip(held, cols, strict=True))]
+            made = np.asarray(batch.column(3).is_valid())
+            cols = [np.asarray(batch.column(i)) for i in range(3)]
+            cols.append(np.stack([np.asarray(batch.column(i)) for i in (4, 5)], axis=1).view(np.uint64))
+            rows = [np.concatenate([h, c[~made].astype(h.dtype)]) for h, c in zip(held, cols, strict=True)]
             last = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0
             src, dst = links([r[:last] for r in rows])
             held = [r[last:] for r in rows]
@@ -208,9 +220,9 @@ def _meet(similarity: float, radius: int, cap: int):
                 src.append(held[1][1:])
                 dst.append(np.full(len(held[1]) - 1, held[1][0]))
                 held = [h[:1].copy() for h in held]
-                held[3][:] = -1
+                held[2][:] = -1
             src.append(cols[1][made])
-            dst.append(np.asarray(batch.column(4).drop_null()))
+            dst.append(np.asarray(batch.column(3).drop_null()))
             yield batch_of(src, dst)
         yield batch_of(*links(held if len(held[0]) else empty))
 
@@ -263,8 +275,8 @@ def near_groups(
     distinct five-word shingles (a shorter text: one shingle of all words). Links at
     `similarity` or more are followed to their ends. Shingles in common bring every such pair
     together; of pairs with more than PLAIN_SIZE shingles the tree loses those whose fingerprints differ in more than
-    `radius` of 64 bits: at similarity 0.8 the distance is 9.7 bits on average and over 28 for one pair in 10^8 (none of 300,000
-    simulated pairs of any length; radius 64 compares all). Blank and null texts and rows
+    `radius` of 128 bits: at similarity 0.8 the distance is 19.3 bits on average and over 46 for fewer than one pair in 10^8
+    (radius 128 compares all). Blank and null texts and rows
     without an id are in no group; rows that repeat an id count as one document by any of
     their texts. Equal texts are in one group, and ties need no order: the smallest id names a
     group. Texts are read whole; a piece of a shard holds about `shard_bytes` of text or one
@@ -282,7 +294,7 @@ def near_groups(
         np.maximum.at(level, *shared.value)
         return _keys(level, similarity)(batches)
 
-    met = rows.mapInArrow(keys, "key long, id long, fp long, n int, low long").repartition("key").sortWithinPartitions("key", "id")
+    met = rows.mapInArrow(keys, "key long, id long, n int, low long, fp long, fp2 long").repartition("key").sortWithinPartitions("key", "id")
     met = met.mapInArrow(_meet(similarity, radius, shard_cap), "src long, dst long")
     roots = star_components(met).withColumnRenamed("node", "id")
     texts = shared_table(rows.join(roots, "id").withColumn("size", F.octet_length("text").cast("long")), "near-texts")
