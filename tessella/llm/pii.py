@@ -11,9 +11,11 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +76,17 @@ _SAID = re.compile(rf"(?<!\w)(?:(?:plus[\x20-]+)?(?:{_DIGIT}[\x20,-]*(?:(?:{DOT_
 _SAID_PART = re.compile(rf"(?P<plus>plus)|(?P<num>{_NUMBER}|[0-9])|(?P<dot>{DOT_WORDS})", re.I)
 
 
+# A lower-case letter or digit as it is, and by that which pairs of them begin a spelled number, "plus" or a digit.
+_LOWER = np.zeros(0x181, np.uint8)
+_LOWER[:128] = [ord(chr(c).lower()) for c in range(128)]
+_LOWER[128:] = 1  # letters that a pattern without case may take for others: never ruled out
+_BEGINS = np.zeros((128, 128), bool)
+_BEGINS[[*range(48, 58), 1]] = True
+for _word in [*DIGIT_OF, "plus"]:
+    _BEGINS[ord(_word[0]), [ord(_word[1])] if _word[1] < "\x80" else []] = True
+    _BEGINS[ord(_word[0]), 1] = True
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -121,18 +134,64 @@ def _fold(c: str) -> str:
     return wide if len(wide) == 1 and " " < wide <= "~" else c
 
 
-def fold(text: str) -> tuple[str, list[int] | None]:
-    """Homoglyph transducer: folded text and the source position of each of its characters (None: unchanged)."""
-    odd = {c for c in set(text) if c > "\x7f" and _fold(c) != c}
-    if not odd:
+class Origins:
+    """Where the characters of a rewritten text come from: its edits only, found by bisection."""
+
+    def __init__(self) -> None:
+        self.begin, self.end, self.source = [], [], []
+
+    def add(self, begin: int, end: int, source: tuple[int, int]) -> None:
+        """Rewritten characters begin:end (one or none) stand for the source interval."""
+        self.begin.append(begin)
+        self.end.append(end)
+        self.source.append(source)
+
+    def interval(self, at: int) -> tuple[int, int]:
+        """The source interval behind the rewritten character `at`."""
+        k = bisect_right(self.begin, at) - 1
+        if k < 0:
+            return at, at + 1
+        if at < self.end[k]:
+            return self.source[k]
+        shift = self.source[k][1] - self.end[k]
+        return at + shift, at + shift + 1
+
+
+def fold(text: str) -> tuple[str, Origins | None]:
+    """Homoglyph transducer: folded text and the origins of its characters (None: unchanged)."""
+    table = {ord(c): _fold(c) for c in set(text) if c > "\x7f" and _fold(c) != c}
+    if not table:
         return text, None
-    kept = [(i, _fold(c) if c in odd else c) for i, c in enumerate(text)]
-    kept = [x for x in kept if x[1]]
-    return "".join(c for _, c in kept), [i for i, _ in kept]
+    origins = Origins()
+    gone = [c for c, new in table.items() if not new]
+    if gone:
+        for n, m in enumerate(re.finditer("[" + "".join(map(re.escape, map(chr, gone))) + "]", text)):
+            origins.add(m.start() - n, m.start() - n, (m.start(), m.end()))
+    return text.translate(table), origins
+
+
+def word_starts(text: str, piece: int = 1 << 18) -> Iterator[int]:
+    """Positions at which a spelled number may begin: no word character before, then two letters or a digit that begin one."""
+    for base in range(0, len(text), piece):
+        points = np.frombuffer(text[base : base + piece + 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = _LOWER[np.minimum(points, len(_LOWER) - 1)]
+        for i in np.flatnonzero(_BEGINS[low, np.append(low[1:], np.uint8(0))][:piece]).tolist():
+            before = text[base + i - 1] if base + i else " "
+            if not (before.isalnum() or before == "_"):
+                yield base + i
+
+
+def said(text: str) -> Iterator[re.Match]:
+    """The matches of _SAID, tried only where one can begin."""
+    done = 0
+    for i in word_starts(text):
+        if i >= done and (m := _SAID.match(text, i)):
+            yield m
+            done = m.end()
 
 
-def rewrite(text: str) -> tuple[str, list[tuple[int, int]] | None]:
-    """Disguise transducer: rewritten text and the interval of `text` behind each character (None: unchanged)."""
+def rewrite(text: str) -> tuple[str, Origins | None]:
+    """Disguise transducer: rewritten text and the origins of its characters (None: unchanged)."""
     edits: list[tuple[int, int, str]] = []
     if _HINT.search(text):
         edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKET.finditer(text)]
@@ -141,7 +200,7 @@ def rewrite(text: str) -> tuple[str, list[tuple[int, int]] | None]:
             edits.append((m.start("at") - 1, m.end("at") + 1, "@"))
             for begin, end in ((m.start(), m.start("at") - 1), (m.end("at") + 1, m.end())):
                 edits += [(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(text, begin, end)]
-    for m in _SAID.finditer(text):
+    for m in said(text):
         parts = list(_SAID_PART.finditer(text, m.start(), m.end()))
         if all(p["num"] and p[0].isdigit() for p in parts):  # no word: nothing is disguised
             continue
@@ -150,16 +209,15 @@ def rewrite(text: str) -> tuple[str, list[tuple[int, int]] | None]:
             edits.append((p.start(), following.start() if following else p.end(), new))
     if not edits:
         return text, None
-    chars, origin, at = [], [], 0
+    parts, origins, at, length = [], Origins(), 0, 0
     for begin, end, new in sorted(edits):
         if begin < at:
             continue
-        chars += text[at:begin]
-        origin += [(i, i + 1) for i in range(at, begin)]
-        chars.append(new)
-        origin.append((begin, end))
+        parts += [text[at:begin], new]
+        length += begin - at + 1
+        origins.add(length - 1, length, (begin, end))
         at = end
-    return "".join(chars) + text[at:], origin + [(i, i + 1) for i in range(at, len(text))]
+    return "".join(parts) + text[at:], origins
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -171,10 +229,9 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         return base, base
     spans = set(base)
     for a, kind, b in detect(plain):
-        if origin is not None:
-            a, b = origin[a][0], origin[b - 1][1]
-        if source is not None:
-            a, b = source[a], source[b - 1] + 1
+        for origins in (origin, source):
+            if origins is not None:
+                a, b = origins.interval(a)[0], origins.interval(b - 1)[1]
         if not any(k == kind and x < b and a < y for x, k, y in base):
             spans.add((a, kind, b))
     return base, sorted(spans)
