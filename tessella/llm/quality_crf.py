@@ -37,6 +37,12 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Features of all lines of `texts` (rows), the number of lines of each text, the bytes of each line."""
     lines = [x for t in texts for x in t.split(b"\n")]
     counts = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+    own, size = _features(lines, counts, [set() for _ in texts])
+    return own, counts, size
+
+
+def _features(lines: list[bytes], counts: np.ndarray, seen: list[set[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and sizes of `lines`, counts[k] of which follow the lines of text k that are in seen[k]."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     share = np.zeros((len(lines), N_CLASSES))
     full = np.flatnonzero(size)
@@ -50,12 +56,10 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     n_words = np.fromiter(map(len, words), np.int64, len(words))
     varied = np.fromiter((len(set(w)) for w in words), np.int64, len(words))
     again, at = np.zeros(len(lines)), 0
-    for n in counts.tolist():
-        if n > 1:
-            seen: set[bytes] = set()
-            for i in range(at, at + n):
-                again[i] = lines[i] in seen
-                seen.add(lines[i])
+    for n, before in zip(counts.tolist(), seen, strict=True):
+        for i in range(at, at + n):
+            again[i] = lines[i] in before
+            before.add(lines[i])
         at += n
     rest = np.stack(
         [
@@ -70,7 +74,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         ],
         axis=1,
     )
-    return np.concatenate([share, rest], axis=1), counts, size
+    return np.concatenate([share, rest], axis=1), size
 
 
 def with_neighbours(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -151,13 +155,99 @@ def fit(own: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 1
     return crf
 
 
+#: Lines whose features are held at once, and lines of a block of a chain.
+PIECE_LINES, BLOCK = 8192, 64
+
+
+def emissions(crf: LineCRF, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score of good over bad of every line, lines of each text, bytes of each line; features are made a piece at a time."""
+    counts = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+    parts, sizes = [np.zeros((0, 3))], [np.zeros(0, np.int64)]
+    weights = crf.weights[: 3 * N_FEATURES].reshape(3, N_FEATURES)  # own line, line before, line after: what a line says of itself, of the next and of the one before
+    for rows in batches_of(texts, most_bytes=1 << 20, most=512):
+        lines = [x for t in texts[rows] for x in t.split(b"\n")]
+        ends, seen = np.cumsum(counts[rows]), [set() for _ in texts[rows]]
+        for a in range(0, len(lines), PIECE_LINES):
+            b = min(len(lines), a + PIECE_LINES)
+            first, last = np.searchsorted(ends, a, side="right"), np.searchsorted(ends, b - 1, side="right")
+            mine = np.minimum(ends[first : last + 1], b) - np.maximum(np.append(0, ends)[first : last + 1], a)
+            own, size = _features(lines[a:b], mine, seen[first : last + 1])
+            parts.append((own[:, None, :] * weights).sum(axis=2))
+            sizes.append(size)
+    own, before, after = np.concatenate(parts).T
+    first, last = np.cumsum(counts) - counts, np.cumsum(counts) - 1
+    left, right = np.append(0.0, before)[: len(own)], np.append(after[1:], 0.0)
+    left[first], right[last] = crf.weights[-3], crf.weights[-2]  # no neighbour there: its flag instead
+    return own + left + right + crf.weights[-1], counts, np.concatenate(sizes)
+
+
+def good_shares(crf: LineCRF, emit: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """P(good) of each line as LineCRF.marginals gives it, in blocks of BLOCK lines.
+
+    A block's lines give one 2 x 2 matrix; the chain of blocks carries the forward and backward vectors, from which
+    each block's own lines follow. Steps grow with a chain's blocks and the block, not with its lines, and do
+    not depend on which chains are scored together.
+    """
+    blocks = -(-counts // BLOCK)
+    owner = np.repeat(np.arange(len(counts)), blocks)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin = (np.cumsum(counts) - counts)[owner] + number * BLOCK
+    length = np.minimum(BLOCK, counts[owner] - number * BLOCK)
+    m = np.exp(crf.moves - crf.moves.max())
+    top = np.maximum(emit, 0)
+    e = np.exp(np.stack([-top, emit - top], axis=1))
+
+    def times(v: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        """Row vectors by matrices, summed alike for any number of rows."""
+        out = v[..., :1] * matrix[..., 0, :] + v[..., 1:] * matrix[..., 1, :]
+        return out / out.sum(axis=-1, keepdims=True)
+
+    whole = np.broadcast_to(np.eye(2), (len(owner), 2, 2)).copy()
+    for t in range(BLOCK):
+        on = np.flatnonzero(length > t)
+        start = (number[on] == 0) & (t == 0)  # nothing moves before the first line
+        step = np.where(start[:, None, None], np.eye(2), m) * e[begin[on] + t][:, None, :]
+        rows = whole[on]
+        new = rows[:, :, :1] * step[:, :1, :] + rows[:, :, 1:] * step[:, 1:, :]
+        whole[on] = new / new.max(axis=(1, 2), keepdims=True)
+    ahead, back = np.full((len(owner), 2), 0.5), np.full((len(owner), 2), 0.5)  # vectors before and after each block
+    order = np.argsort(-blocks, kind="stable")
+    at, many = (np.cumsum(blocks) - blocks)[order], blocks[order]
+    for k in range(1, int(many.max(initial=0))):
+        live = np.searchsorted(-many, -(k + 1), side="right")
+        now = at[:live] + k
+        ahead[now] = times(ahead[now - 1], whole[now - 1])
+    for k in range(int(many.max(initial=0)) - 1, 0, -1):
+        live = np.searchsorted(-many, -(k + 1), side="right")
+        now = at[:live] + k
+        back[now - 1] = times(back[now], whole[now].transpose(0, 2, 1))
+    good = np.empty(len(emit))
+    held = np.empty((BLOCK, len(owner), 2))
+    for t in range(BLOCK):
+        on = np.flatnonzero(length > t)
+        before = held[t - 1, on] if t else ahead[on]
+        start = (number[on] == 0) & (t == 0)
+        moved = np.where(start[:, None], before, before[:, :1] * m[0] + before[:, 1:] * m[1])
+        v = moved * e[begin[on] + t]
+        held[t, on] = v / v.sum(axis=1, keepdims=True)
+    for t in range(BLOCK - 1, -1, -1):
+        on = np.flatnonzero(length > t)
+        both = held[t, on] * back[on]
+        good[begin[on] + t] = both[:, 1] / (both[:, 0] + both[:, 1])
+        right = e[begin[on] + t] * back[on]
+        back[on] = right[:, :1] * m[:, 0] + right[:, 1:] * m[:, 1]
+        back[on] /= back[on].sum(axis=1, keepdims=True)
+    return good
+
+
 def score_texts(crf: LineCRF, texts: list[bytes]) -> np.ndarray:
     """Length-weighted mean P(good) of the lines of each text (a line counts one more than its bytes).
 
-    Sums run over one line or one text at a time, so a text's score does not depend on its batch.
+    Sums run over one line or one text at a time, so a text's score does not depend on its batch. What is held for each line
+    of a long text is a few numbers, not its features.
     """
-    own, counts, size = line_features(texts)
-    p, _, _ = crf.marginals((with_neighbours(own, counts) * crf.weights).sum(axis=1), counts)
+    emit, counts, size = emissions(crf, texts)
+    p = good_shares(crf, emit, counts)
     begin = np.cumsum(counts) - counts
     return np.add.reduceat(p * (size + 1), begin) / np.add.reduceat(size + 1, begin)
 
