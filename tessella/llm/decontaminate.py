@@ -25,6 +25,8 @@ from pyspark.sql.types import DoubleType
 from .wordhash import Words, majority
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
+#: Shingles of windows that are fingerprinted at once, and bytes of windows that leave a task at once.
+PIECE_SHINGLES, PIECE_BYTES = 1 << 18, 1 << 22
 
 def _lower(text: str | None) -> bytes:
     return (text or "").lower().encode()
@@ -111,8 +113,10 @@ def _windows(items: Items, threshold: float, radius: int):
                     flags = np.zeros(n - k + 2, np.int64)
                     flags[at - first + 1] = 1
                     total = np.cumsum(flags)
-                    starts = np.flatnonzero(total[m:] - total[: len(total) - m] >= least)
-                    if len(starts):
+                    every = np.flatnonzero(total[m:] - total[: len(total) - m] >= least)
+                    for starts in np.split(every, range(0, len(every), max(1, PIECE_SHINGLES // m))[1:]):
+                        if not len(starts):
+                            continue
                         runs = np.concatenate([sh[first + s : first + s + m] for s in starts.tolist()])
                         prints = majority(runs, np.full(len(starts), m))
                         fps = dict(zip(starts.tolist(), prints.tolist(), strict=True))
@@ -121,17 +125,24 @@ def _windows(items: Items, threshold: float, radius: int):
                         for s, i in beyond((kk, size), sh, at, first, m, least, fps):
                             yield d, s, size, fps[s], words.text(first + s, min(size, n)), i
 
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*found, strict=True)) if found else [[]] * 6
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64())
+        cols[3] = np.array(cols[3], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start", "size", "fp", "words", "item"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 ids = part.column(0).to_pylist()
-                found = list(of([_lower(t) for t in part.column(1).to_pylist()]))
-                cols = list(zip(*found, strict=True)) if found else [[]] * 6
-                fps = np.array(cols[3], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d in cols[0]], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(fps), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.int64())],
-                    names=["doc_id", "start", "size", "fp", "words", "item"],
-                )
+                found, held = [], 0
+                for row in of([_lower(t) for t in part.column(1).to_pylist()]):
+                    found.append((ids[row[0]], *row[1:]))
+                    held += len(row[4]) + 100
+                    if held > PIECE_BYTES:
+                        yield rows_of(found)
+                        found, held = [], 0
+                yield rows_of(found)
 
     return run
 
