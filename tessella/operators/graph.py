@@ -9,7 +9,7 @@ from ..functions.numbers import round_half_up
 from ..functions.text import keyword_set, trim_controls, wikilinks
 from .repair import first_by
 from .skew import pairs_by_key
-from .storage import checkpointed
+from .storage import checkpointed, shared_table
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
@@ -163,52 +163,60 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 20, least_gain: float = 1e-9) -> DataFrame:
-    """id, community (smallest id in it): one level of modularity moves, in passes over the whole graph.
+def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 100, least_gain: float = 1e-9) -> DataFrame:
+    """id, community (smallest id in it): one level of modularity moves, a set of independent nodes at a time.
 
-    In a pass every node weighs the communities of its neighbours: the weight of its links into
-    one, less the community's degree times its own over the total. Moving one node after another
-    cannot be shared out, so in each pass a seeded half of the nodes moves at once; a pass that
-    lowers modularity is undone, and passes end when both halves stay. Parallel links add up; of
-    equal gains one community wins by its hash; without weight every node is alone.
+    Every node weighs the communities of its neighbours: the weight of its links into one, less the
+    community's degree times its own over the total; it wants to move where that beats its own
+    community, and nothing, by `least_gain`. Of the nodes that want to move, those go that no
+    neighbour outbids (by a hash, another in each round), so no two neighbours move at once and the weights
+    they saw hold. Movers into or out of one community change its degree for each other: in order
+    of their gain, each is charged for all before it, and goes only if its gain is more. So every
+    move raises modularity as it would one after another, and nothing is undone. Rounds end when no
+    node wants to move. Parallel links add up; of equal gains one community wins by its hash;
+    without weight every node is alone.
     """
     ids = nodes.select("id").distinct()
     e = valid_edges(nodes, edges).select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), "weight")
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
-    near = checkpointed(both.groupBy("u", "v").agg(F.sum("weight").alias("w")).where("w > 0"))
-    degree = checkpointed(ids.join(near.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d")))
-    twice = degree.agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0]
-    where = degree.select("id", "d", F.col("id").alias("c"))
-    if twice > 0:
-
-        def modularity(labels: DataFrame) -> float:
-            ends = near.join(labels.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(labels.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v")
-            inner = ends.where("cu = cv").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-            squares = labels.groupBy("c").agg(F.sum("d").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
-            return inner / twice - squares / twice**2
-
-        best, still = modularity(where), 0
-        for k in range(passes):
-            totals = where.groupBy("c").agg(F.sum("d").alias("t"))
-            into = near.join(where.select(F.col("id").alias("v"), "c"), "v").groupBy(F.col("u").alias("id"), "c").agg(F.sum("w").alias("w"))
-            offers = into.join(totals, "c").join(where.select("id", "d", F.col("c").alias("home")), "id")
-            rest = F.col("t") - F.when(F.col("c") == F.col("home"), F.col("d")).otherwise(0.0)
-            offers = offers.withColumn("gain", F.col("w") - rest * F.col("d") / twice)
-            stay = F.coalesce(F.max(F.when(F.col("c") == F.col("home"), F.col("gain"))), F.lit(0.0))
-            choice = offers.groupBy("id").agg(F.max(F.struct("gain", (-F.xxhash64("c")).alias("tie"), F.col("c").alias("to"))).alias("top"), stay.alias("stay"))
-            turn = F.pmod(F.xxhash64("id", F.lit(k // 2)), F.lit(2)) == k % 2
-            moves = choice.where(turn & (F.col("top.gain") > F.col("stay") + least_gain)).select("id", F.col("top.to").alias("to"))
-            after = checkpointed(where.join(moves, "id", "left").select("id", "d", F.coalesce("to", "c").alias("c")))
-            value = modularity(after)
-            still = 0 if value > best + least_gain else still + 1
-            if value > best:
-                where, best = after, value
-            if still >= 4:
-                break
+    near = checkpointed(both.groupBy("u", "v").agg(F.sum("weight").alias("w")).where("w > 0").repartition("v"))
+    degree = ids.join(near.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("d")), "id", "left")
+    where = checkpointed(degree.select("id", F.coalesce("d", F.lit(0.0)).alias("d"), F.col("id").alias("c")))
+    twice = where.agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0]
+    for k in range(rounds if twice > 0 else 0):
+        totals = where.groupBy("c").agg(F.sum("d").alias("t"))
+        into = near.join(where.select(F.col("id").alias("v"), "c"), "v").groupBy(F.col("u").alias("id"), "c").agg(F.sum("w").alias("w"))
+        offers = into.join(totals, "c").join(where.select("id", "d", F.col("c").alias("home")), "id")
+        own = F.col("c") == F.col("home")
+        offers = offers.withColumn("gain", F.col("w") - (F.col("t") - F.when(own, F.col("d")).otherwise(0.0)) * F.col("d") / twice)
+        stay = F.greatest(F.coalesce(F.max(F.when(own, F.col("gain"))), F.lit(0.0)), F.lit(0.0))
+        best = offers.groupBy("id").agg(F.max(F.struct("gain", (-F.xxhash64("c")).alias("tie"), F.col("c").alias("to"))).alias("top"), stay.alias("stay"), F.first("d").alias("d"), F.first("home").alias("home"))
+        wish = best.select("id", "d", "home", F.col("top.to").alias("to"), (F.col("top.gain") - F.col("stay")).alias("more")).where(F.col("more") > least_gain)
+        wish = shared_table(wish.withColumn("bid", F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id")), "wishes")
+        if wish.isEmpty():
+            break
+        asked = near.join(wish.select(F.col("id").alias("v"), F.col("bid").alias("other")), "v").groupBy(F.col("u").alias("id")).agg(F.max("other").alias("other"))
+        free = wish.join(asked, "id", "left").where("other is null or bid > other").select("id", "d", "home", "to", "more")
+        before = lambda c: F.coalesce(F.sum("d").over(Window.partitionBy(c).orderBy(F.desc("more"), "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        charged = free.withColumns({"joined": before("to"), "left": before("home")})
+        moves = charged.where(F.col("more") - F.col("d") * (F.col("joined") + F.col("left")) / twice > least_gain).select("id", "to")
+        where = shared_table(where.join(moves, "id", "left").select("id", "d", F.coalesce("to", "c").alias("c")), "communities")
     lowest = where.groupBy("c").agg(F.min("id").alias("community"))
     return where.join(lowest, "c").select("id", "community")
 
 
+def modularity(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row, modularity: share of the weight inside communities less the share expected by degree. members: id, community; 0 without weight."""
+    e = valid_edges(members, edges)
+    ends = e.select(F.col("source_id").alias("id"), "weight").unionByName(e.select(F.col("target_id").alias("id"), "weight"))
+    degrees = ends.join(members, "id").groupBy("community").agg(F.sum("weight").alias("t"))
+    side = lambda p: members.select(F.col("id").alias(f"{p}_id"), F.col("community").alias(p))
+    inner = e.join(side("source"), "source_id").join(side("target"), "target_id").where("source = target").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("inside"))
+    squares = degrees.agg(F.coalesce(F.sum(F.col("t") * F.col("t")), F.lit(0.0)).alias("squares"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("all"))
+    both = inner.crossJoin(F.broadcast(squares))  # one row each
+    return both.select(F.when(F.col("all") > 0, 2 * F.col("inside") / F.col("all") - F.col("squares") / (F.col("all") * F.col("all"))).otherwise(0.0).alias("modularity"))
+
+
 def ranked_groups(groups: DataFrame, key: str) -> DataFrame:
     """key, n, first_member, rank (from 0): groups by size, then by first member, ids compared as text. groups: id, key."""
     sized = groups.groupBy(key).agg(F.count("*").alias("n"), F.min(F.col("id").cast("string")).alias("first_member"))

@@ -1,5 +1,7 @@
 """Small graphs with known answers."""
 
+import random
+
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -107,3 +109,56 @@ def test_cohesion_counts_edge_rows(spark):
     m = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "id long, community_id long")
     e = spark.createDataFrame([(1, 2), (2, 1), (1, 3)], "source_id long, target_id long")
     assert rows(graph.cohesion(m, e)) == [(1, 2, 2, 2.0), (2, 1, 0, 0.0)]
+
+
+def one_after_another(ids, edges, passes=20):
+    """The sequential rule: each node in turn moves to its neighbours' best community."""
+    near, c, twice = {i: {} for i in ids}, {i: i for i in ids}, 2 * sum(w for _, _, w in edges)
+    for u, v, w in edges:
+        near[u][v] = near[u].get(v, 0) + w
+        near[v][u] = near[v].get(u, 0) + w
+    d = {i: sum(near[i].values()) for i in ids}
+    total = dict(d)
+    for _ in range(passes):
+        moved = False
+        for i in ids:
+            home, into = c[i], {}
+            total[home] -= d[i]
+            for j, w in near[i].items():
+                into[c[j]] = into.get(c[j], 0) + w
+            best, gain = home, 0.0
+            for k in sorted(into):
+                if (g := into[k] - total[k] * d[i] / twice) > gain + 1e-9:
+                    best, gain = k, g
+            total[best] += d[i]
+            moved |= best != home
+            c[i] = best
+        if not moved:
+            break
+    return c
+
+
+def plain_modularity(c, edges):
+    all_ = 2 * sum(w for _, _, w in edges)
+    t = {}
+    for u, v, w in edges:
+        t[c[u]] = t.get(c[u], 0) + w
+        t[c[v]] = t.get(c[v], 0) + w
+    return 2 * sum(w for u, v, w in edges if c[u] == c[v]) / all_ - sum(x * x for x in t.values()) / all_**2
+
+
+def clustered(seed, groups, size, inner, outer):
+    rng = random.Random(seed)
+    n = groups * size
+    return [(u, v, float(rng.randrange(1, 4))) for u in range(n) for v in range(u + 1, n) if rng.random() < (inner if u // size == v // size else outer)]
+
+
+@pytest.mark.parametrize("edges", [clustered(1, 6, 10, 0.7, 0.02), clustered(2, 4, 20, 0.3, 0.01), [(0, i, 1.0) for i in range(1, 40)], [(i, i + 1, 1.0) for i in range(39)], [(6 * g + a, 6 * g + b, 1.0) for g in range(8) for a in range(6) for b in range(a)] + [(6 * g, 6 * (g + 1) % 48, 1.0) for g in range(8)]])
+def test_independent_moves_are_as_good_as_moves_one_after_another(spark, edges):
+    ids = sorted({x for e in edges for x in e[:2]})
+    n, e = spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "source_id long, target_id long, weight double")
+    members = graph.louvain(n, e)
+    c = {r.id: r.community for r in members.collect()}
+    reached = plain_modularity(c, edges)
+    assert graph.modularity(members, e).first()[0] == pytest.approx(reached)
+    assert reached >= 0.97 * plain_modularity(one_after_another(ids, edges), edges)
