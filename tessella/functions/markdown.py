@@ -63,3 +63,54 @@ def table_cells(line: Column) -> Column:
 def merged_tables(parts: Column) -> Column:
     """Non-empty parts joined by a blank line."""
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
+
+
+# Fixed value: what a browser trims and takes for white space.
+_BLANK = "\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^[{_BLANK}]+|[{_BLANK}]+$", "")
+
+
+def _is_separator(line: Column) -> Column:
+    """Whether a line is the rule below a table's header: bars, colons, dashes and blanks, a bar first and a dash somewhere."""
+    return line.rlike(rf"^[{_BLANK}]*\|[|:\-{_BLANK}]*$") & F.contains(line, F.lit("-"))
+
+
+def _separator(line: Column) -> Column:
+    """The rule with every cell as ' --- ' and its alignment colons; an empty cell is one blank, nothing stays outside the outer bars."""
+    cells = F.split(line, r"\|", -1)
+    last = F.size(cells) - 1
+
+    def cell(c: Column, i: Column) -> Column:
+        c = _stripped(c)
+        dashes = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit(":"), F.lit("")), rf"[{_BLANK}]+", "-"), "-+", "---")
+        colon = lambda at: F.when(at, ":").otherwise("")
+        text = F.concat(F.lit(" "), colon(F.startswith(c, F.lit(":"))), dashes, colon(F.endswith(c, F.lit(":"))), F.lit(" "))
+        return F.when((c == "") & ((i == 0) | (i == last)), "").when(c == "", " ").otherwise(text)
+
+    return F.array_join(F.transform(cells, cell), "|")
+
+
+def normalised_tables(text: Column) -> Column:
+    """Markdown in which every table renders: its rule is normalised, and a blank line stands before a header that follows text or begins the text.
+
+    What happens at a line depends on its two neighbours only, so a text is one pass over its lines. A null text is ''.
+    """
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    bar = lambda c: _stripped(c).startswith("|")
+
+    def at(i: Column) -> Column:
+        return F.try_element_at(lines, i + 1)
+
+    def line(x: Column, i: Column) -> Column:
+        before = at(i - 1)
+        opens = bar(x) & F.coalesce(_is_separator(at(i + 1)), F.lit(False)) & (_stripped(before) != "") & ~bar(before)
+        shown = F.when(_is_separator(x), _separator(x)).otherwise(x)
+        return F.when(opens, F.concat(F.lit("\n"), shown)).otherwise(shown)
+
+    # The first line has no line before it; position 0 would count from the end, so it is asked for apart.
+    first = F.when(bar(lines[0]) & F.coalesce(_is_separator(F.try_element_at(lines, F.lit(2))), F.lit(False)), "\n").otherwise("")
+    rest = F.transform(lines, lambda x, i: F.when(i > 0, line(x, F.greatest(i, F.lit(1)))).otherwise(F.concat(first, F.when(_is_separator(x), _separator(x)).otherwise(x))))
+    return F.array_join(rest, "\n")

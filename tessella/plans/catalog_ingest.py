@@ -190,3 +190,18 @@ def vector_json(spark, sf):
 def importance_percent(spark, sf):
     e = a.table(spark, sf, "events")
     return e.select(F.col("event_id").alias("id"), numbers.importance_percent(F.col("value") / 100).cast("long").alias("percent"))
+
+
+@query(r"""WITH d AS (SELECT doc_id AS id, replace(coalesce(text, ''), '. ', '.' || chr(10) || '| a | b |' || chr(10) || ' |:--: | - -|:|' || chr(10) || '| 1 | 2 |' || chr(10)) AS t FROM documents),
+  l AS (SELECT id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+  n AS (SELECT *, trim(x, ' ' || chr(9) || chr(13)) AS s, regexp_full_match(x, '[ \t\r]*\|[|:\- \t\r]*') AND contains(x, '-') AS rule FROM l),
+  w AS (SELECT *, lag(s) OVER o AS before, coalesce(lead(rule) OVER o, FALSE) AS next_rule FROM n WINDOW o AS (PARTITION BY id ORDER BY i))
+  SELECT id, md5(string_agg(CASE WHEN starts_with(s, '|') AND next_rule AND (i = 1 OR (before <> '' AND NOT starts_with(before, '|'))) THEN chr(10) ELSE '' END
+    || CASE WHEN rule THEN array_to_string(list_transform(string_split(x, '|'), lambda c, k:
+        CASE WHEN trim(c) = '' THEN CASE WHEN k = 1 OR k = len(string_split(x, '|')) THEN '' ELSE ' ' END
+             ELSE ' ' || CASE WHEN starts_with(trim(c), ':') THEN ':' ELSE '' END || regexp_replace(regexp_replace(replace(trim(c), ':', ''), '\s+', '-', 'g'), '-+', '---', 'g') || CASE WHEN ends_with(trim(c), ':') THEN ':' ELSE '' END || ' ' END), '|') ELSE x END, chr(10) ORDER BY i)) AS digest FROM w GROUP BY 1""")
+def normalised_markdown(spark, sf):
+    """Whole documents in which a table follows every sentence end, normalised; the digest is of the whole text."""
+    d = a.table(spark, sf, "documents")
+    table = ".\n| a | b |\n |:--: | - -|:|\n| 1 | 2 |\n"
+    return d.select(F.col("doc_id").alias("id"), F.md5(markdown.normalised_tables(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(table)))).alias("digest"))

@@ -1,6 +1,7 @@
 """Scalar functions against values worked out by hand."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,37 @@ def test_chunk_sizes_of_long_texts_equal_their_sql():
     con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": pd.Series(texts, dtype=object)}))
     wanted = sorted((i, n, len(c)) for i, t in enumerate(texts) for n, c in enumerate(chunks.chunks(t or "")))
     assert sorted(con.execute(catalog.SQL["chunk_documents"]).fetchall()) == wanted
+
+
+def browser_form(text):
+    """The fold over lines that a page does before it shows Markdown, with the lines so far as state."""
+    trim = lambda x: x.strip(" \t\n\x0b\x0c\r\u00a0\u3000\ufeff")
+    rule = lambda x: trim(x).startswith("|") and set(trim(x)) <= set("|:- \t\u3000") and "-" in x
+    lines, out = text.split("\n"), []
+    for i, x in enumerate(lines):
+        if rule(x):
+            parts = x.split("|")
+            for k, p in enumerate(parts):
+                c = trim(p)
+                dashes = re.sub("-+", "---", re.sub(r"\s+", "-", c.replace(":", "")))
+                parts[k] = ("" if k in (0, len(parts) - 1) else " ") if not c else f" {':' * c.startswith(':')}{dashes}{':' * c.endswith(':')} "
+            if len(out) > 1 and trim(out[-2]) != "" and not trim(out[-2]).startswith("|") and trim(out[-1]).startswith("|"):
+                out.insert(-1, "")
+            elif len(out) == 1 and trim(out[0]).startswith("|"):
+                out.insert(0, "")
+            out.append("|".join(parts))
+            continue
+        if trim(x).startswith("|") and out and trim(out[-1]) != "" and not trim(out[-1]).startswith("|") and i + 1 < len(lines) and rule(lines[i + 1]):
+            out.append("")
+        out.append(x)
+    return "\n".join(out)
+
+
+def test_normalised_tables_equal_the_fold(spark):
+    rng = random.Random(8)
+    pieces = ["|---|", "| a | b |", "text", "", "  ", " |:-:| - -|:|", "|--|--", "| x", "|:", "a | b", "\u3000|-|\u3000", "||-||", "-", "|-", "| :--  --: |"]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(800)] + ["", "|", "|a|\n|-|"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = {r.id: r.x for r in df.select("id", markdown.normalised_tables(F.col("text")).alias("x")).collect()}
+    assert [found[i] for i in range(len(texts))] == [browser_form(t) for t in texts]
+    assert df.limit(1).select(markdown.normalised_tables(F.lit(None).cast("string")).alias("x")).first().x == ""
