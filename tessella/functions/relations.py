@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .text import normalised, trim_controls
 
 # Relation types that may be stored, those accepted without review, and entry types.
-RELATION_TYPES = "defines belongs_to references causes parent_of child_of synonym_of applies_when depends_on conflicts_with".split()
-SAFE_TYPES = "defines belongs_to references synonym_of".split()
-ENTRY_TYPES = "concept entity thesis methodology finding comparison synthesis source query".split()
+RELATION_TYPES = ("defines", "belongs_to", "references", "causes", "parent_of", "child_of", "synonym_of", "applies_when", "depends_on", "conflicts_with")
+SAFE_TYPES = ("defines", "belongs_to", "references", "synonym_of")
+ENTRY_TYPES = ("concept", "entity", "thesis", "methodology", "finding", "comparison", "synthesis", "source", "query")
 
 _RELATION = "struct<sourceTitle:string,targetTitle:string,relationType:string,evidence:string,confidence:double,reason:string>"
 
@@ -22,6 +22,11 @@ def json_payload(reply: Column) -> Column:
     return F.when(array_first, F.regexp_extract(t, r"(?s)(\[.*\])", 1)).otherwise(F.regexp_extract(t, r"(?s)(\{.*\})", 1))
 
 
+def readable(reply: Column) -> Column:
+    """Whether a reply holds JSON that can be parsed."""
+    return F.coalesce(F.try_parse_json(F.nullif(json_payload(reply), F.lit(""))).isNotNull(), F.lit(False))
+
+
 def parse_relations(reply: Column) -> Column:
     """array of relation structs from an object with `relations` or a bare array; missing fields are '' and 0."""
     body = json_payload(reply)

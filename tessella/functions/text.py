@@ -139,9 +139,9 @@ def embedding_text(title: Column, content: Column, keywords: Column) -> Column:
 
 # The query tokenizer's stop words and delimiters.
 STOP_WORDS = (
-    "的 是 了 什么 在 有 和 与 对 从 the is a an what how are was were do does did be been being have has had "
-    "it its in on at to for of with by this that these those"
-).split()
+    "的", "是", "了", "什么", "在", "有", "和", "与", "对", "从", "the", "is", "a", "an", "what", "how", "are", "was", "were", "do", "does", "did", "be", "been",
+    "being", "have", "has", "had", "it", "its", "in", "on", "at", "to", "for", "of", "with", "by", "this", "that", "these", "those",
+)
 DELIMITERS = "[\\s,，。！？、；：\"\"''（）()\\-_/\\\\·~～…]+"
 
 

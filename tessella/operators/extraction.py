@@ -9,32 +9,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp_confidence
-from ..functions.relations import parse_entries, parse_relations, relation_errors, relation_status, relation_type, with_errors
+from ..functions.relations import parse_entries, parse_relations, readable, relation_errors, relation_status, relation_type, with_errors
 from ..functions.text import normalised, shortened
+from .mutations import failures
 from .repair import candidate_targets, first_by
+from .storage import shared_table
 
 #: (system prompt, user prompt) -> reply
 Model = Callable[[str, str], str]
 
 
 def replies(prompts: DataFrame, model: Model, system: str = "", attempts: int = 3) -> DataFrame:
-    """`prompts` (id, prompt) with the model's reply; null after `attempts` failures, as a failed row must not stop the others."""
+    """id, reply, error: the model's reply to each of `prompts` (id, prompt); after `attempts` failures no reply but the last error, as a failed row must not stop the others."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            out, errors = [], []
             for prompt in b["prompt"]:
-                reply = None
+                reply = error = None
                 for _ in range(attempts):
                     try:
-                        reply = model(system, prompt)
+                        reply, error = model(system, prompt), None
                         break
-                    except (OSError, TimeoutError):
-                        continue
+                    except (OSError, TimeoutError) as e:
+                        error = str(e) or None
                 out.append(reply)
-            yield pd.DataFrame({"id": b["id"], "reply": out})
+                errors.append(error)
+            yield pd.DataFrame({"id": b["id"], "reply": out, "error": errors})
 
-    return prompts.select("id", "prompt").mapInPandas(ask, "id long, reply string")
+    return prompts.select("id", "prompt").mapInPandas(ask, "id long, reply string, error string")
 
 
 def title_index(entries: DataFrame) -> DataFrame:
@@ -70,13 +73,18 @@ def validated(raw: DataFrame, entries: DataFrame, reject: float = 0.65, accept:
 
 
 def extract_relations(entries: DataFrame, model: Model, top: int = 12, text_chars: int = 3000) -> DataFrame:
-    """Relations of each entry to its best candidate targets, as the model states them, validated."""
+    """Relations of each entry to its best candidate targets, as the model states them, validated.
+
+    An entry whose reply did not come or cannot be read has one row of type 'extract_failed', rejected, with the
+    reason and no target. The model is asked once: replies are written before they are read.
+    """
     targets = candidate_targets(entries, top).join(entries.select(F.col("id").alias("target"), "title"), "target")
     listed = targets.groupBy(F.col("source").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "title"))), lambda x: x["title"]), "\n").alias("titles"))
     prompt = F.concat_ws("\n", F.concat(F.lit("Source: "), "title"), shortened(F.coalesce("content", F.lit("")), text_chars), F.lit("Targets:"), "titles")
-    asked = replies(entries.join(listed, "id").select("id", prompt.alias("prompt")), model)
+    asked = shared_table(replies(entries.join(listed, "id").select("id", prompt.alias("prompt")), model), "replies")
     raw = asked.select(F.col("id").alias("entry_id"), F.inline(parse_relations(F.col("reply"))))
-    return validated(raw, entries)
+    failed = failures(asked, F.when(readable(F.col("reply")), True)).drop("extractor")
+    return validated(raw, entries).unionByName(failed, allowMissingColumns=True)
 
 
 def extract_entries(chunks: DataFrame, model: Model) -> DataFrame:

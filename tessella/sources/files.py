@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import csv
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.markdown import markdown_table
 from ..functions.text import extension, folder_context, source_identity, strip_html
+from ..operators.storage import shared_table
 
 TEXT_TYPES = ["txt", "md", "csv", "json", "rtf"]
 
@@ -67,10 +66,51 @@ def document_text(files: DataFrame, parsers: dict[str, Callable[[bytes], str]] |
     return simple.unionByName(packed)
 
 
-@F.udf(ArrayType(StringType()))
-def csv_cells(line: str) -> list[str]:
-    """Trimmed cells of one CSV line with doubled quotes; lines do not continue."""
-    return [c.strip() for c in next(csv.reader([line or ""]), [""])]
+def read_by_chain(files: DataFrame, chains: dict[str, list[tuple[str, Callable[[bytes], str]]]]) -> DataFrame:
+    """path, text, reader, reasons of every file: the readers of its extension are tried one after another.
+
+    chains: extension -> [(name, function)]. Only files that a reader failed on (it raised, or gave no
+    text) go to the next one, so costly readers see few files; contents are read from the source again.
+    reasons lists '<reader>: <error>' of each failure. A file that every reader failed on stays, without text and
+    reader, as does one of an unknown type, for the reason 'unsupported type'.
+    """
+    schema = "path string, text string, reader string, reason string"
+
+    def stage(k: int):
+        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for path, ext, content in zip(b["path"], b["ext"], b["content"], strict=True):
+                    name, reader = chains[ext][k]
+                    try:
+                        text = reader(bytes(content))
+                        out.append((path, text, name, None) if text else (path, None, None, f"{name}: no text"))
+                    except Exception as e:  # a reader may fail in any way; the next one is asked
+                        out.append((path, None, None, f"{name}: {str(e) or type(e).__name__}"))
+                yield pd.DataFrame(out, columns=["path", "text", "reader", "reason"])
+
+        return read
+
+    none = F.lit(None).cast("string")
+    known = F.col("ext").isin(list(chains)) if chains else F.lit(False)
+    unknown = files.where(~F.coalesce(known, F.lit(False))).select("path", none.alias("text"), none.alias("reader"), F.array(F.concat(F.lit("unsupported type: "), F.coalesce("ext", F.lit("")))).alias("reasons"))
+    done, failed = unknown, None
+    for k in range(max(map(len, chains.values()), default=0)):
+        able = files.where(F.col("ext").isin([e for e, c in chains.items() if len(c) > k])).select("path", "ext", "content")
+        if failed is not None:
+            able = able.join(failed.select("path"), "path", "left_semi")
+        tried = shared_table(able.mapInPandas(stage(k), schema), "read-stage")
+        before = tried.withColumn("reasons", F.array_compact(F.array("reason")))
+        if failed is not None:
+            # What has no further reader is done; the others carry their reasons on.
+            gone = failed.join(tried.select("path"), "path", "left_anti")
+            done = done.unionByName(gone.select("path", none.alias("text"), none.alias("reader"), "reasons"))
+            before = before.join(failed.select("path", F.col("reasons").alias("earlier")), "path").withColumn("reasons", F.concat("earlier", "reasons"))
+        done = done.unionByName(before.where("reader is not null").select("path", "text", "reader", "reasons"))
+        failed = shared_table(before.where("reader is null").select("path", "reasons"), "read-failed")
+    if failed is not None:
+        done = done.unionByName(failed.select("path", none.alias("text"), none.alias("reader"), "reasons"))
+    return done
 
 
 def csv_to_markdown(text: Column) -> Column:
@@ -94,9 +134,35 @@ def vectors_as_json(vectors: DataFrame) -> DataFrame:
 
 
 def log_tail(spark: SparkSession, path: str, limit: int = 1000) -> DataFrame:
-    """number, line of the last lines of a log file."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("number"), F.col("value").alias("line"))
-    return lines.orderBy(F.desc("number")).limit(limit)
+    """number, line of the last `limit` lines of a log file or of a folder of them, numbered from 1 in order.
+
+    Files follow each other by modification time, then by path; only the newest are read: one, then
+    twice as many while their lines do not suffice. Within a file, lines go by the block they were read in and
+    their place in it. Each task keeps its own last lines, so what moves is `limit` rows for each.
+    A path that does not exist gives no lines.
+    """
+    from pyspark.errors import AnalysisException
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    try:
+        listed = files.load(path).select("path", "modificationTime", "length")  # contents are not read
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "number long, line string")
+    newest = listed.where("length > 0").orderBy(F.desc("modificationTime"), F.desc("path"))
+    k, lines = 1, None
+    while True:
+        taken = [r["path"] for r in newest.limit(k).collect()]  # as many names as files that are read
+        if not taken:
+            return spark.createDataFrame([], "number long, line string")
+        at = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"))
+        lines = spark.read.text(taken).select(at.alias("at"), F.col("value").alias("line")).orderBy(F.desc("at")).limit(limit)
+        if len(taken) < k or lines.count() == limit:
+            break
+        k *= 2
+    order = Window.orderBy("at")  # over `limit` rows
+    return lines.select(F.row_number().over(order).cast("long").alias("number"), "line")
 
 
 def file_tree(found: DataFrame, documents: DataFrame) -> DataFrame:

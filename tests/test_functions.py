@@ -65,7 +65,6 @@ def lit(x):
         (lambda: markdown.without_fences(lit("```md\n| a |\n```")), "| a |"),
         (lambda: markdown.merged_tables(F.array(lit("a"), lit(""), lit("b"))), "a\n\nb"),
         (lambda: files.csv_to_markdown(lit('a,"b,""c""",d\n\n1')), '| a | b,"c" | d |\n| --- | --- | --- |\n| 1 |  |  |'),
-        (lambda: files.csv_cells(lit('a,"b,""c""",d')), ["a", 'b,"c"', "d"]),
         (lambda: relations.relation_type(lit(" Depends-On ")), "depends_on"),
         (lambda: relations.evidence_found(lit("A  explicitly"), lit("so a explicitly b"), lit(None).cast("string")), True),
         (lambda: relations.evidence_found(lit(" "), lit("x")), False),
