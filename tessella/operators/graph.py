@@ -130,7 +130,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping:
     n = ids.count()
     if not n:
         return ids.withColumn("score", F.lit(0.0))
-    near = checkpointed(neighbours(nodes, edges))
+    # Written once by u, in a fixed number of parts, so that in a round only ranks move to the links.
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = checkpointed(neighbours(nodes, edges).repartition(parts, "u"))
     degree = near.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("d"))
     base = checkpointed(ids.join(degree, "id", "left"))
     # Nodes without neighbours get nothing but the common share, so all have one score: their mass is a number.

@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import keyword_score, query_phrase
 from ..functions.vectors import cosine, unit
+from .storage import checkpointed, shared_table
 
 # How well entry types go together; any other pair has OTHER_AFFINITY.
 TYPE_AFFINITY = {
@@ -70,12 +72,42 @@ def keyword_hits(entries: DataFrame, question: str, tokens: list[str]) -> DataFr
     return entries.select("id", points.alias("score")).where("score > 0")
 
 
+#: Hits of a vector list up to which ranks are counted instead of sorting all keyword hits.
+LISTED = 1000
+
+
 def fused(keyword: DataFrame, vector: DataFrame, k: int, constant: float = 60.0) -> DataFrame:
     """id, rrf: sum of 1 / (constant + rank) over both rankings, the best k, ties by id.
 
     Ranks are those among all hits: a hit of one ranking can reach the best k by any rank in the
-    other. Rankings are numbered by range partitions, so neither is sorted in one task.
+    other. Only the first k keyword hits and those in the vector list can be among the best, so keyword hits
+    are not sorted: each is placed between these candidates, and the counts of the gaps add up to
+    their ranks. Vector lists over LISTED hits are ranked with all keyword hits, by range partitions.
     """
+    vector = vector.select("id", "score")
+    listed = vector.orderBy(F.desc("score"), "id").limit(LISTED + 1).collect()
+    if len(listed) > LISTED or k > LISTED:
+        return _fused_long(keyword, vector, k, constant)
+    spark = keyword.sparkSession
+    hits = shared_table(keyword.select("id", F.col("score").cast("double").alias("score")), "keyword-hits")
+    known = spark.createDataFrame([(r["id"],) for r in listed], vector.select("id").schema)
+    found = hits.orderBy(F.desc("score"), "id").limit(k).unionByName(hits.join(F.broadcast(known), "id", "left_semi")).distinct()
+    ranked = found.select(F.struct((-F.col("score")).alias("s"), "id").alias("c"))
+    asked = ranked.agg(F.array_sort(F.collect_list("c")).alias("all"))  # one row of at most k + LISTED candidates
+    place = F.size(F.filter("all", lambda c: c < F.struct((-F.col("score")).alias("s"), "id")))
+    gaps = hits.crossJoin(F.broadcast(asked)).groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect()
+    best, before = {}, 0
+    counts = {r["place"]: r["n"] for r in gaps}
+    for i, c in enumerate(asked.first()["all"] or []):
+        before += counts.get(i, 0)  # all hits up to this candidate, itself too
+        best[c["id"]] = 1.0 / (constant + before)
+    for i, r in enumerate(listed, 1):
+        best[r["id"]] = best.get(r["id"], 0.0) + 1.0 / (constant + i)
+    top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+    return spark.createDataFrame(top, StructType([vector.schema["id"], StructField("rrf", DoubleType())]))
+
+
+def _fused_long(keyword: DataFrame, vector: DataFrame, k: int, constant: float) -> DataFrame:
     from .graph import numbered
 
     ranks = lambda hits, name: numbered(hits.select("id", "score"), [F.desc("score"), F.asc("id")], name).select("id", name)
@@ -101,16 +133,15 @@ def links(entries: DataFrame) -> DataFrame:
     return link_edges(entries).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
 
 
-def relevance(entries: DataFrame, seeds: DataFrame) -> DataFrame:
+def relevance(entries: DataFrame, seeds: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """seed, id, score of every entry that shares a link, source or neighbour with a seed.
 
     3 for each direct link either way, 4 for each shared source, 1.5 / ln(degree) for each common
     neighbour (degree of 2 at least), plus the affinity of the types. Pairs with affinity alone
-    stay under any useful threshold and are not made.
+    stay under any useful threshold and are not made. edges (src, dst): stored links(); without
+    them all texts are read for their links.
     """
-    from .graph import checkpointed
-
-    edge = checkpointed(links(entries))  # ids only: texts are read once
+    edge = checkpointed(links(entries)) if edges is None else edges  # ids only: texts are read once
     both = edge.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(edge.select(F.col("dst").alias("u"), F.col("src").alias("v")))
     degree = both.groupBy("u").agg(F.count("*").alias("d"))
     near = both.distinct()
@@ -129,23 +160,21 @@ def relevance(entries: DataFrame, seeds: DataFrame) -> DataFrame:
     return typed.select("seed", "id", (F.col("s") + affinity(F.col("seed_type"), F.col("entry_type"))).alias("score"))
 
 
-def expanded(entries: DataFrame, hits: DataFrame, per_seed: int = 3, least: float = 2.0, most: int = 5) -> DataFrame:
+def expanded(entries: DataFrame, hits: DataFrame, per_seed: int = 3, least: float = 2.0, most: int = 5, edges: DataFrame | None = None) -> DataFrame:
     """id, score: entries to add to ranked hits (id, place): each seed's best, without hits, at the first seed's score, the best `most`."""
-    best = relevance(entries, hits.select("id")).withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id"))).where(F.col("n") <= per_seed)
+    best = relevance(entries, hits.select("id"), edges).withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id"))).where(F.col("n") <= per_seed)
     ranked = best.where(F.col("score") >= least).join(hits.select(F.col("id").alias("seed"), "place"), "seed").join(hits.select("id"), "id", "left_anti")
     first = ranked.groupBy("id").agg(F.min_by("score", F.struct("place", "n")).alias("score"))
     return first.orderBy(F.desc("score"), "id").limit(most)
 
 
-def hybrid(entries: DataFrame, vectors: DataFrame, question: str, tokens: list[str], query: list[float], k: int) -> DataFrame:
-    """place, id, score, origin: fused keyword and vector hits, then expansions along the graph."""
-    from .graph import checkpointed
-
+def hybrid(entries: DataFrame, vectors: DataFrame, question: str, tokens: list[str], query: list[float], k: int, edges: DataFrame | None = None) -> DataFrame:
+    """place, id, score, origin: fused keyword and vector hits, then expansions along the graph (`edges`: stored links, src and dst)."""
     known = entries.where(F.col("status").isin("approved", "pending"))
     near = top_k(vectors, query, 2 * k).join(entries.select("id"), "id", "left_semi")
     top = checkpointed(fused(keyword_hits(known, question, tokens), near.select("id", "score"), k))  # k rows, used several times
     hits = top.select(F.row_number().over(Window.orderBy(F.desc("rrf"), "id")).alias("place"), "id", F.col("rrf").alias("score"))
-    more = expanded(known, hits)
+    more = expanded(known, hits, edges=edges)
     added = more.select((F.lit(k) + F.row_number().over(Window.orderBy(F.desc("score"), "id"))).alias("place"), "id", "score")
     return hits.withColumn("origin", F.lit("hit")).unionByName(added.withColumn("origin", F.lit("expansion")))
 
