@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +152,34 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping:
     return rank.select("id", "score")
 
 
+def importance(nodes: DataFrame, edges: DataFrame, rank=None) -> DataFrame:  # noqa: ANN001
+    """id, score: PageRank, or `rank` (nodes, edges -> id, score); where that fails or gives nothing, each node's share of all links.
+
+    The ranking is written before it is used, so a failure shows here and not in a later job.
+    """
+    try:
+        scores = checkpointed((rank or pagerank)(nodes, edges).select("id", "score"))
+        if not scores.isEmpty():
+            return scores
+    except Exception as e:  # a ranking of the caller's may fail in any way; the graph is then ranked by links
+        logging.getLogger(__name__).warning("ranking failed, links are counted instead: %s", e)
+    return degree_share(nodes, edges)
+
+
+def node_details(nodes: DataFrame, edges: DataFrame, entries: DataFrame, rank=None) -> DataFrame:  # noqa: ANN001
+    """Columns of `nodes` (id, label and more), links, page_rank (6 digits), importance (share of the highest rank, 3 digits), keywords, entry_library, entry_type.
+
+    The last three are those of the first entry (smallest id) whose title is the node's label.
+    """
+    scores = importance(nodes, edges, rank)
+    top = scores.agg(F.max("score").alias("top"))
+    first = entries.groupBy(F.col("title").alias("label")).agg(F.min_by(F.struct("keywords", "entry_library", "entry_type"), "id").alias("entry"))
+    rows = nodes.join(link_counts(nodes, edges), "id").join(scores, "id", "left").crossJoin(F.broadcast(top)).join(first, "label", "left")  # top: one row
+    score = F.coalesce("score", F.lit(0.0))
+    share = F.when(F.col("top") > 0, round_half_up(score / F.col("top"), 3)).otherwise(0.0)
+    return rows.select(*nodes.columns, "links", round_half_up(score, 6).alias("page_rank"), share.alias("importance"), "entry.keywords", "entry.entry_library", "entry.entry_type")
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """id, component (smallest id in it). Labels sink along edges and are looked up at their own label, until none changes."""
     near = checkpointed(neighbours(nodes, edges))

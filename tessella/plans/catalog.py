@@ -472,18 +472,33 @@ def degree_share(spark, sf):
     return graph.degree_share(*a.graph(spark, sf)).withColumn("score", r6(F.col("score")))
 
 
-@query(f"""WITH RECURSIVE {a.GRAPH}, deg AS (SELECT u, count(*) AS d FROM near GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM nodes),
+PAGERANK = f"""WITH RECURSIVE {a.GRAPH}, deg AS (SELECT u, count(*) AS d FROM near GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM nodes),
 pr AS (SELECT 0 AS i, id, 1.0::DOUBLE / n AS score FROM nodes, n
   UNION ALL
   SELECT * FROM (
     WITH cur AS (SELECT * FROM pr), loose AS (SELECT coalesce(sum(score), 0) AS x FROM cur WHERE id NOT IN (SELECT u FROM deg)),
     got AS (SELECT v AS id, sum(score / d) AS g FROM near JOIN cur ON cur.id = near.u JOIN deg ON deg.u = near.u GROUP BY 1)
-    SELECT i + 1, cur.id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(g, 0) + x / n) FROM cur LEFT JOIN got ON got.id = cur.id, loose, n WHERE i < 30))
-SELECT id, floor(score * 1e6 + 0.5) / 1e6 AS score FROM pr WHERE i = 30""")
+    SELECT i + 1, cur.id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(g, 0) + x / n) FROM cur LEFT JOIN got ON got.id = cur.id, loose, n WHERE i < 30))"""
+
+
+@query(PAGERANK + " SELECT id, floor(score * 1e6 + 0.5) / 1e6 AS score FROM pr WHERE i = 30")
 def pagerank30(spark, sf):
     return graph.pagerank(*a.graph(spark, sf)).withColumn("score", r6(F.col("score")))
 
 
+@query(PAGERANK + """, ends AS (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges), k AS (SELECT id, count(*) AS links FROM ends GROUP BY 1),
+  e AS (SELECT s_name AS title, 'nation ' || s_nationkey AS keywords, 'supplier' AS entry_library, CASE WHEN s_acctbal > 0 THEN 'entity' ELSE 'concept' END AS entry_type FROM supplier),
+  s AS (SELECT id, score FROM pr WHERE i = 30)
+  SELECT n.id, n.label, n.node_type, coalesce(links, 0) AS links, floor(score * 1e6 + 0.5) / 1e6 AS page_rank, floor(score / (SELECT max(score) FROM s) * 1e3 + 0.5) / 1e3 AS importance, keywords, entry_library, entry_type
+  FROM nodes n JOIN s ON s.id = n.id LEFT JOIN k ON k.id = n.id LEFT JOIN e ON title = label""")
+def node_details(spark, sf):
+    """Customers and suppliers with links, PageRank and importance; suppliers have entries."""
+    n, e = a.graph(spark, sf)
+    s = a.table(spark, sf, "supplier")
+    entries = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.concat(F.lit("nation "), "s_nationkey").alias("keywords"), F.lit("supplier").alias("entry_library"), F.when(F.col("s_acctbal") > 0, "entity").otherwise("concept").alias("entry_type"))
+    return graph.node_details(n.select("id", "label", "node_type"), e, entries)
+
+
 @query(f"""WITH RECURSIVE {a.GRAPH}, walk AS (SELECT id, id AS component FROM nodes UNION SELECT near.v, walk.component FROM walk JOIN near ON near.u = walk.id WHERE walk.component < near.v)
 SELECT id, min(component) AS component FROM walk GROUP BY 1""")
 def connected_components(spark, sf):
