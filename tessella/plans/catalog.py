@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown, numbers, relations, text, vectors
-from ..operators import graph, listing, mutations, repair, retrieval, stats
+from ..operators import graph, incremental, listing, mutations, repair, retrieval, stats
 from ..operators.storage import shared_folder
 from ..sources import chunks, files, html
 from ..streaming import ingest, tasks
@@ -452,6 +452,21 @@ def graph_build_edges(spark, sf):
     return e.groupBy("edge_type").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
+@query(SQL["graph_build_edges"])
+def incremental_graph(spark, sf):
+    """A first build of other contents (every fifth entry changed, every seventh missing, one too many), then an update to the parts as they are."""
+    now = a.parts(spark, sf)
+    i = F.col("id")
+    odd = lambda c, v: F.when(i % 5 == 0, v).otherwise(F.col(c)).alias(c)
+    before = now.where(i % 7 != 0).select("id", odd("title", F.concat(F.lit("part "), i + 3)), odd("content", F.lit("[[part 4]]")), odd("keywords", F.lit("k1, k2")), odd("document_id", i % 9), "source_name", "entry_type")
+    extra = before.where(i % 11 == 1).withColumn("id", -i - 1)
+    root = shared_folder(spark, "graph")
+    incremental.update(before.unionByName(extra), root)
+    incremental.update(now, root)
+    e = incremental.graph_of(incremental.current(spark, root))["edges"]
+    return e.groupBy("edge_type").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
 @query(f"WITH {a.GRAPH} SELECT edge_type, count(*) AS n FROM edges GROUP BY 1")
 def edge_type_counts(spark, sf):
     return stats.group_counts(a.graph(spark, sf)[1], "edge_type")
