@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 
 from .wordhash import batches_of
 
-#: Code points of a text that are worked on at once (see `pieces`), and bounds of the cache of merged slices.
+#: Code points of a text that are worked on at once (see `pieces`), bounds of the cache of merged slices,
+#: and bytes of slices that are merged by lists.
 PIECE = 1 << 20
-CACHE_SLICES, CACHE_BYTES = 1 << 18, 64
+CACHE_SLICES, CACHE_BYTES, SHORT_SLICE = 1 << 19, 64, 48
 
 # Classes of code points: letter, number, other, the space, other white space.
 LETTER, NUMBER, OTHER, SPACE, WHITE = range(5)
@@ -160,6 +161,27 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one slice: the adjacent pair of lowest rank is merged, the leftmost first."""
     if word in ranks:
         return [ranks[word]]
+    return _merged_short(word, ranks) if len(word) <= SHORT_SLICE else _merged_long(word, ranks)
+
+
+def _merged_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """By lists of parts and of the ranks of adjacent ones."""
+    rank, none = ranks.get, 1 << 62
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (low := min(pairs)) != none:
+        i = pairs.index(low)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+    return [ranks[p] for p in parts]
+
+
+def _merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """By a heap of pairs, so that a slice of n bytes takes n log n steps."""
     n = len(word)
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
