@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown, numbers, relations, text
 from ..operators import extraction, graph, listing, mutations, repair, retrieval, stats
-from ..sources import files, web_search
+from ..sources import files, sheets, web_search
 from . import adapters as a
 from .catalog import query, r6
 
@@ -205,3 +205,21 @@ def normalised_markdown(spark, sf):
     d = a.table(spark, sf, "documents")
     table = ".\n| a | b |\n |:--: | - -|:|\n| 1 | 2 |\n"
     return d.select(F.col("doc_id").alias("id"), F.md5(markdown.normalised_tables(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(table)))).alias("digest"))
+
+
+@query(r"""WITH s AS (SELECT n_name AS path, s_name, s_suppkey, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) - 1 AS r, count(*) OVER (PARTITION BY n_name) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+  SELECT path, '### list of ' || path || chr(10) || chr(10) || string_agg('| ' || s_name || ' | ' || s_suppkey || '.0 |' || chr(10)
+    || CASE WHEN r = 0 THEN '| --- | --- |' || chr(10) ELSE '' END || CASE WHEN r < n - 1 THEN '|  |  |' || chr(10) ELSE '' END, '' ORDER BY r) || chr(10) AS markdown FROM s GROUP BY path""")
+def sheet_markdown(spark, sf):
+    """A workbook for each nation: its suppliers in every second row, names as shared strings, numbers as numbers."""
+    s, n = a.table(spark, sf, "supplier"), a.table(spark, sf, "nation")
+    listed = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("path")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("all"))
+    row = lambda x, i: F.format_string('<row r="%d"><c r="A%d" t="s"><v>%d</v></c><c r="B%d"><v>%d</v></c></row>', i * 2 + 1, i * 2 + 1, i, i * 2 + 1, x["s_suppkey"])
+    xml = {
+        "xl/workbook.xml": F.concat(F.lit('<sheets><sheet name="list of '), "path", F.lit('" sheetId="1" r:id="rId1"/></sheets>')),
+        "xl/_rels/workbook.xml.rels": F.lit('<Relationship Id="rId1" Target="worksheets/sheet1.xml"/>'),
+        "xl/sharedStrings.xml": F.array_join(F.transform("all", lambda x: F.concat(F.lit("<si><t>"), x["s_name"], F.lit("</t></si>"))), ""),
+        "xl/worksheets/sheet1.xml": F.array_join(F.transform("all", row), ""),
+    }
+    member = F.inline(F.array(*[F.struct(F.lit(k).alias("member"), F.encode(v, "UTF-8").alias("content")) for k, v in xml.items()]))
+    return sheets.sheets_markdown(listed.select("path", member))
