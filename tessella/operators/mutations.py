@@ -10,12 +10,16 @@ from .containment import tags_in_texts
 from .repair import latest_wins
 
 # Keywords added to an image that became a table; what is stored with matched and new
-# entries of images; and the fields of a failed extraction.
+# entries of images; names and columns of a vector's metadata; and the fields of a failed extraction.
 TABLE_KEYWORDS = "表格,OCR"
 MEDIA_TYPES = ("image", "table")
 NOTES = {"table": "**关联表格数据**：\n", "image": "**关联图片描述**：\n"}
 IMAGE_KEYWORDS = {"table": "表格,OCR,图片表格", "image": "图片,图表,图示"}
 IMAGE_CONFIDENCE = {"table": 0.85, "image": 0.8}
+METADATA = {
+    "title": "title", "content": "content", "library": "entry_library", "sourceName": "source_name", "entryType": "entry_type",
+    "mediaType": "media_type", "mediaPath": "media_path", "sourceOrigin": "source_origin", "tableMarkdown": "table_markdown", "projectId": "project_id",
+}
 FAILURE = {"relation_type": "extract_failed", "extractor": "llm", "status": "rejected"}
 
 
@@ -69,12 +73,20 @@ def with_columns(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def index_rows(entries: DataFrame, embedding: Column) -> DataFrame:
-    """id, embedding, metadata of entries that may be searched."""
-    names = ["title", "entry_type", "entry_library", "source_name", "status"]
-    meta = F.create_map(*[x for n in names for x in (F.lit(n), F.coalesce(F.col(n).cast("string"), F.lit("")))])
+    """id, embedding, metadata (ten texts, '' where nothing is known, medium "text") of entries that may be searched.
+
+    A column that `entries` lacks is taken as unknown.
+    """
+    value = lambda column: F.col(column).cast("string") if column in entries.columns else F.lit(None).cast("string")
+    meta = F.create_map(*[x for name, column in METADATA.items() for x in (F.lit(name), F.coalesce(value(column), F.lit("text" if name == "mediaType" else "")))])
     return entries.where(F.col("status").isin("approved", "pending")).select("id", embedding.alias("embedding"), meta.alias("metadata"))
 
 
+def reindexed(index: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The vector index (id, embedding, metadata) with fresh rows in place of those of the same ids."""
+    return without(index, fresh, "id").unionByName(fresh)
+
+
 def renamed_charts(charts: DataFrame) -> DataFrame:
     """id, title: '<project>_<图片|表格>_<n>[.ext]' by upload time within project and kind. charts: id, project_id, project, kind, upload_time, title."""
     from pyspark.sql import Window

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions.markdown import html_table_to_markdown
 from ..functions.text import keyword_score, query_phrase
 from ..functions.vectors import cosine, unit
 from .storage import checkpointed, shared_table
@@ -51,6 +52,14 @@ def top_k_by_type(vectors: DataFrame, query: list[float], limits: dict[str, int]
     return best.withColumn("place", place).where(F.col("place") <= most)
 
 
+def table_hits(index: DataFrame, query: list[float], k: int, threshold: float) -> DataFrame:
+    """id, score, title, table_markdown, source_origin, source_name of the best tables of an index (id, embedding, metadata); HTML tables are turned into Markdown."""
+    meta = lambda name: F.coalesce(F.col("metadata")[name], F.lit(""))
+    best = top_k(index, query, k, where=meta("mediaType") == "table", threshold=threshold)
+    table = F.when(F.contains(F.lower(meta("tableMarkdown")), F.lit("<table")), html_table_to_markdown(meta("tableMarkdown"))).otherwise(meta("tableMarkdown"))
+    return best.select("id", "score", meta("title").alias("title"), table.alias("table_markdown"), meta("sourceOrigin").alias("source_origin"), meta("sourceName").alias("source_name"))
+
+
 def index_stats(vectors: DataFrame) -> DataFrame:
     """One row: size and dimension of the index."""
     return vectors.agg(F.count("*").alias("size"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimension"))

@@ -223,3 +223,20 @@ def sheet_markdown(spark, sf):
     }
     member = F.inline(F.array(*[F.struct(F.lit(k).alias("member"), F.encode(v, "UTF-8").alias("content")) for k, v in xml.items()]))
     return sheets.sheets_markdown(listed.select("path", member))
+
+
+@query(f"""WITH {a.VECTORS}, n AS (SELECT count(*) AS n FROM part),
+  e AS (SELECT id, score, p_name, p_brand, p_type, p_partkey FROM scored, n JOIN part ON p_partkey = id % n.n WHERE p_partkey % 3 = 0 AND p_partkey % 7 <> 0 AND score IS NOT NULL)
+  SELECT id, floor(score * 1e6 + 0.5) / 1e6 AS score, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN '| ' || p_brand || ' | ' || p_type || ' |' || chr(10) || '| --- | --- |' ELSE 'as is' END AS table_markdown, '' AS source_origin, p_brand AS source_name
+  FROM (SELECT * FROM e ORDER BY score DESC, id LIMIT 25) WHERE score >= 0.05""")
+def table_hits(spark, sf):
+    """An index of all vectors, each with the metadata of a part; every third part is a table, every second of those in HTML; a first version of the index is replaced row by row."""
+    p, v = a.table(spark, sf, "part"), a.vectors(spark, sf)
+    k = F.col("p_partkey")
+    wrap = p.agg(F.count("*").alias("parts"))
+    entries = v.select("id", "embedding").crossJoin(F.broadcast(wrap)).join(p, k == F.col("id") % F.col("parts"))  # one row
+    html = F.concat(F.lit("<TABLE><tr><td>"), "p_brand", F.lit("</td><td><b>"), "p_type", F.lit("</b></td></tr></TABLE>"))
+    entries = entries.select("id", "embedding", F.col("p_name").alias("title"), F.col("p_type").alias("content"), F.col("p_brand").alias("source_name"), F.when(k % 3 == 0, "table").alias("media_type"), F.when(k % 2 == 0, html).otherwise("as is").alias("table_markdown"), F.when(k % 7 == 0, "rejected").otherwise("approved").alias("status"))
+    fresh = mutations.index_rows(entries, F.col("embedding"))
+    stale = mutations.index_rows(entries.where("id % 2 = 0 and status = 'approved'").withColumn("title", F.lit("old")), F.col("embedding"))
+    return retrieval.table_hits(mutations.reindexed(stale, fresh), a.sample_query(spark, sf), 25, 0.05).withColumn("score", r6(F.col("score")))
