@@ -99,7 +99,7 @@ def clean_answer(c: Column) -> Column:
 
 def media_url(path: Column) -> Column:
     """API address of a stored media file: the last two parts if the first of them is a number."""
-    tail = F.regexp_extract(F.regexp_replace(F.coalesce(path, F.lit("")), r"\\", "/"), r"([0-9]+/[^/]+)$", 1)
+    tail = F.regexp_extract(F.regexp_replace(F.coalesce(path, F.lit("")), r"\\", "/"), r"(?:^|/)([0-9]+/[^/]+)$", 1)
     return F.when(tail != "", F.concat(F.lit("/api/media/"), tail)).otherwise(path)
 
 

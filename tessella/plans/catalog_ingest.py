@@ -240,3 +240,47 @@ def table_hits(spark, sf):
     fresh = mutations.index_rows(entries, F.col("embedding"))
     stale = mutations.index_rows(entries.where("id % 2 = 0 and status = 'approved'").withColumn("title", F.lit("old")), F.col("embedding"))
     return retrieval.table_hits(mutations.reindexed(stale, fresh), a.sample_query(spark, sf), 25, 0.05).withColumn("score", r6(F.col("score")))
+
+
+@query(rf"""WITH {a.ENTRIES} SELECT id,
+  md5(regexp_replace(coalesce(title || '. ', '') || coalesce(content || ' ', '') || coalesce(keywords, ''), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')) AS embedded,
+  CASE WHEN coalesce(keywords, '') = '' THEN '' ELSE array_to_string(regexp_split_to_array(regexp_replace(keywords, '(,\s*)+$', ''), ',\s*'), '|') END AS words,
+  CASE WHEN id % 4 = 0 THEN source_name ELSE title || CASE WHEN id % 3 = 0 THEN '' ELSE ' [' || entry_type || ']' END END AS origin,
+  CASE WHEN entry_library IN ('dynamic', 'translation', 'chart') THEN entry_library ELSE 'report' END AS library,
+  CASE WHEN length(content) > 80 THEN content[1:80] || '…' ELSE content END AS short,
+  CASE WHEN id % 2 = 0 THEN '/api/media/' || id || '/p' || id || '.png' ELSE 'up/x' || id || '/p.png' END AS url,
+  greatest(0, least(1, floor((confidence * 3 - 1) * 1e6 + 0.5) / 1e6)) AS confidence FROM entries""")
+def entry_texts(spark, sf):
+    """What is derived from each entry for indexing and display: text to embed, keywords, origin, library, summary, media address, confidence."""
+    e = a.texts(spark, sf)
+    i = F.col("id")
+    path = F.when(i % 2 == 0, F.concat(F.lit("C:\\data\\"), i, F.lit("\\p"), i, F.lit(".png"))).otherwise(F.concat(F.lit("up/x"), i, F.lit("/p.png")))
+    return e.select(
+        "id",
+        F.md5(text.embedding_text(F.col("title"), F.col("content"), F.col("keywords"))).alias("embedded"),
+        F.array_join(text.keyword_list(F.col("keywords")), "|").alias("words"),
+        text.source_origin(F.when(i % 4 == 0, F.col("source_name")), F.col("title"), F.when(i % 3 != 0, F.col("entry_type"))).alias("origin"),
+        text.library_of(F.col("entry_library")).alias("library"),
+        text.shortened(F.col("content"), 80, "…").alias("short"),
+        text.media_url(path).alias("url"),
+        numbers.clamp_confidence(r6(F.col("confidence") * 3 - 1)).alias("confidence"),
+    )
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, text FROM conversations)
+  SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'overloaded' ELSE text END AS reply, md5(CASE WHEN turn % 2 = 0 THEN '| ' || role || ' | x |' ELSE text END) AS unfenced,
+    CASE WHEN role = 'user' THEN 2 ELSE 3 END AS cells, md5(array_to_string(list_filter([text, '', role], lambda p: p <> ''), chr(10) || chr(10))) AS merged FROM m""")
+def reply_texts(spark, sf):
+    """Conversation turns as chat replies of two services and an error, as fenced tables, and as parts to join."""
+    c = a.table(spark, sf, "conversations")
+    t = F.col("turn")
+    said = lambda x: F.struct(x.alias("content"))
+    first = F.to_json(F.struct(F.array(F.struct(said(F.col("text")).alias("message"))).alias("choices")))
+    second = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("text"))).alias("content")))
+    body = F.when(t % 3 == 0, first).when(t % 3 == 1, second).otherwise(F.lit('{"error": {"message": "overloaded"}}'))
+    fenced = F.when(t % 2 == 0, F.concat(F.lit("```markdown \n| "), "role", F.lit(" | x |\n```"))).otherwise(F.col("text"))
+    row = F.when(F.col("role") == "user", F.lit("| a | b |")).otherwise(F.lit(" a | b | c"))
+    return c.select(
+        "conv_id", "turn", relations.reply_text(body).alias("reply"), F.md5(markdown.without_fences(fenced)).alias("unfenced"),
+        F.size(markdown.table_cells(row)).alias("cells"), F.md5(markdown.merged_tables(F.array(F.col("text"), F.lit(""), F.col("role")))).alias("merged"),
+    )
