@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_controls
+from .containment import tags_in_texts
 
 # The mark of a failed caption, and the labels of keywords and library in a prompt's list.
 FAILED_MARK, KEYWORDS_LABEL, LIBRARY_LABEL = "失败", "关键词", "库"
@@ -123,6 +124,23 @@ def related_entry(clicks: DataFrame, entries: DataFrame) -> DataFrame:
     return met.select("click", F.coalesce("exact_id", "close_id").alias("entry_id"))
 
 
+def related_or_found(clicks: DataFrame, entries: DataFrame) -> DataFrame:
+    """click, entry_id, origin: related_entry() ("title"); where it finds none, the newest entry (created_at, then the smallest id) whose title, content or keywords hold the click ("search"); null if there is none.
+
+    The search ignores case, but not accents, and leaves images and tables out. All clicks are searched for in one pass
+    over the entries' texts.
+    """
+    known = related_entry(clicks.distinct(), entries)
+    open_ = known.where("entry_id is null and click <> ''").select(F.lit(0).alias("project"), F.lower("click").alias("tag"), F.lit(0).alias("value"))
+    text = F.concat_ws("\0", *[F.lower(c) for c in ("title", "content", "keywords")])
+    texts = entries.where(~F.col("entry_type").isin("image", "table")).select(F.lit(0).alias("project"), F.col("id").alias("row"), text.alias("text"))
+    hits = tags_in_texts(open_, texts).select("row", "tag").join(entries.select(F.col("id").alias("row"), "created_at"), "row")
+    first = hits.groupBy(F.col("tag").alias("low")).agg(F.max_by("row", F.struct("created_at", -F.col("row"))).alias("found"))
+    met = known.join(first, F.lower("click") == F.col("low"), "left")
+    origin = F.when(F.col("entry_id").isNotNull(), "title").when(F.col("found").isNotNull(), "search")
+    return met.select("click", F.coalesce("entry_id", "found").alias("entry_id"), origin.alias("origin"))
+
+
 def title_list(entries: DataFrame, detailed: bool = False, most: int | None = None) -> DataFrame:
     """project_id, lines: a project's titles as a bullet list by id, with keywords and library on request; at most `most` titles.
 

@@ -399,3 +399,16 @@ def source_tree(spark, sf):
     docs = kept.where("id % 3 = 0").select("id", F.col("path").alias("file_path"))
     twice = docs.where("id % 2 = 0").withColumn("id", F.col("id") + 1_000_000)
     return files.file_tree(kept.drop("id").unionByName(top), docs.unionByName(twice))
+
+
+@query(f"""WITH {a.ENTRIES}, b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+  c AS (SELECT DISTINCT CASE item_id % 4 WHEN 0 THEN ' DOC ' || item_id WHEN 1 THEN upper(w[2] || ' ' || w[3]) WHEN 2 THEN w[4] ELSE 'doc none ' || item_id END AS click FROM b),
+  t AS (SELECT click, (SELECT min(id) FROM entries WHERE title = click) AS x, (SELECT min(id) FROM entries WHERE lower(trim(title)) = lower(trim(click))) AS y FROM c),
+  f AS (SELECT click, arg_max(id, created_at * 1000000000 - id) AS found FROM c JOIN entries ON entry_type NOT IN ('image', 'table') AND (contains(lower(title), lower(click)) OR contains(lower(content), lower(click)) OR contains(lower(keywords), lower(click))) GROUP BY 1)
+  SELECT t.click, coalesce(x, y, found) AS entry_id, CASE WHEN coalesce(x, y) IS NOT NULL THEN 'title' WHEN found IS NOT NULL THEN 'search' END AS origin FROM t LEFT JOIN f ON f.click = t.click""")
+def related_search(spark, sf):
+    """Clicks on titles in another case, on two words and on one word of benchmark items, and on nothing that exists."""
+    b = a.table(spark, sf, "benchmark")
+    i, w = F.col("item_id"), F.split("text", " ")
+    click = F.when(i % 4 == 0, F.concat(F.lit(" DOC "), i)).when(i % 4 == 1, F.upper(F.concat_ws(" ", w[1], w[2]))).when(i % 4 == 2, w[3]).otherwise(F.concat(F.lit("doc none "), i))
+    return listing.related_or_found(b.select(click.alias("click")), a.texts(spark, sf))

@@ -3,7 +3,7 @@
 from helpers import rows
 from pyspark.sql import functions as F
 
-from tessella.operators import mutations, retrieval
+from tessella.operators import listing, mutations, retrieval
 
 
 def test_metadata_of_an_index_row(spark):
@@ -21,3 +21,10 @@ def test_reindexed_rows_and_table_hits(spark):
     index = mutations.reindexed(mutations.index_rows(old, F.col("embedding")), mutations.index_rows(new, F.col("embedding")))
     found = retrieval.table_hits(index, [1.0, 0.0], 5, 0.5)
     assert rows(found, "id", "title", "table_markdown") == [(1, "new", "| a |\n| --- |"), (2, "kept", "<p>no</p>")]
+
+
+def test_related_titles_fall_back_to_a_search(spark):
+    e = spark.createDataFrame([(1, "Alpha", "beta gamma", None, "concept", 5), (2, "alpha ", "x", "Beta", "concept", 9), (3, "beta", None, None, "image", 99), (4, "z", "BETA", None, "entity", 9)], "id long, title string, content string, keywords string, entry_type string, created_at long")
+    clicks = spark.createDataFrame([("Alpha",), ("ALPHA",), ("bet",), ("Gamma",), ("none",), ("",), (None,), ("bet",)], "click string")
+    found = listing.related_or_found(clicks, e)
+    assert rows(found, "click", "entry_id", "origin") == sorted([("Alpha", 1, "title"), ("ALPHA", 1, "title"), ("bet", 2, "search"), ("Gamma", 1, "search"), ("none", None, None), ("", None, None), (None, None, None)], key=repr)
