@@ -155,15 +155,21 @@ def count_occurrences(spark, sf):
     return a.table(spark, sf, "documents").select("doc_id", text.occurrences(F.col("text"), F.lit("the")).alias("n"))
 
 
-@query("SELECT DISTINCT x.e AS a, y.e AS b, CASE WHEN x.e IN ('concept','entity') AND y.e IN ('concept','entity') THEN CASE WHEN x.e = y.e THEN 0.8 ELSE 1.2 END WHEN x.e = 'source' AND y.e = 'source' THEN 0.5 WHEN x.e IN ('image','table') OR y.e IN ('image','table') THEN 0.5 ELSE 1.0 END::DOUBLE AS affinity FROM (SELECT unnest(['concept','entity','source','image','table']) AS e) x, (SELECT unnest(['concept','entity','source','image','table']) AS e) y")
+@query(f"""WITH {a.ENTRIES} SELECT x.id, x.entry_type AS a, y.entry_type AS b, CASE WHEN x.entry_type IN ('concept','entity') AND y.entry_type IN ('concept','entity') THEN CASE WHEN x.entry_type = y.entry_type THEN 0.8 ELSE 1.2 END WHEN x.entry_type = 'source' AND y.entry_type = 'source' THEN 0.5 WHEN x.entry_type IN ('image','table') OR y.entry_type IN ('image','table') THEN 0.5 ELSE 1.0 END::DOUBLE AS affinity
+  FROM entries x JOIN entries y ON y.title = string_split(x.related, ',')[2]""")
 def type_affinity(spark, sf):
-    pairs = [(x, y) for x in a.TYPES for y in a.TYPES]
-    return spark.createDataFrame(pairs, "a string, b string").select("a", "b", retrieval.affinity(F.col("a"), F.col("b")).alias("affinity"))
+    """Each entry and the one that its second related title names."""
+    e = a.texts(spark, sf)
+    other = e.select(F.col("title").alias("named"), F.col("entry_type").alias("b"))
+    met = e.withColumn("named", F.split("related", ",")[1]).join(other, "named")
+    return met.select("id", F.col("entry_type").alias("a"), "b", retrieval.affinity(F.col("entry_type"), F.col("b")).alias("affinity"))
 
 
-@query("SELECT n::BIGINT AS n, CASE WHEN n <= 0 THEN 0.3 ELSE least(0.95, 0.5 + 0.05 * n) END::DOUBLE AS confidence FROM (SELECT unnest(range(0, 16)) AS n)")
+@query("SELECT conv_id, n, floor(CASE WHEN n <= 0 THEN 0.3 ELSE least(0.95, 0.5 + 0.05 * n) END::DOUBLE * 1e6 + 0.5) / 1e6 AS confidence FROM (SELECT conv_id, count(*) FILTER (role = 'assistant') * 2 AS n FROM conversations GROUP BY 1)")
 def answer_confidence(spark, sf):
-    return spark.range(16).select(F.col("id").alias("n"), r6(numbers.answer_confidence(F.col("id"))).alias("confidence"))
+    """A conversation's answers as the entries that one cites, two each."""
+    c = a.table(spark, sf, "conversations").groupBy("conv_id").agg((F.count_if(F.col("role") == "assistant") * 2).alias("n"))
+    return c.select("conv_id", "n", r6(numbers.answer_confidence(F.col("n"))).alias("confidence"))
 
 
 # ---- listings --------------------------------------------------------------------------------
