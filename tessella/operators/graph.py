@@ -11,7 +11,7 @@ from ..functions.numbers import round_half_up
 from ..functions.text import keyword_set, trim_controls, wikilinks
 from .repair import first_by
 from .skew import pairs_by_key
-from .storage import checkpointed, shared_table
+from .storage import checkpointed, fixed, placed, shared_table
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
@@ -132,11 +132,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping:
     n = ids.count()
     if not n:
         return ids.withColumn("score", F.lit(0.0))
-    # Written once by u, in a fixed number of parts, so that in a round only ranks move to the links.
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = checkpointed(neighbours(nodes, edges).repartition(parts, "u"))
+    # Links lie by u and nodes by id, so all that moves in a round are the shares that links bring to their ends.
+    near = placed(neighbours(nodes, edges), "u")
     degree = near.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("d"))
-    base = checkpointed(ids.join(degree, "id", "left"))
+    base = placed(ids.join(degree, "id", "left"), "id")
     # Nodes without neighbours get nothing but the common share, so all have one score: their mass is a number.
     alone = base.where("d is null").count()
     rank, loose = base.withColumn("score", F.lit(1.0 / n)), alone / n
@@ -148,7 +147,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping:
         rank = base.join(got, "id", "left").select("id", "d", (F.lit(common) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         loose = alone * common
         if i % 5 == 4:  # a round reads the one before once, so plans only grow in length
-            rank = checkpointed(rank)
+            rank = fixed(rank)
     return rank.select("id", "score")
 
 
