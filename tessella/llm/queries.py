@@ -37,8 +37,8 @@ def list_history(pages: DataFrame) -> DataFrame:
     """A dated block list over the hosts of `pages`: no list comes with the tables, so a rule makes one.
 
     A host's MD5 decides: four in sixteen hosts are put on a list, half of those taken off 60
-    days later, a quarter put on again another 60 days later; one in sixteen registered domains
-    (last two labels) is listed from the start.
+    days later, a quarter put on again another 60 days later; one in sixteen domains
+    (last three labels) is listed from the start.
     """
     hosts = pages.select(host(F.col("url")).alias("host")).where("host <> ''").distinct()
     hosts = hosts.withColumn("h", F.md5("host")).withColumn("day", F.conv(F.substring("h", 3, 2), 16, 10).cast("int"))
