@@ -93,7 +93,7 @@ def document_tags(spark, sf):
     b, d = a.table(spark, sf, "benchmark"), a.table(spark, sf, "documents")
     w = F.split("text", " ")
     keywords = F.concat_ws(",", F.array_join(F.slice(w, 3, 3), " "), F.array_join(F.slice(w, 8, 2), " "))
-    entries = b.select((F.col("item_id") % 3).alias("project_id"), F.substring("text", 2, 1).alias("title"), keywords.alias("keywords"))
+    entries = b.select((F.col("item_id") % 3).alias("project_id"), F.trim(F.substring("text", 2, 1)).alias("title"), keywords.alias("keywords"))
     charts = d.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).alias("project_id"), F.col("source").alias("title"), F.col("text").alias("content"), F.col("lang").alias("keywords"))
     return repair.missing_tags(entries, charts)
 
