@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trim_controls
+from ..functions.text import lower_each, trim_controls
 from .containment import tags_in_texts
 
 # The mark of a failed caption, and the labels of keywords and library in a prompt's list.
@@ -117,7 +117,7 @@ def chosen_config(settings: DataFrame, configs: DataFrame, purposes: list[str],
 
 def related_entry(clicks: DataFrame, entries: DataFrame) -> DataFrame:
     """click, entry_id: the first entry of exactly the clicked title, else the first whose trimmed title is equal without regard to case; null if there is none."""
-    loose = lambda c: F.lower(trim_controls(c))
+    loose = lambda c: lower_each(trim_controls(c))
     exact = entries.groupBy(F.col("title").alias("click")).agg(F.min("id").alias("exact_id"))
     close = entries.groupBy(loose(F.col("title")).alias("loose")).agg(F.min("id").alias("close_id"))
     met = clicks.select("click", loose(F.col("click")).alias("loose")).join(exact, "click", "left").join(close, "loose", "left")
@@ -131,12 +131,12 @@ def related_or_found(clicks: DataFrame, entries: DataFrame) -> DataFrame:
     over the entries' texts.
     """
     known = related_entry(clicks.distinct(), entries)
-    open_ = known.where("entry_id is null and click <> ''").select(F.lit(0).alias("project"), F.lower("click").alias("tag"), F.lit(0).alias("value"))
-    text = F.concat_ws("\0", *[F.lower(c) for c in ("title", "content", "keywords")])
+    open_ = known.where("entry_id is null and click <> ''").select(F.lit(0).alias("project"), lower_each(F.col("click")).alias("tag"), F.lit(0).alias("value"))
+    text = F.concat_ws("\0", *[lower_each(F.col(c)) for c in ("title", "content", "keywords")])
     texts = entries.where(~F.col("entry_type").isin("image", "table")).select(F.lit(0).alias("project"), F.col("id").alias("row"), text.alias("text"))
     hits = tags_in_texts(open_, texts).select("row", "tag").join(entries.select(F.col("id").alias("row"), "created_at"), "row")
     first = hits.groupBy(F.col("tag").alias("low")).agg(F.max_by("row", F.struct("created_at", -F.col("row"))).alias("found"))
-    met = known.join(first, F.lower("click") == F.col("low"), "left")
+    met = known.join(first, lower_each(F.col("click")) == F.col("low"), "left")
     origin = F.when(F.col("entry_id").isNotNull(), "title").when(F.col("found").isNotNull(), "search")
     return met.select("click", F.coalesce("entry_id", "found").alias("entry_id"), origin.alias("origin"))
 

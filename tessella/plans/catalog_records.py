@@ -410,5 +410,5 @@ def related_search(spark, sf):
     """Clicks on titles in another case, on two words and on one word of benchmark items, and on nothing that exists."""
     b = a.table(spark, sf, "benchmark")
     i, w = F.col("item_id"), F.split("text", " ")
-    click = F.when(i % 4 == 0, F.concat(F.lit(" DOC "), i)).when(i % 4 == 1, F.upper(F.concat_ws(" ", w[1], w[2]))).when(i % 4 == 2, w[3]).otherwise(F.concat(F.lit("doc none "), i))
+    click = F.when(i % 4 == 0, F.concat(F.lit(" DOC "), i)).when(i % 4 == 1, text.upper_each(F.concat_ws(" ", w[1], w[2]))).when(i % 4 == 2, w[3]).otherwise(F.concat(F.lit("doc none "), i))
     return listing.related_or_found(b.select(click.alias("click")), a.texts(spark, sf))
