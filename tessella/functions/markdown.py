@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import trim_controls
 
 
+def _once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of `c`, which is worked out once a row: an expression named in a lambda is otherwise worked out for every element."""
+    return F.transform(F.array(c), then)[0]
+
+
 def _unescaped(c: Column) -> Column:
     # '&amp;' first: an escaped entity is decoded twice.
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"')):
@@ -24,13 +31,18 @@ def html_table_rows(html: Column) -> Column:
 
 def markdown_table(rows: Column, escape: bool = True) -> Column:
     """Markdown of rows of cells, padded to the widest row, with a separator after the first; '' without rows."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    return _once(rows, lambda r: _markdown_table(r, escape))
+
+
+def _markdown_table(rows: Column, escape: bool) -> Column:
     clean = (lambda c: trim_controls(F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")))) if escape else (lambda c: c)
-    line = lambda r: F.concat(F.lit("|"), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.concat(F.lit(" "), clean(c), F.lit(" |"))), ""))
-    lines = F.transform(rows, line)
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
-    whole = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
-    return F.when(F.size(rows) > 0, trim_controls(whole)).otherwise("")
+
+    def whole(width: Column) -> Column:
+        line = lambda r: F.concat(F.lit("|"), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.concat(F.lit(" "), clean(c), F.lit(" |"))), ""))
+        rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), width))
+        return trim_controls(F.array_join(F.transform(rows, lambda r, i: F.when(i == 0, F.concat(line(r), rule)).otherwise(line(r))), "\n"))
+
+    return F.when(F.size(rows) > 0, _once(F.array_max(F.transform(rows, lambda r: F.size(r))), whole)).otherwise("")
 
 
 def html_table_to_markdown(html: Column) -> Column:
@@ -46,8 +58,7 @@ def html_to_markdown_dropping(html: Column) -> Column:
     h = F.coalesce(html, F.lit(""))
     cell = lambda c: trim_controls(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?i)</t[dh]>", ""), r"<[^>]+>", ""), r"\s+", " "))
     rows = F.transform(F.split(h, r"(?i)<tr[^>]*>"), lambda r: F.filter(F.transform(F.split(r, r"(?i)<t[dh][^>]*>"), cell), lambda c: c != ""))
-    rows = F.filter(rows, lambda r: F.size(r) > 0)
-    return F.when(F.size(rows) > 0, markdown_table(rows, escape=False)).otherwise(h)
+    return _once(F.filter(rows, lambda r: F.size(r) > 0), lambda r: F.when(F.size(r) > 0, markdown_table(r, escape=False)).otherwise(h))
 
 
 def without_fences(c: Column) -> Column:
@@ -80,17 +91,19 @@ def _is_separator(line: Column) -> Column:
 
 def _separator(line: Column) -> Column:
     """The rule with every cell as ' --- ' and its alignment colons; an empty cell is one blank, nothing stays outside the outer bars."""
-    cells = F.split(line, r"\|", -1)
+    return _once(F.split(line, r"\|", -1), _joined_rule)
+
+
+def _joined_rule(cells: Column) -> Column:
     last = F.size(cells) - 1
 
     def cell(c: Column, i: Column) -> Column:
-        c = _stripped(c)
         dashes = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit(":"), F.lit("")), rf"[{_BLANK}]+", "-"), "-+", "---")
         colon = lambda at: F.when(at, ":").otherwise("")
         text = F.concat(F.lit(" "), colon(F.startswith(c, F.lit(":"))), dashes, colon(F.endswith(c, F.lit(":"))), F.lit(" "))
         return F.when((c == "") & ((i == 0) | (i == last)), "").when(c == "", " ").otherwise(text)
 
-    return F.array_join(F.transform(cells, cell), "|")
+    return F.array_join(F.transform(F.transform(cells, _stripped), cell), "|")
 
 
 def normalised_tables(text: Column) -> Column:
@@ -99,18 +112,20 @@ def normalised_tables(text: Column) -> Column:
     What happens at a line depends on its two neighbours only, so a text is one pass over its lines. A null text is ''.
     """
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    bar = lambda c: _stripped(c).startswith("|")
 
-    def at(i: Column) -> Column:
-        return F.try_element_at(lines, i + 1)
+    def kind(x: Column) -> Column:
+        """What its neighbours ask of a line: whether it has a bar in front, is blank, is a rule."""
+        s = _stripped(x)
+        return F.struct(x.alias("x"), s.startswith("|").alias("bar"), (s == "").alias("blank"), _is_separator(x).alias("rule"))
+
+    def joined(known: Column) -> Column:
+        def line(k: Column, i: Column) -> Column:
+            # Before the first line stands nothing: it opens like a line after text. Position 0 must not be asked for.
+            before = F.try_element_at(known, F.greatest(i, F.lit(1)))
+            after_text = (i == 0) | (~before["blank"] & ~before["bar"])
+            shown = F.when(k["rule"], _separator(k["x"])).otherwise(k["x"])
+            return F.when(k["bar"] & F.coalesce(F.try_element_at(known, i + 2)["rule"], F.lit(False)) & after_text, F.concat(F.lit("\n"), shown)).otherwise(shown)
 
-    def line(x: Column, i: Column) -> Column:
-        before = at(i - 1)
-        opens = bar(x) & F.coalesce(_is_separator(at(i + 1)), F.lit(False)) & (_stripped(before) != "") & ~bar(before)
-        shown = F.when(_is_separator(x), _separator(x)).otherwise(x)
-        return F.when(opens, F.concat(F.lit("\n"), shown)).otherwise(shown)
+        return F.array_join(F.transform(known, line), "\n")
 
-    # The first line has no line before it; position 0 would count from the end, so it is asked for apart.
-    first = F.when(bar(lines[0]) & F.coalesce(_is_separator(F.try_element_at(lines, F.lit(2))), F.lit(False)), "\n").otherwise("")
-    rest = F.transform(lines, lambda x, i: F.when(i > 0, line(x, F.greatest(i, F.lit(1)))).otherwise(F.concat(first, F.when(_is_separator(x), _separator(x)).otherwise(x))))
-    return F.array_join(rest, "\n")
+    return _once(F.transform(lines, kind), joined)
