@@ -164,6 +164,14 @@ def test_independent_moves_are_as_good_as_moves_one_after_another(spark, edges):
     assert reached >= 0.97 * plain_modularity(one_after_another(ids, edges), edges)
 
 
+def test_all_small_nodes_move_at_once(spark):
+    hubs, leaves = 5, 200
+    edges = [(-1 - (i + j) % hubs, i, w) for i in range(leaves) for j, w in ((0, 5.0), (1, 1.0))]
+    n = spark.createDataFrame([(i,) for i in range(-hubs, leaves)], "id long")
+    e = spark.createDataFrame(edges, "source_id long, target_id long, weight double")
+    assert rows(graph.louvain(n, e, rounds=1)) == sorted([(-1 - i, -1 - i) for i in range(hubs)] + [(i, -1 - i % hubs) for i in range(leaves)], key=repr)
+
+
 def test_importance_falls_back_to_links(spark):
     n = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, label string")
     e = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0)], "source_id long, target_id long, weight double")
